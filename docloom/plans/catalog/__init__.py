@@ -1,7 +1,9 @@
 """All registered queries; importing this package fills the registry."""
 
 from docloom.plans import views  # noqa: F401  (registers the shared CTEs)
-from docloom.plans.catalog import routing, text  # noqa: F401
-from docloom.plans.registry import ORACLES, QUERIES
+from docloom.plans.catalog import reports, routing, text  # noqa: F401
+from docloom.plans.registry import QUERIES, oracles
+
+ORACLES = oracles()
 
 __all__ = ["QUERIES", "ORACLES"]

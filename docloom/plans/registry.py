@@ -10,7 +10,7 @@ from docloom import lexicon as lx
 from docloom.plans.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+_TWINS: dict[str, tuple[tuple[str, ...], str]] = {}
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -22,12 +22,16 @@ def query(name: str, oracle: str | None = None, ctes: tuple[str, ...] = ()):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
         if oracle is not None:
-            ORACLES[name] = with_ctes(ctes, oracle)
+            _TWINS[name] = (ctes, oracle)
         return fn
 
     return register
 
 
+def oracles() -> dict[str, str]:
+    return {name: with_ctes(ctes, body) for name, (ctes, body) in _TWINS.items()}
+
+
 def cte(name: str, text: str, deps: tuple[str, ...] = ()) -> None:
     CTES[name] = (deps, text)
 
