@@ -28,11 +28,11 @@ def _occurs(text: Column, word: Column, whole_word: bool) -> Column:
 
 def matches(text: Column, words: Sequence[str], whole_word: bool = False) -> Column:
     """The list entries found in ``text``; duplicated entries count twice."""
-    return F.filter(_terms(words), lambda w: _occurs(text, w, whole_word))
+    return tx.bind(text, lambda t: F.filter(_terms(words), lambda w: _occurs(t, w, whole_word)))
 
 
 def any_match(text: Column, words: Sequence[str], whole_word: bool = False) -> Column:
-    return F.exists(_terms(words), lambda w: _occurs(text, w, whole_word))
+    return tx.bind(text, lambda t: F.exists(_terms(words), lambda w: _occurs(t, w, whole_word)))
 
 
 def complexity_tier(col, whole_word: bool = False) -> Column:
@@ -137,7 +137,7 @@ def admission(col, whole_word: bool = False) -> Column:
     q = tx.strip(col)
     lower = F.lower(q)
     refused = any_match(lower, lx.REFUSE_TERMS, whole_word)
-    vague = F.exists(_terms(lx.VAGUE_PREFIXES), lambda w: F.startswith(lower, w))
+    vague = tx.bind(lower, lambda t: F.exists(_terms(lx.VAGUE_PREFIXES), lambda w: F.startswith(t, w)))
     reason = (
         F.when(refused, "refuse_unsafe_content")
         .when(F.length(q) < lx.MIN_QUERY_CHARS, "clarify_too_short")

@@ -37,6 +37,12 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``. An expression written
+    inside a lambda is evaluated per element; a lambda variable is not."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(col) -> Column:
     return F.btrim(_c(col), F.lit(lx.WHITESPACE))
 
@@ -260,20 +266,31 @@ def sanitize_output(col) -> Column:
     )
     brackets = text.rlike(r"(【[^】]{0,3}】\s*){10,}")
 
-    lines = F.split(text, "\n")
-    counted = F.transform(
-        F.array_distinct(lines),
-        lambda ln: F.struct(
-            (F.size(F.array_remove(lines, ln)) - F.size(lines)).alias("neg_count"),
-            (F.array_position(lines, ln) - 1).alias("first_idx"),
-            ln.alias("line"),
-        ),
-    )
-    looping = F.filter(
-        F.slice(F.array_sort(counted), 1, 5),
-        lambda e: (e["neg_count"] < -6) & (F.length(strip(e["line"])) > 2) & (e["first_idx"] > 1),
-    )
-    kept = F.array_join(F.slice(lines, F.lit(1), looping[0]["first_idx"].cast("int")), "\n")
+    def cut_repeats(lines: Column) -> Column:
+        counted = F.transform(
+            F.array_distinct(lines),
+            lambda ln: F.struct(
+                (F.size(F.array_remove(lines, ln)) - F.size(lines)).alias("neg_count"),
+                (F.array_position(lines, ln) - 1).alias("first_idx"),
+                ln.alias("line"),
+            ),
+        )
+        looping = F.filter(
+            F.slice(F.array_sort(counted), 1, 5),
+            lambda e: (e["neg_count"] < -6) & (F.length(strip(e["line"])) > 2) & (e["first_idx"] > 1),
+        )
+        kept = bind(
+            looping,
+            lambda found: F.when(
+                F.size(found) > 0,
+                F.concat(
+                    F.array_join(F.slice(lines, F.lit(1), found[0]["first_idx"].cast("int")), "\n"),
+                    F.lit(lx.REPEAT_CUT_NOTE),
+                ),
+            ),
+        )
+        return F.when(F.size(lines) > 6, kept)
+
     return (
         F.when(text.isNull() | (F.length(text) < 10), text)
         .when(
@@ -281,8 +298,7 @@ def sanitize_output(col) -> Column:
             F.concat(F.substring(text, F.lit(1), starts[0].cast("int")), F.lit(lx.LOOP_CUT_NOTE)),
         )
         .when(brackets, F.concat(F.substring(text, 1, 100), F.lit(lx.LOOP_CUT_NOTE)))
-        .when((F.size(lines) > 6) & (F.size(looping) > 0), F.concat(kept, F.lit(lx.REPEAT_CUT_NOTE)))
-        .otherwise(text)
+        .otherwise(F.coalesce(bind(F.split(text, "\n"), cut_repeats), text))
     )
 
 

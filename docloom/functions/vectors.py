@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docloom.functions import text as tx
+
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
@@ -52,3 +54,19 @@ def embedding_bucket(col) -> Column:
 def mean_vector(col, dim: int) -> Column:
     """Aggregate: component-wise mean of the vectors in a group."""
     return F.array(*[F.avg(F.get(_c(col), i).cast("double")) for i in range(dim)])
+
+
+def hash_embed(col, dim: int = 32) -> Column:
+    """Default embedder: token counts hashed into ``dim`` cells, unscaled.
+    Needs no model, so every dense operator runs offline."""
+
+    def cell(token: Column) -> Column:
+        return F.conv(F.substring(F.md5(token), 1, 4), 16, 10).cast("int") % dim
+
+    def counts(cells: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(dim - 1)),
+            lambda d: (F.size(cells) - F.size(F.array_remove(cells, d))).cast("double"),
+        )
+
+    return tx.bind(F.transform(tx.tokenize(F.lower(_c(col))), cell), counts)

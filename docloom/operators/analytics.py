@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions import text as tx
 from docloom.scale import one_row, rank_values
 
 
@@ -205,8 +206,10 @@ def ab_test(results: DataFrame, min_samples: int = 100, z_needed: float = 1.96)
 
 def benchmark_results(runs: DataFrame) -> DataFrame:
     """Judge answers: half of the expected keywords and enough confidence."""
-    answer = F.lower(F.coalesce("answer", F.lit("")))
-    matched = F.size(F.filter("expected", lambda k: F.contains(answer, F.lower(k))))
+    matched = tx.bind(
+        F.lower(F.coalesce("answer", F.lit(""))),
+        lambda answer: F.size(F.filter("expected", lambda k: F.contains(answer, F.lower(k)))),
+    )
     passed = (matched >= F.size("expected") * 0.5) & (F.col("confidence") >= F.col("min_confidence"))
     return runs.withColumn("matched", matched).withColumn("passed", passed)
 
