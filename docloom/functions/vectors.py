@@ -23,8 +23,13 @@ def norm(a) -> Column:
 
 def unit(a) -> Column:
     """Scaled to length one; the zero vector stays zero."""
-    size = norm(a)
-    return F.transform(_c(a), lambda x: F.when(size == 0, F.lit(0.0)).otherwise(x.cast("double") / size))
+    a = _c(a)
+    return tx.bind(
+        norm(a),
+        lambda size: F.transform(
+            a, lambda x: F.when(size == 0, F.lit(0.0)).otherwise(x.cast("double") / size)
+        ),
+    )
 
 
 def cosine(a, b, empty: float = 0.0) -> Column:

@@ -161,6 +161,12 @@ def _clamp(col: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), col))
 
 
+def _half_up(col: Column, digits: int) -> Column:
+    """Round half up, whatever the noise in the last bits of a sum."""
+    scale = 10**digits
+    return F.floor(col * scale + 0.5 + 1e-9) / scale
+
+
 def document_scores(judged: DataFrame, structure_type: Column | None = None, chunk_size: int = 500) -> DataFrame:
     """Weighted score per document from its passed chunks."""
     passed = F.col("reject_reason").isNull()
@@ -206,7 +212,7 @@ def simple_scores(judged: DataFrame, structure_type: Column | None = None, chunk
         + F.least(F.lit(1.0), 0.6 + (1 - F.col("plain") / F.col("passed")) * 0.4) * 0.1
     )
     return per_doc.select(
-        "doc_id", F.when(F.col("passed") == 0, F.lit(0.0)).otherwise(F.rint(_clamp(score) * 1000) / 1000).alias("score")
+        "doc_id", F.when(F.col("passed") == 0, F.lit(0.0)).otherwise(_half_up(_clamp(score), 3)).alias("score")
     )
 
 

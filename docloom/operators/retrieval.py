@@ -87,15 +87,14 @@ def bm25(queries: DataFrame, units: DataFrame, k: int | None = 10, unit_id: str
     asked = queries.select("query_id", F.explode(tx.tokenize("query")).alias("term")).groupBy("query_id", "term").agg(
         F.count("*").alias("qf")
     )
-    asked = scale.broadcast_if_small(asked)
-    vocabulary = asked.select("term").distinct()
-    idf = stats.join(vocabulary, "term", "left_semi").select(
+    hint = F.broadcast if scale.fits_broadcast(asked) else lambda df: df
+    idf = stats.join(hint(asked.select("term").distinct()), "term", "left_semi").select(
         "term", F.when(raw_idf < 0, EPSILON * mean_idf).otherwise(raw_idf).alias("idf")
     )
     weights = asked.join(idf, "term").select("query_id", "term", (F.col("qf") * F.col("idf")).alias("w"))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl)
     scores = (
-        index.join(F.broadcast(weights) if scale.fits_broadcast(asked) else weights, "term")
+        index.join(hint(weights), "term")
         .groupBy("query_id", "id")
         .agg(F.round(F.sum(F.col("w") * F.col("tf") * (K1 + 1) / norm), SCORE_DIGITS).alias("score"))
         .filter("score > 0")
@@ -158,7 +157,7 @@ def exact_knn(queries: DataFrame, units: DataFrame, k: int = 10, scope: DataFram
         if rows.empty:
             continue
         block = _unit_rows(np.stack(rows["vec"].to_numpy()).astype(np.float64))
-        hits = units.select("id", F.col("vec").cast("array<float>").alias("vec")).mapInPandas(
+        hits = units.select("id", "vec").mapInPandas(
             _scan(list(rows["query_id"]), block, k), schema
         )
         found = hits if found is None else found.unionByName(hits)

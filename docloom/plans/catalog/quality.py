@@ -145,8 +145,8 @@ def _(t: Tables):
 
 @query(
     "simple_scores",
-    """SELECT doc_id, CASE WHEN passed = 0 THEN 0.0::DOUBLE ELSE round(greatest(0, least(1, passed / total::DOUBLE * 0.4
-                 + least(1, avg_chars / 400) * 0.3 + 0.75::DOUBLE * 0.2 + 0.6::DOUBLE * 0.1)), 3) END AS score
+    """SELECT doc_id, CASE WHEN passed = 0 THEN 0.0::DOUBLE ELSE floor(greatest(0, least(1, passed / total::DOUBLE * 0.4
+                 + least(1, avg_chars / 400) * 0.3 + 0.75::DOUBLE * 0.2 + 0.6::DOUBLE * 0.1)) * 1000 + 0.5 + 1e-9) / 1000 END AS score
        FROM (SELECT doc_id, count(*) AS total, count(*) FILTER (reject_reason IS NULL) AS passed,
                     avg(char_count) FILTER (reject_reason IS NULL) AS avg_chars FROM judged GROUP BY 1)""",
     ("judged",),

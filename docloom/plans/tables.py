@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docloom.session import apply_runtime_conf
+
 
 class Tables:
     """Lazy access: ``tables.documents`` reads ``<dir>/documents.parquet``."""
@@ -16,6 +18,7 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        apply_runtime_conf(spark)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in self.NAMES:

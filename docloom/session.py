@@ -7,7 +7,6 @@ and adaptive execution are fixed here.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -18,9 +17,19 @@ _SEMANTIC_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A union that claims its children's partitioning can meet a side that
+    # adaptive execution has coalesced differently ("Can't zip RDDs").
+    "spark.sql.unionOutputPartitioning": "false",
 }
 
 
+def apply_runtime_conf(spark: SparkSession) -> None:
+    """The same settings on a session somebody else built."""
+    for key, value in _SEMANTIC_CONF.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+
+
 def build_session(master: str | None = None, app: str = "docloom", **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -56,6 +65,6 @@ def checkpoint_ready(spark: SparkSession) -> None:
     if shared:
         sc.setCheckpointDir(shared)
     elif sc.master.startswith("local"):
-        sc.setCheckpointDir(os.environ.get("DOCLOOM_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
