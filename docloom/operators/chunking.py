@@ -102,10 +102,12 @@ def chunk_key(doc_id, idx) -> Column:
 def emit_chunks(docs: DataFrame, pieces: Column | str, doc_id: str = "doc_id",
                 keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per piece, with sibling links taken from the position."""
-    counted = docs.select(doc_id, *keep, tx._c(pieces).alias("_p"))
-    rows = counted.select(
-        doc_id, *keep, F.size("_p").alias("_n"), F.posexplode("_p").alias("chunk_idx", "content")
+    # The count is taken before the explode; next to it, the whole array would
+    # travel with every one of its rows.
+    counted = docs.select(doc_id, *keep, tx._c(pieces).alias("_p")).select(
+        doc_id, *keep, F.size("_p").alias("_n"), "_p"
     )
+    rows = counted.select(doc_id, *keep, "_n", F.posexplode("_p").alias("chunk_idx", "content"))
     idx = F.col("chunk_idx")
     return rows.select(
         chunk_key(doc_id, idx).alias("chunk_id"),
@@ -424,9 +426,7 @@ def code_units(files: DataFrame, code: str = "text") -> DataFrame:
     one is dropped, and a file without any stays whole."""
     opens = f"{_CLASS_LINE}|{_FUNC_LINE}|{_IMPORT_LINE}"
     parts = F.split(code, rf"\n(?={opens})")
-    rows = files.select(
-        "doc_id", code, F.size(F.split(code, "\n")).alias("n_lines"), F.posexplode(parts).alias("i", "content")
-    )
+    rows = files.select("doc_id", F.posexplode(parts).alias("i", "content"))
     first_line = F.substring_index("content", "\n", 1)
     kind = (
         F.when(first_line.rlike(f"^{_CLASS_LINE}"), "class")
@@ -435,10 +435,11 @@ def code_units(files: DataFrame, code: str = "text") -> DataFrame:
     )
     order = Window.partitionBy("doc_id").orderBy("i")
     height = F.size(F.split("content", "\n"))
+    every = Window.partitionBy("doc_id")
     placed = rows.select(
-        "doc_id", code, "n_lines", "content", kind.alias("unit_type"), tx.strip(first_line).alias("head"),
+        "doc_id", "content", kind.alias("unit_type"), tx.strip(first_line).alias("head"),
         F.sum(height).over(structure.upto(order)).alias("end_line"), height.alias("height"),
-        F.count(kind).over(Window.partitionBy("doc_id")).alias("units"), "i",
+        F.count(kind).over(every).alias("units"), F.sum(height).over(every).alias("n_lines"), "i",
     )
     last_word = F.regexp_extract("head", r"(\S+)\z", 1)
     name = (
@@ -453,8 +454,7 @@ def code_units(files: DataFrame, code: str = "text") -> DataFrame:
     )
     modules = placed.filter(whole & (F.col("i") == 0)).select(
         "doc_id", F.lit("module").alias("unit_type"), F.lit("").alias("name"),
-        F.lit(1).cast("long").alias("start_line"), F.col("n_lines").cast("long").alias("end_line"),
-        F.col(code).alias("content"),
+        F.lit(1).cast("long").alias("start_line"), F.col("n_lines").cast("long").alias("end_line"), "content",
     )
     return units.unionByName(modules)
 
@@ -507,13 +507,23 @@ def python_units(files: DataFrame, code: str = "text") -> DataFrame:
     """Units of Python files by syntax tree; files that do not parse fall back
     to their opening lines. Only spans come back from Python."""
     parsed = files.withColumn("_u", _outline(code))
-    good = parsed.filter("_u IS NOT NULL").select("doc_id", code, F.explode("_u").alias("u"))
-    lines = F.split(code, "\n")
-    span = F.slice(lines, F.col("u.start_line"), F.col("u.end_line") - F.col("u.start_line") + 1)
-    block = F.when(
-        F.col("u.unit_type") == "import_block", F.filter(span, lambda ln: ln.rlike(r"^(?:import|from)\s"))
-    ).otherwise(span)
-    tree = good.select("doc_id", "u.*", F.array_join(block, "\n").alias("content"))
+
+    def with_content(lines: Column) -> Column:
+        def content(u: Column) -> Column:
+            span = F.slice(lines, u["start_line"], u["end_line"] - u["start_line"] + 1)
+            imports = F.filter(span, lambda ln: ln.rlike(r"^(?:import|from)\s"))
+            kept = F.when(u["unit_type"] == "import_block", imports).otherwise(span)
+            return F.struct(
+                *[u[name].alias(name) for name in _UNIT.names], F.array_join(kept, "\n").alias("content")
+            )
+
+        return F.transform("_u", content)
+
+    # Contents are cut inside the file's row: exploding first would copy the
+    # whole file to each of its units.
+    tree = parsed.filter("_u IS NOT NULL").select(
+        "doc_id", F.explode(tx.bind(F.split(code, "\n"), with_content)).alias("u")
+    ).select("doc_id", "u.*")
     rest = code_units(parsed.filter("_u IS NULL"), code).select(
         "doc_id", "unit_type", "name", F.lit("").alias("class_name"),
         F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"), "content",

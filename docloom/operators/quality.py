@@ -33,7 +33,7 @@ def ratios(content: Column) -> dict[str, Column]:
     return {
         # Outer whitespace only.
         "content_ratio": F.length(tx.strip(content)) / size,
-        "digit_ratio": F.regexp_count(content, F.lit(r"(?U)\d")) / size,
+        "digit_ratio": F.regexp_count(content, F.lit(r"\p{Nd}")) / size,
         "punct_ratio": F.regexp_count(content, F.lit(tx.PUNCTUATION)) / size,
         "zh_ratio": F.regexp_count(content, F.lit(tx.CJK)) / size,
     }
@@ -97,26 +97,30 @@ def judge_chunks(docs: DataFrame, pieces: str = "pieces", profile: str | None =
     judged = F.transform(
         pieces,
         lambda c: F.struct(
-            c.alias("content"), text_reason(c, min_length).alias("early"), tx.char_hash(c).alias("char_hash")
-        ),
-    )
-    staged = docs.withColumn("_j", judged).withColumn(
-        "_dup",
-        _earlier_similar(threshold)(
-            F.transform("_j", lambda s: F.when(s["early"].isNull(), s["char_hash"]).otherwise(ABSENT))
+            c.alias("content"), text_reason(c, min_length).alias("early")
         ),
     )
+    hashed = docs.withColumn("_j", judged).withColumn("_h", tx.char_hashes(pieces))
+    alive = F.zip_with("_h", "_j", lambda h, s: F.when(s["early"].isNull(), h).otherwise(ABSENT))
+    staged = hashed.withColumn("_dup", _earlier_similar(threshold)(alive))
     language = F.col(f"{profile}.primary_language") if profile else F.lit("en")
     zh = F.col(f"{profile}.zh_ratio") if profile else F.lit(0.0)
-    rows = staged.select(
-        "doc_id", language.alias("_lang"), zh.alias("_zh"), "_dup", F.posexplode("_j").alias("chunk_idx", "_c")
+    merged = F.transform(
+        F.arrays_zip("_j", "_h", "_dup"),
+        lambda z: F.struct(
+            z["_j"]["content"].alias("content"), z["_j"]["early"].alias("early"),
+            z["_h"].alias("char_hash"), z["_dup"].alias("dup"),
+        ),
+    )
+    rows = staged.select("doc_id", language.alias("_lang"), zh.alias("_zh"), merged.alias("_m")).select(
+        "doc_id", "_lang", "_zh", F.posexplode("_m").alias("chunk_idx", "_c")
     )
     content = F.col("_c.content")
     r = ratios(content)
     foreign = (F.col("_lang") != "mixed") & (F.abs(r["zh_ratio"] - F.col("_zh")) > LANGUAGE_DEVIATION_MAX)
     reason = (
         F.when(F.col("_c.early").isNotNull(), F.col("_c.early"))
-        .when(F.get("_dup", F.col("chunk_idx")), "DEDUP")
+        .when(F.col("_c.dup"), "DEDUP")
         .when(foreign, "LANGUAGE_CONSISTENCY")
     )
     return rows.select(

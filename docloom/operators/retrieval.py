@@ -47,7 +47,8 @@ def postings(units: DataFrame, unit_id: str = "chunk_id", text: str = "content")
     """term, id, tf, dl: the sparse index. A unit is one row, so counting its
     terms needs no shuffle."""
     tokens = units.select(F.col(unit_id).alias("id"), tx.tokenize(text).alias("_t"))
-    return tokens.select("id", F.size("_t").alias("dl"), F.explode(term_frequencies("_t")).alias("p")).select(
+    counted = tokens.select("id", F.size("_t").alias("dl"), term_frequencies("_t").alias("_p"))
+    return counted.select("id", "dl", F.explode("_p").alias("p")).select(
         F.col("p.term").alias("term"), "id", F.col("p.tf").alias("tf"), "dl"
     )
 

@@ -167,10 +167,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     # Neighbouring chunks of a document, compared inside the document's row.
-    pieces = F.transform(F.col("pieces"), tx.char_hash)
-    rows = t.documents.select("doc_id", v.chunking.fixed_pieces("text").alias("pieces")).select(
-        "doc_id", pieces.alias("hs")
-    )
+    rows = t.documents.select("doc_id", tx.char_hashes(v.chunking.fixed_pieces("text")).alias("hs"))
     pairs = rows.select("doc_id", "hs", F.posexplode("hs").alias("i", "h")).filter("i > 0")
     return pairs.select(
         v.chunking.chunk_key("doc_id", "i").alias("chunk_id"),

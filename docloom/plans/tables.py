@@ -20,7 +20,25 @@ class Tables:
         self.sf_dir = sf_dir.rstrip("/")
         apply_runtime_conf(spark)
 
+    # Text tables and their keys: heavy per-row work, so few splits hurt.
+    SPREAD = {"documents": "doc_id", "pages": "page_id"}
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in self.NAMES:
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread_small(df, self.SPREAD[name]) if name in self.SPREAD else df
+
+
+def spread_small(df: DataFrame, key: str, split_bytes: int = 32 * 1024 * 1024) -> DataFrame:
+    """Spread an input that has less than one split of work per core.
+
+    A small file is often a single row group, which one task would read and
+    process alone. Inputs that already fill the cluster stay as they are: there
+    the scan's own splits are the parallelism, and no text is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) >= cores * split_bytes:
+        return df
+    return df.repartition(cores, key)

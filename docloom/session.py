@@ -20,6 +20,9 @@ _SEMANTIC_CONF = {
     # A union that claims its children's partitioning can meet a side that
     # adaptive execution has coalesced differently ("Can't zip RDDs").
     "spark.sql.unionOutputPartitioning": "false",
+    # For every explode this rule adds the filter size(array) > 0 and pushes it to
+    # the scan, where it computes the whole array expression a second time.
+    "spark.sql.optimizer.excludedRules": "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate",
 }
 
 
