@@ -14,6 +14,7 @@ from docloom import scale
 from docloom.functions import text as tx
 from docloom.functions import vectors as vx
 from docloom.operators.ranking import top_k
+from docloom.session import materialize
 
 # Okapi parameters with a floor for negative idf.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -72,16 +73,21 @@ def remove_units(index: DataFrame, doomed: DataFrame) -> DataFrame:
 
 def bm25(queries: DataFrame, units: DataFrame, k: int | None = 10, unit_id: str = "chunk_id",
          text: str = "content") -> DataFrame:
+    """Build the index of the units into a table, then search it."""
+    index = materialize(postings(units, unit_id, text), "postings")
+    return search_index(queries, index, unit_lengths(units, unit_id, text), k)
+
+
+def search_index(queries: DataFrame, index: DataFrame, lengths: DataFrame, k: int | None = 10) -> DataFrame:
     """query_id, id, score, rnk for every query at once; scores must be positive.
 
-    A unit's postings come out of one task, so the partial sums per (query, unit)
-    are complete before the only shuffle of scores.
+    ``index`` is (term, id, tf, dl), ``lengths`` (id, dl) of all units, also those
+    without a term. Small query sets are broadcast after a size check; a unit's
+    postings then meet them where they were read, and partial sums per (query,
+    unit) are complete before the only shuffle of scores.
     """
-    index = postings(units, unit_id, text)
-    lengths = unit_lengths(units, unit_id, text).agg(
-        F.count("*").alias("n"), F.avg("dl").alias("avgdl")
-    )
-    n, avgdl = lengths.select("n").scalar(), lengths.select("avgdl").scalar()
+    shape = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    n, avgdl = shape.select("n").scalar(), shape.select("avgdl").scalar()
     stats = term_statistics(index)
     raw_idf = F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     mean_idf = stats.agg(F.avg(raw_idf).alias("m")).scalar()

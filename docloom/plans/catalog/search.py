@@ -13,6 +13,7 @@ from docloom.plans import views as v
 from docloom.plans.catalog.chunks import section_chunks
 from docloom.plans.registry import cte, query, quote, sql_strip
 from docloom.plans.tables import Tables
+from docloom.session import materialize
 
 K = 10
 
@@ -421,8 +422,13 @@ cte(
 )
 
 
-def section_hits(t: Tables):
-    return rt.bm25(items(t), section_chunks(t), K)
+def section_hits(t: Tables, chunks=None):
+    return rt.bm25(items(t), chunks if chunks is not None else stored_chunks(t), K)
+
+
+def stored_chunks(t: Tables):
+    """The chunk table, written once: search, location and expansion all read it."""
+    return materialize(section_chunks(t), "chunks")
 
 
 @query(
@@ -432,8 +438,8 @@ def section_hits(t: Tables):
     ("anchors", "sec_chunks"),
 )
 def _(t: Tables):
-    chunks = section_chunks(t)
-    anchors = ex.locate(section_hits(t).filter("rnk < 3"), chunks)
+    chunks = stored_chunks(t)
+    anchors = ex.locate(section_hits(t, chunks).filter("rnk < 3"), chunks)
     return ex.sequential(anchors, chunks).select("query_id", "anchor_id", "chunk_id", "chunk_idx")
 
 
@@ -445,8 +451,8 @@ def _(t: Tables):
     ("anchors", "sec_chunks"),
 )
 def _(t: Tables):
-    chunks = section_chunks(t)
-    anchors = ex.locate(section_hits(t).filter("rnk < 3"), chunks)
+    chunks = stored_chunks(t)
+    anchors = ex.locate(section_hits(t, chunks).filter("rnk < 3"), chunks)
     return ex.siblings(anchors, chunks, 10).select("query_id", "anchor_id", "chunk_id")
 
 
@@ -462,7 +468,8 @@ def _(t: Tables):
     ("around", "anchors", "live"),
 )
 def _(t: Tables):
-    return ex.expand(section_hits(t), section_chunks(t))
+    chunks = stored_chunks(t)
+    return ex.expand(materialize(section_hits(t, chunks), "hits"), chunks)
 
 
 cte(

@@ -8,8 +8,9 @@ and adaptive execution are fixed here.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SEMANTIC_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -71,3 +72,17 @@ def checkpoint_ready(spark: SparkSession) -> None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder beside the checkpoints, shared by all executors."""
+    checkpoint_ready(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate that several branches read, and read it back. Unlike a
+    cache it survives lost executors, and readers prune its columns."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

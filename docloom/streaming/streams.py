@@ -6,18 +6,16 @@ watermark they set, on a table the same function is the batch twin.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from docloom.functions import text as tx
 from docloom.operators import chunking as ch
 from docloom.operators import quality as ql
-from docloom.session import checkpoint_ready
+from docloom.session import scratch
 from docloom.sources.sinks import replace_partition
 
 # Fixed values.
@@ -166,12 +164,6 @@ def retry_failed(dead: DataFrame, max_retries: int = MAX_RETRIES) -> tuple[DataF
 
 
 # --- running ------------------------------------------------------------------------------
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder beside the checkpoints, shared by all executors."""
-    checkpoint_ready(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def read_table_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A stored table as a stream of its files."""
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
