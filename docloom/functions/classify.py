@@ -61,25 +61,28 @@ def semantic_intent(col, intents: Mapping[str, Sequence[str]] | None = None,
     intents = intents or DEFAULT_INTENTS
     query = tx._c(col)
     lower = F.lower(query)
-    scored = []
-    for rank, (name, words) in enumerate(intents.items()):
-        found = matches(lower, words, whole_word)
-        chars = F.aggregate(found, F.lit(0), lambda acc, w: acc + F.length(w))
-        scored.append(
-            F.struct(
-                F.size(found).alias("score"), F.lit(-rank).alias("priority"),
-                F.lit(name).alias("intent"), chars.alias("chars"),
-            )
+
+    def entry(rank: int, name: str, words: Sequence[str]) -> Column:
+        return tx.bind(
+            matches(lower, words, whole_word),
+            lambda found: F.struct(
+                F.size(found).alias("score"), F.lit(-rank).alias("priority"), F.lit(name).alias("intent"),
+                F.aggregate(found, F.lit(0), lambda acc, w: acc + F.length(w)).alias("chars"),
+            ),
         )
-    best = F.array_max(F.array(*scored))
-    hit = best["score"] > 0
-    coverage = best["chars"] / F.greatest(F.length(query), F.lit(1))
-    confidence = F.round(F.least(F.lit(1.0), 0.5 + coverage * 0.4), 4)
-    return F.struct(
-        F.when(hit, best["intent"]).otherwise("UNKNOWN").alias("intent"),
-        best["score"].alias("score"),
-        F.when(hit, confidence).otherwise(F.lit(0.3)).alias("confidence"),
-    )
+
+    def verdict(best: Column) -> Column:
+        hit = best["score"] > 0
+        coverage = best["chars"] / F.greatest(F.length(query), F.lit(1))
+        confidence = F.round(F.least(F.lit(1.0), 0.5 + coverage * 0.4), 4)
+        return F.struct(
+            F.when(hit, best["intent"]).otherwise("UNKNOWN").alias("intent"),
+            best["score"].alias("score"),
+            F.when(hit, confidence).otherwise(F.lit(0.3)).alias("confidence"),
+        )
+
+    scored = F.array(*[entry(i, name, words) for i, (name, words) in enumerate(intents.items())])
+    return tx.bind(F.array_max(scored), verdict)
 
 
 def answer_structure(col, whole_word: bool = False) -> Column:
@@ -92,8 +95,10 @@ def answer_structure(col, whole_word: bool = False) -> Column:
         )
         for rank, (name, words) in enumerate(lx.STRUCTURE_TERMS.items())
     ]
-    best = F.array_max(F.array(*scored))
-    return F.when(best["score"] > 0, best["structure"]).otherwise("unknown")
+    return tx.bind(
+        F.array_max(F.array(*scored)),
+        lambda best: F.when(best["score"] > 0, best["structure"]).otherwise("unknown"),
+    )
 
 
 def route(tier, intent) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from docloom.functions import text as tx
 from docloom.operators.chunking import chunk_key
+from docloom.session import materialize
 
 # Rule thresholds and names, in the order the rules are applied.
 MIN_LENGTH = 20
@@ -238,6 +239,7 @@ def near_duplicates(judged: DataFrame, threshold: float = SIMILARITY_MAX) -> Dat
     hashes = judged.filter("reject_reason IS NULL OR reject_reason IN ('DEDUP', 'LANGUAGE_CONSISTENCY')").groupBy(
         "char_hash"
     ).agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "chunk_idx")).alias("first"))
+    hashes = materialize(hashes, "hashes")
     masks = F.array(*[F.lit(m).cast("long") for m in flips(threshold)])
     probes = hashes.select(
         F.col("char_hash").alias("origin"), F.col("first").alias("origin_first"),

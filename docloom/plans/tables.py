@@ -21,7 +21,7 @@ class Tables:
         apply_runtime_conf(spark)
 
     # Text tables and their keys: heavy per-row work, so few splits hurt.
-    SPREAD = {"documents": "doc_id", "pages": "page_id"}
+    SPREAD = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in self.NAMES:
