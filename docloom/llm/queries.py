@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, hilbert, mixing, order_minhash, repetition
+from docloom.llm import bpe, hilbert, mixing, order_minhash, repetition, substrings
 from docloom.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, with_ids=False)
 
 
+@query("op4_block_anchors")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(read(spark, sf_dir, "documents"), with_text=False)
+
+
 @query("op6_repetition_rules")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality(read(spark, sf_dir, "documents"))
