@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, hilbert, mixing, order_minhash, repetition, substrings
+from docloom.llm import bpe, hilbert, mixing, near_duplicates, order_minhash, repetition, substrings
 from docloom.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality(read(spark, sf_dir, "documents"))
 
 
+@query("op8_weighted_minhash")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.classes(read(spark, sf_dir, "documents"))
+
+
 @query("op9_pfair_mixing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.interleave(read(spark, sf_dir, "documents"))
