@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, hilbert, mixing, near_duplicates, order_minhash, repetition, substrings
+from docloom.llm import bpe, hilbert, lines, mixing, near_duplicates, order_minhash, repetition, substrings
 from docloom.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(read(spark, sf_dir, "documents"), with_text=False)
 
 
+@query("op5_line_similarity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(read(spark, sf_dir, "documents"), with_text=False)
+    return out.withColumn("removed", F.array_join("removed", ","))
+
+
 @query("op6_repetition_rules")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality(read(spark, sf_dir, "documents"))
