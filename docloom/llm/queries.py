@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, hilbert, lines, mixing, near_duplicates, order_minhash, repetition, substrings
+from docloom.llm import bpe, hilbert, lines, mixing, near_duplicates, order_minhash, pii, repetition, substrings
 from docloom.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,14 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+@query("op1_bootstrapped_pii")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find(read(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans"
+    )
+
+
 @query("op2_hilbert_shards")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
