@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, hilbert, lines, mixing, near_duplicates, order_minhash, pii, repetition, substrings
+from docloom.llm import bpe, hilbert, lines, mixing, near_duplicates, order_minhash, pii, repetition, site_quality, substrings
 from docloom.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +68,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality(read(spark, sf_dir, "documents"))
 
 
+@query("op7_site_bayes")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang")
+    return site_quality.quality(docs, read(spark, sf_dir, "labels"), docs["source"], path)
+
+
 @query("op8_weighted_minhash")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.classes(read(spark, sf_dir, "documents"))
