@@ -131,8 +131,9 @@ def _verified(pairs: DataFrame, bodies: DataFrame, similarity: tuple[int, int])
     return good.select(F.col("x_doc").alias("doc"), F.col("x_line_no").alias("line_no")).distinct()
 
 
-def dedup_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, with_text: bool = True, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key``, ``n_lines``, ``n_removed``, ``removed`` (line numbers from 0, ascending) and
+def dedup_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, with_text: bool = True, text: str = "text", key: str = "doc_id",
+                carry: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, the ``carry`` columns, ``n_lines``, ``n_removed``, ``removed`` (line numbers from 0, ascending) and
     (if asked for) ``kept_text``: every document without the lines that come later than
     a similar one.
 
@@ -144,7 +145,7 @@ def dedup_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, with_
     """
     rows = docs.select(
         docs[key].alias("__id"), F.coalesce(docs[key].cast("long"), F.lit(_NULL_KEY)).alias("doc"),
-        docs[text].cast("string").alias("text"),
+        docs[text].cast("string").alias("text"), *[docs[c].alias(f"__{i}") for i, c in enumerate(carry)],
     )
     gone = similar_lines(rows.select("doc", "text"), similarity).groupBy("doc").agg(
         F.array_sort(F.collect_set("line_no")).alias("removed")
@@ -153,7 +154,7 @@ def dedup_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, with_
     none = F.array().cast("array<int>")
     out = counted if with_text else counted.drop("text")
     out = out.join(gone, "doc", "left").withColumn("removed", F.coalesce("removed", none))
-    columns = [F.col("__id").alias(key), F.col("n_lines").cast("long"), F.size("removed").cast("long").alias("n_removed"), "removed"]
+    columns = [F.col("__id").alias(key), *[F.col(f"__{i}").alias(c) for i, c in enumerate(carry)], F.col("n_lines").cast("long"), F.size("removed").cast("long").alias("n_removed"), "removed"]
     if with_text:
         # Removed line numbers ascend, so the lines between two of them stay together.
         lines = F.split("text", "\n")

@@ -103,6 +103,33 @@ def frequencies(texts: DataFrame) -> np.ndarray:
 def classes(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key``, ``class_id`` (least key of the class), ``class_size`` (rows), ``kept`` (one row a class).
 
+    See ``classified``; rows with equal keys and texts share their verdict.
+    """
+    found = classified(docs, similarity, text, key)
+    return found.select(F.col("key").alias(key), "class_id", "class_size", "kept")
+
+
+def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row of each class, with all columns of ``docs``: that with the least key, of
+    equal ones the one whose text has the least digest, of repeated rows any one. Texts are
+    shuffled only if the rows to drop are too many to send to all executors."""
+    found = materialize(classified(docs, similarity, text, key), "classified")
+    drop = found.filter("NOT kept").select(F.col("key").alias("__key"), F.col("tid").alias("__tid")).distinct()
+    again = found.filter("kept").groupBy(F.col("key").alias("__key"), F.col("tid").alias("__tid")).count().filter("count > 1").drop("count")
+    rows = docs.withColumn("__t", F.unhex(F.md5(F.coalesce(docs[text].cast("string"), F.lit("")))))
+    own = lambda other: rows[key].eqNullSafe(other["__key"]) & (rows["__t"] == other["__tid"])
+    drop, again = broadcast_if_small(drop), broadcast_if_small(materialize(again, "again"))
+    kept = rows.join(drop, own(drop), "left_anti")
+    if again.limit(1).count():
+        own = lambda other: kept[key].eqNullSafe(other["__key"]) & (kept["__t"] == other["__tid"])
+        once = kept.join(again, own(again), "left_semi").dropDuplicates([key, "__t"])
+        kept = kept.join(again, own(again), "left_anti").unionByName(once)
+    return kept.select(*docs.columns)
+
+
+def classified(docs: DataFrame, similarity: float, text: str, key: str) -> DataFrame:
+    """Every row's ``key``, ``tid`` (digest of its text), ``class_id``, ``class_size``, ``kept``.
+
     Two texts are linked if the weighted Jaccard similarity of their five-word shingles
     is ``similarity`` or more; classes are what links join, and equal texts. Weights are
     counts times an inverse document frequency over all rows. Candidates share a band
@@ -180,7 +207,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text",
     named = per_text.join(heads, "root").select("tid", "class_id", "class_size", "low", (F.col("tid") == F.col("head")).alias("head"))
     return (
         signed.select("key", "tid").join(named, "tid")
-        .select(F.col("key").alias(key), "class_id", "class_size", (F.col("head") & F.col("key").eqNullSafe(F.col("low"))).alias("kept"))
+        .select("key", "tid", "class_id", "class_size", (F.col("head") & F.col("key").eqNullSafe(F.col("low"))).alias("kept"))
     )
 
 
