@@ -46,13 +46,8 @@ def complexity_tier(col, whole_word: bool = False) -> Column:
     return F.when(short, "C0").when(complex_, "C2").otherwise("C1")
 
 
-def merged_intents(*tables: Mapping[str, Sequence[str]]) -> dict[str, list[str]]:
-    return {
-        name: [w for table in tables for w in table.get(name, ())] for name in lx.INTENT_PRIORITY
-    }
-
-
-DEFAULT_INTENTS = merged_intents(lx.INTENT_TERMS_ZH, lx.INTENT_TERMS_EN)
+#: Ties between intents go to the earliest entry.
+DEFAULT_INTENTS = {name: lx.INTENT_TERMS[name] for name in lx.INTENT_PRIORITY}
 
 
 def semantic_intent(col, intents: Mapping[str, Sequence[str]] | None = None,
