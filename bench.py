@@ -13,7 +13,7 @@ HEADLINE = [
     "clean_text", "language_profile", "semantic_intent", "route", "structure_elements", "section_tree",
     "split_sections", "sliding_chunks", "fixed_chunks", "recursive_chunks", "incremental_diff", "judge_chunks",
     "filter_report", "near_duplicates", "unique_documents", "sparse_index", "bm25", "bm25_sources", "exact_knn",
-    "rrf", "rerank", "build_context", "context_expansion", "extract_relations", "multi_hop", "html_text",
+    "rrf", "rerank", "build_context", "context_expansion", "extract_relations", "multi_hop",
     "latency_percentiles", "daily_series", "ab_test", "user_sessions", "rate_violations_sliding", "stream_throughput",
 ]
 

@@ -30,6 +30,7 @@ SENTENCE_STOP_DOT = "。！？.!?\n"
 PUNCTUATION = r"""[。！？，、；："'（）【】《》「」『』〔〕…—·,.;:!?()\[\]{}<>\-–]"""
 ZERO_WIDTH = r"[\x{200b}-\x{200f}\x{2028}-\x{202f}\x{205f}\x{2060}\x{feff}]"
 ROLE_MARKER = r"(?i)(system|assistant|<\|im_start\|>|<\|im_end\|>)\s*[:\x{ff1a}]"
+MAX_INPUT_CHARS = 4000
 TOKEN_BUDGETS = {"C0": 1500, "C1": 3000, "C2": 5000}
 DOC_ID_PATTERN = r"^[a-zA-Z0-9_\-]+$"
 
@@ -280,12 +281,13 @@ def overlap_suffix(col, n: int) -> Column:
     )
 
 
-def sanitize_input(col, compose: bool = True) -> Column:
+def sanitize_input(col, compose: bool = True, max_chars: int = MAX_INPUT_CHARS) -> Column:
+    """A query without hidden characters and role markers, cut to ``max_chars``."""
     text = nfc(col) if compose else _c(col)
     text = F.regexp_replace(text, ZERO_WIDTH, "")
     text = F.regexp_replace(text, ROLE_MARKER, "")
     text = F.regexp_replace(text, "-{5,}", "---")
-    return strip(F.substring(text, 1, 4000))
+    return strip(F.substring(text, 1, max_chars))
 
 
 def sanitize_output(col) -> Column:

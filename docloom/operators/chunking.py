@@ -8,8 +8,9 @@ prev/next links follow from the position alone.
 
 from __future__ import annotations
 
-import ast
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,21 +31,18 @@ def fixed_pieces(col, size: int = 500) -> Column:
     return F.filter(F.transform(slices, tx.strip), lambda s: s != "")
 
 
-def _window_bounds(sizes: list[int], size: int, overlap: int) -> list[tuple[int, int]]:
-    """Greedy packing with whole-sentence overlap; linear in the sentences."""
-    bounds, start, n = [], 0, len(sizes)
+def _window_bounds(sizes: np.ndarray, size: int, overlap: int) -> list[tuple[int, int]]:
+    """Windows over items of the given sizes: a window ends before the item that would
+    pass ``size``, and the next one begins with as many whole items as ``overlap`` holds.
+    Both ends of every possible window are looked up in the running total at once."""
+    n = len(sizes)
+    total = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    ends = np.maximum(np.searchsorted(total, total[:-1] + size, side="right") - 1, np.arange(n) + 1)
+    nexts = np.maximum(np.searchsorted(total, total[ends] - overlap), np.arange(n) + 1)
+    bounds, start = [], 0
     while start < n:
-        end, used = start, 0
-        while end < n and used + sizes[end] <= size:
-            used += sizes[end]
-            end += 1
-        end = max(end, start + 1)
-        bounds.append((start, end))
-        back, kept = end, 0
-        while back > 0 and kept + sizes[back - 1] <= overlap:
-            back -= 1
-            kept += sizes[back]
-        start = max(back, start + 1)
+        bounds.append((start, int(ends[start])))
+        start = int(nexts[start])
     return bounds
 
 
@@ -63,7 +61,7 @@ def sliding_bounds(size: int, overlap: int):
         return lengths.map(
             lambda ls: None
             if ls is None
-            else [{"lo": a, "hi": b} for a, b in _window_bounds([int(x) for x in ls], size, overlap)]
+            else [{"lo": a, "hi": b} for a, b in _window_bounds(np.asarray(ls, dtype=np.int64), size, overlap)]
         )
 
     return bounds
@@ -268,8 +266,7 @@ def _pack_sentences(size: int):
         def one(parts):
             if parts is None:
                 return None
-            parts = list(parts)
-            return ["".join(parts[a:b]) for a, b in _window_bounds([len(p) for p in parts], size, 0)]
+            return ["".join(parts[a:b]) for a, b in _window_bounds(np.array([len(p) for p in parts], dtype=np.int64), size, 0)]
 
         return sentences.map(one)
 
@@ -292,33 +289,32 @@ def oversize_pieces(col, size: int = 500) -> Column:
     )
 
 
-def _pack_paragraphs(size: int, overlap: int):
-    """UDF: paragraphs of a section (whole, or already split) -> chunk texts.
+def _joined_runs(texts: list[str], size: int, overlap: int) -> list[str]:
+    """Chunks of consecutive paragraphs. Each takes the paragraphs that still fit by the
+    running total, one at least, after the end of the chunk before."""
+    gap = "\n\n"
+    total = np.concatenate([[0], np.cumsum([len(t) + len(gap) for t in texts], dtype=np.int64)])
+    chunks, tail, at = [], "", 0
+    while at < len(texts):
+        room = size + len(gap) - (len(tail) + len(gap) if tail else 0)
+        upto = max(at + 1, int(np.searchsorted(total, total[at] + room, side="right")) - 1)
+        chunks.append(gap.join([tail, *texts[at:upto]] if tail else texts[at:upto]).strip())
+        tail = chunks[-1][-overlap:].lstrip() if overlap else ""
+        at = upto
+    return chunks
 
-    A buffer collects whole paragraphs; when the next one does not fit, the
-    buffer is emitted and its last ``overlap`` characters open the next chunk.
-    """
+
+def _pack_paragraphs(size: int, overlap: int):
+    """UDF: paragraphs of a section (whole, or already split) -> chunk texts. A split
+    paragraph stands alone; those between two of them are joined."""
 
     def pack(paragraphs) -> list[str]:
         out: list[str] = []
-        buf = ""
-        for para in paragraphs:
-            if para["pieces"] is not None:
-                out.extend([buf] if buf else [])
-                out.extend(p.strip() for p in para["pieces"] if p.strip())
-                buf = ""
-                continue
-            joined = f"{buf}\n\n{para['text']}".strip()
-            if len(joined) <= size:
-                buf = joined
-                continue
-            if not buf:
-                buf = para["text"]
-                continue
-            out.append(buf.strip())
-            buf = f"{buf[-overlap:]}\n\n{para['text']}" if overlap else para["text"]
-        if buf.strip():
-            out.append(buf.strip())
+        for whole, group in groupby(paragraphs, key=lambda p: p["pieces"] is None):
+            if whole:
+                out += _joined_runs([p["text"] for p in group], size, overlap)
+            else:
+                out += [piece.strip() for p in group for piece in p["pieces"] if piece.strip()]
         return out
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -459,78 +455,6 @@ def code_units(files: DataFrame, code: str = "text") -> DataFrame:
     return units.unionByName(modules)
 
 
-_UNIT = T.StructType(
-    [
-        T.StructField("unit_type", T.StringType()),
-        T.StructField("name", T.StringType()),
-        T.StructField("class_name", T.StringType()),
-        T.StructField("start_line", T.IntegerType()),
-        T.StructField("end_line", T.IntegerType()),
-    ]
-)
-
-
-def _python_outline(source: str):
-    """Docstring, import block, classes with methods and functions of a module;
-    None if it does not parse."""
-    try:
-        body = ast.parse(source).body
-    except (SyntaxError, ValueError):
-        return None
-    units = []
-
-    def unit(kind, node, name="", owner=""):
-        units.append((kind, name, owner, node.lineno, node.end_lineno))
-
-    if body and isinstance(body[0], ast.Expr) and isinstance(getattr(body[0].value, "value", None), str):
-        unit("docstring", body[0])
-    imports = [n.lineno for n in body if isinstance(n, (ast.Import, ast.ImportFrom))]
-    if imports:
-        units.append(("import_block", "", "", imports[0], imports[-1]))
-    functions = (ast.FunctionDef, ast.AsyncFunctionDef)
-    for node in body:
-        if isinstance(node, ast.ClassDef):
-            unit("class", node, node.name)
-            for child in (c for c in node.body if isinstance(c, functions)):
-                unit("function", child, child.name, node.name)
-        elif isinstance(node, functions):
-            unit("function", node, node.name)
-    return [dict(zip(_UNIT.names, u)) for u in units]
-
-
-@F.pandas_udf(T.ArrayType(_UNIT))
-def _outline(sources: pd.Series) -> pd.Series:
-    return sources.map(lambda s: None if s is None else _python_outline(s))
-
-
-def python_units(files: DataFrame, code: str = "text") -> DataFrame:
-    """Units of Python files by syntax tree; files that do not parse fall back
-    to their opening lines. Only spans come back from Python."""
-    parsed = files.withColumn("_u", _outline(code))
-
-    def with_content(lines: Column) -> Column:
-        def content(u: Column) -> Column:
-            span = F.slice(lines, u["start_line"], u["end_line"] - u["start_line"] + 1)
-            imports = F.filter(span, lambda ln: ln.rlike(r"^(?:import|from)\s"))
-            kept = F.when(u["unit_type"] == "import_block", imports).otherwise(span)
-            return F.struct(
-                *[u[name].alias(name) for name in _UNIT.names], F.array_join(kept, "\n").alias("content")
-            )
-
-        return F.transform("_u", content)
-
-    # Contents are cut inside the file's row: exploding first would copy the
-    # whole file to each of its units.
-    tree = parsed.filter("_u IS NOT NULL").select(
-        "doc_id", F.explode(tx.bind(F.split(code, "\n"), with_content)).alias("u")
-    ).select("doc_id", "u.*")
-    rest = code_units(parsed.filter("_u IS NULL"), code).select(
-        "doc_id", "unit_type", "name", F.lit("").alias("class_name"),
-        F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"), "content",
-    )
-    return tree.unionByName(rest)
-
-
 # --- relations between chunks ---------------------------------------------------
 def inject_positions(chunks: DataFrame, page_map: DataFrame | None = None) -> DataFrame:
     """Running character span, content hash and, given (doc_id, offset, page),

@@ -93,9 +93,9 @@ cte(
                  concat('| ', array_to_string(list_transform(range(n), lambda i: '---'), ' | '), ' |')],
                  list_transform(rs[2:], lambda r: concat('| ', array_to_string(list_concat(r, list_transform(range(n - len(r)), lambda i: '')), ' | '), ' |'))), chr(10)) AS md
         FROM (SELECT doc_id, rs, list_max(list_transform(rs, lambda r: len(r))) AS n FROM
-              (SELECT doc_id, list_transform(list_filter(string_split(content, chr(10)), lambda l: l <> ''),
+              (SELECT doc_id, list_transform(string_split(regexp_replace(content, '\n\\z', ''), chr(10)),
                         lambda l: list_transform(string_split(l, ','), lambda c: {sql_strip('c')})) AS rs
-               FROM (SELECT doc_id, regexp_replace(text, '["\\r]', '', 'g') AS content FROM documents))) WHERE len(rs) > 0""",
+               FROM (SELECT doc_id, regexp_replace(text, '["\\r]', '', 'g') AS content FROM documents) WHERE content <> ''))""",
 )
 
 
@@ -187,22 +187,6 @@ def _(t: Tables):
     return ch.code_units(v.markup(t))
 
 
-@query("python_units")
-def _(t: Tables):
-    # The definitions rendered into the structured documents, as Python files.
-    code = F.array_join(
-        F.filter(
-            F.transform(
-                F.split("text", "\n"),
-                lambda ln: F.when(ln.startswith("def "), F.concat(ln, F.lit("\n    return x"))),
-            ),
-            lambda ln: ln.isNotNull(),
-        ),
-        "\n",
-    )
-    return ch.python_units(v.markup(t).select("doc_id", F.concat(F.lit('"""Doc."""\nimport os\n'), code).alias("text")))
-
-
 # --- chunks of sections ---------------------------------------------------------
 def section_chunks(t: Tables):
     """Sections of the structured documents cut into 300-character chunks."""

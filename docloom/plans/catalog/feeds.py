@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-
-import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,11 +25,6 @@ def _(t: Tables):
     return t.documents.select("doc_id", fl.decode_text(F.encode("text", "UTF-8")).alias("text"))
 
 
-@query("html_text")
-def _(t: Tables):
-    return t.pages.select("page_id", fl.html_text("html").alias("text"), fl.html_text("html", joined=True).alias("joined"))
-
-
 @query("csv_markdown", "SELECT doc_id, md FROM csv_tables", ("csv_tables",))
 def _(t: Tables):
     return csv_files(t).select("doc_id", fl.csv_markdown("content").alias("md")).filter("md <> ''")
@@ -59,39 +50,11 @@ def _(t: Tables):
     return v.files(t).filter(fl.allowed("filename")).select("doc_id", "filename")
 
 
-@query("pending_documents", "SELECT doc_id FROM doc_status WHERE status = 'pending' ORDER BY doc_id LIMIT 100", ("doc_status",))
+@query("pending_documents", "SELECT doc_id FROM doc_status WHERE status = 'pending'", ("doc_status",))
 def _(t: Tables):
     return fl.pending(doc_status(t)).select("doc_id")
 
 
-@F.pandas_udf(T.BinaryType())
-def _zipped(names: pd.Series, texts: pd.Series) -> pd.Series:
-    def one(name: str, text: str) -> bytes:
-        buf = io.BytesIO()
-        with zipfile.ZipFile(buf, "w") as zf:
-            zf.writestr(f"sub/{name}", text)
-            zf.writestr("empty.txt", "")
-        return buf.getvalue()
-
-    return pd.Series([one(n, x) for n, x in zip(names, texts)])
-
-
-@query(
-    "expand_archives",
-    """SELECT doc_id AS archive, filename, CASE WHEN ok THEN 'queued' ELSE 'skipped' END AS status,
-              CASE WHEN ok THEN '' ELSE concat('Unsupported extension ''', ext, '''') END AS reason, CASE WHEN ok THEN sha256(text) END AS content_hash
-       FROM (SELECT CAST(doc_id AS VARCHAR) AS doc_id, filename, text, lower(split_part(filename, '.', 2)) AS ext,
-                    lower(split_part(filename, '.', 2)) IN ('pdf', 'txt', 'md', 'html') AS ok FROM files)
-       UNION ALL SELECT CAST(doc_id AS VARCHAR), 'empty.txt', 'skipped', 'File empty or exceeds size limit', NULL FROM files""",
-    ("files",),
-)
-def _(t: Tables):
-    archives = v.files(t).select(F.col("doc_id").cast("string").alias("path"), _zipped("filename", "text").alias("content"))
-    return fl.expand_archives(archives).select(
-        "archive", "filename", "status", "reason", F.sha2("content", 256).alias("content_hash")
-    )
-
-
 _IP = "concat(k + 100, '.', user_id % 40, '.', user_id % 3, '.', event_id % 250)"
 
 

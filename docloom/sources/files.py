@@ -1,4 +1,4 @@
-"""Reading files: text with encoding fallback, CSV, archives, HTML, manifests.
+"""Reading files: text with encoding fallback, CSV, manifests, links, parser registry.
 
 Files arrive as rows of the ``binaryFile`` source; each parser is a function of
 one file's content, so any number of files spreads over the cluster.
@@ -6,12 +6,7 @@ one file's content, so any number of files spreads over the cluster.
 
 from __future__ import annotations
 
-import csv
-import io
-import os
-import zipfile
-from collections.abc import Callable, Iterator
-from html.parser import HTMLParser
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,11 +16,7 @@ from pyspark.sql import types as T
 from docloom import lexicon as lx
 from docloom.functions import text as tx
 
-# Limits and accepted extensions.
-MAX_TABLE_ROWS = 5000
-MAX_FILE_BYTES = 50 * 1024 * 1024
-MAX_ARCHIVE_ENTRIES = 200
-MAX_ARCHIVE_BYTES = 500 * 1024 * 1024
+# Accepted extensions.
 ALLOWED_EXTENSIONS = [
     "pdf", "docx", "pptx", "xlsx", "csv", "txt", "md", "html", "json", "xml", "zip",
 ]
@@ -64,101 +55,53 @@ def text_corpus(files: DataFrame) -> DataFrame:
     )
 
 
-# --- HTML ------------------------------------------------------------------------
-# Elements that start a line and elements left out with their content.
-BLOCK_TAGS = frozenset("p div h1 h2 h3 h4 h5 h6 li blockquote pre section article".split())
-SKIPPED_TAGS = frozenset("script style nav footer header".split())
-
-
-class _PageText(HTMLParser):
-    """Collects visible text. ``gap`` goes between neighbouring inline pieces:
-    a space, or nothing to reproduce the joined form exactly."""
-
-    def __init__(self, gap: str):
-        super().__init__(convert_charrefs=True)
-        self.gap = gap
-        self.out: list[str] = []
-        self.hidden = 0
-        self.at_block = False
-
-    def _break(self):
-        self.out.append("\n")
-
-    def handle_starttag(self, tag, attrs):
-        if tag in SKIPPED_TAGS:
-            self.hidden += 1
-        elif not self.hidden and tag in BLOCK_TAGS and not self.at_block:
-            if self.out and self.out[-1] != "\n":
-                self._break()
-            self.at_block = True
-
-    def handle_endtag(self, tag):
-        if tag in SKIPPED_TAGS:
-            self.hidden = max(self.hidden - 1, 0)
-        elif tag == "br":
-            self._break()
-            self.at_block = False
-
-    def handle_data(self, data):
-        piece = data.strip()
-        if self.hidden or not piece:
-            return
-        if self.gap and self.out and self.out[-1] != "\n":
-            self.out.append(self.gap)
-        self.out.append(piece)
-        self.at_block = False
-
+# --- CSV ---------------------------------------------------------------------------
+# A field in quotes may hold commas, line ends and doubled quotes. Repetition is
+# possessive, so long fields neither backtrack nor use the stack.
+_QUOTED = r'"[^"]*+(?:""[^"]*+)*+"?+'
+_FIELD = rf"(?:{_QUOTED}[^,\r\n]*+|[^,\r\n]*+)"
+_RECORD = rf"({_FIELD}(?:,{_FIELD})*+)(?:\r\n|\n|\r|$)"
 
-def _page_text(html: str, gap: str) -> str:
-    page = _PageText(gap)
-    try:
-        page.feed(html)
-    except AssertionError:  # malformed markup: keep what was read
-        pass
-    return "".join(page.out)
 
+def csv_rows(col) -> Column:
+    """The records of a CSV file as arrays of stripped cells; a blank line is a record
+    of one empty cell, the end of the last line is none."""
+    text = tx._c(col)
+    records = F.regexp_extract_all(text, F.lit(_RECORD), F.lit(1))
 
-def html_text(col, joined: bool = False) -> Column:
-    """Visible text of a page; ``joined`` puts no space between inline pieces."""
-    gap = "" if joined else " "
+    def cell(field: Column) -> Column:
+        inner = F.regexp_replace(F.regexp_extract(field, rf"^({_QUOTED})", 1), r'^"|"$', "")
+        rest = F.regexp_replace(field, rf"^{_QUOTED}", "")
+        return tx.strip(F.when(field.startswith('"'), F.concat(F.replace(inner, F.lit('""'), F.lit('"')), rest)).otherwise(field))
 
-    @F.pandas_udf(T.StringType())
-    def parse(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda h: None if h is None else _page_text(h, gap))
+    def cells(record: Column) -> Column:
+        return F.transform(F.regexp_extract_all(record, F.lit(rf"(?:^|,)({_FIELD})"), F.lit(1)), cell)
 
-    return tx.strip(F.regexp_replace(parse(tx._c(col)), r"\n{3,}", "\n\n"))
+    # At the end of the text the pattern also matches the empty string.
+    return F.transform(tx.bind(records, lambda r: F.slice(r, F.lit(1), F.size(r) - 1)), cells)
 
 
-# --- CSV ---------------------------------------------------------------------------
-@F.pandas_udf(T.StringType())
-def _csv_table(contents: pd.Series) -> pd.Series:
-    def line(cells) -> str:
-        return "| " + " | ".join(cells) + " |"
+def csv_markdown(col, max_rows: int | None = None) -> Column:
+    """A CSV file as a Markdown table: the first record is its head, the others are
+    filled up to the widest. ``max_rows`` cuts after so many records, head included."""
 
-    def one(content):
-        if content is None:
-            return None
-        rows = []
-        for row in csv.reader(io.StringIO(content, newline="")):
-            if row:
-                rows.append([c.strip() for c in row])
-            if len(rows) >= MAX_TABLE_ROWS:
-                break
-        if not rows:
-            return ""
-        width = max(map(len, rows))
-        body = [line(r + [""] * (width - len(r))) for r in rows[1:]]
-        return "\n".join([line(rows[0]), line(["---"] * width), *body])
+    def table(rows: Column) -> Column:
+        width = F.array_max(F.transform(rows, lambda r: F.size(r)))
+        line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
 
-    return contents.map(one)
+        def drawn(width: Column) -> Column:
+            body = F.slice(rows, F.lit(2), F.size(rows))
+            full = F.transform(body, lambda r: line(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r)))))
+            rule = line(F.array_repeat(F.lit("---"), width))
+            return F.array_join(F.concat(F.array(line(rows[0]), rule), full), "\n")
 
+        return F.when(F.size(rows) == 0, F.lit("")).otherwise(tx.bind(width, drawn))
 
-def csv_markdown(col) -> Column:
-    """A CSV file as a Markdown table; rows after the 5000th are left out."""
-    return _csv_table(tx._c(col))
+    rows = csv_rows(col)
+    return tx.bind(rows if max_rows is None else F.slice(rows, 1, max_rows), table)
 
 
-# --- manifests, archives, links -------------------------------------------------------
+# --- manifests and links -------------------------------------------------------
 def manifest(files: DataFrame, name: str = "path", content: str = "content") -> DataFrame:
     """One pending document per file."""
     filename = F.substring_index(name, "/", -1)
@@ -175,56 +118,10 @@ def allowed(name) -> Column:
     return tx.file_extension(name).isin(ALLOWED_EXTENSIONS)
 
 
-def pending(documents: DataFrame, batch: int = 100) -> DataFrame:
-    """Documents to (re)process next."""
-    return documents.filter("status = 'pending'").orderBy("doc_id").limit(batch)
-
-
-_ENTRY_SCHEMA = "archive string, filename string, status string, reason string, content binary"
-
-
-def _expand(archive: str, raw: bytes) -> Iterator[tuple]:
-    if len(raw) > MAX_FILE_BYTES:
-        yield archive, "", "rejected", "ZIP file exceeds size limit", None
-        return
-    try:
-        zf = zipfile.ZipFile(io.BytesIO(raw))
-    except zipfile.BadZipFile:
-        yield archive, "", "rejected", "Invalid ZIP file", None
-        return
-    entries = [e for e in zf.infolist() if not e.is_dir()]
-    if len(entries) > MAX_ARCHIVE_ENTRIES:
-        yield archive, "", "rejected", f"ZIP contains too many entries (max {MAX_ARCHIVE_ENTRIES})", None
-        return
-    if sum(e.file_size for e in entries) > MAX_ARCHIVE_BYTES:
-        yield archive, "", "rejected", "ZIP content exceeds size limit", None
-        return
-    for entry in entries:
-        base = os.path.basename(entry.filename)
-        ext = os.path.splitext(base)[1].lower().lstrip(".")
-        if ext not in ALLOWED_EXTENSIONS:
-            yield archive, base, "skipped", f"Unsupported extension '{ext}'", None
-        elif entry.file_size == 0 or entry.file_size > MAX_FILE_BYTES:
-            yield archive, base, "skipped", "File empty or exceeds size limit", None
-        else:
-            try:
-                yield archive, base, "queued", "", zf.read(entry)
-            except Exception as exc:  # a damaged entry does not lose the others
-                yield archive, base, "failed", str(exc)[:200], None
-
-
-def expand_archives(files: DataFrame, name: str = "path", content: str = "content") -> DataFrame:
-    """One row per archive entry, with a status; content only where queued.
-    Entries are yielded one by one, so a batch never holds a whole archive twice."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["archive", "filename", "status", "reason", "content"]
-        for batch in batches:
-            for archive, raw in batch.itertuples(index=False, name=None):
-                for entry in _expand(archive, bytes(raw)):
-                    yield pd.DataFrame([entry], columns=columns)
-
-    return files.select(F.col(name).alias("archive"), F.col(content).alias("raw")).mapInPandas(run, _ENTRY_SCHEMA)
+def pending(documents: DataFrame, batch: int | None = None) -> DataFrame:
+    """Documents to (re)process next: all, or the first ``batch`` by id."""
+    waiting = documents.filter("status = 'pending'")
+    return waiting if batch is None else waiting.orderBy("doc_id").limit(batch)
 
 
 def url_admission(url) -> Column:
@@ -272,7 +169,6 @@ def register_parser(*extensions: str):
 
 
 register_parser(*lx.TEXT_EXTENSIONS)(decode_text)
-register_parser("html", "htm")(lambda content: html_text(decode_text(content)))
 register_parser("csv")(lambda content: csv_markdown(decode_text(content)))
 
 

@@ -1,8 +1,6 @@
 """Operators whose results depend on order, models or files: small cases by hand."""
 
-import io
 import random
-import zipfile
 
 import numpy as np
 import pandas as pd
@@ -83,25 +81,7 @@ def test_whole_word_matching_is_optional(spark):
 
 
 # --- chunking ---------------------------------------------------------------------
-def brute_windows(sents, size, overlap):
-    out, start = [], 0
-    while start < len(sents):
-        end, used = start, 0
-        while end < len(sents) and used + len(sents[end]) <= size:
-            used += len(sents[end])
-            end += 1
-        end = end if end > start else start + 1
-        out.append("".join(sents[start:end]))
-        kept, back = 0, 0
-        for s in reversed(sents[:end]):
-            if kept + len(s) > overlap:
-                break
-            kept, back = kept + len(s), back + 1
-        start = max(end - back, start + 1)
-    return out
-
-
-def test_sliding_chunks_equal_brute_force(spark):
+def test_sliding_chunks_pack_whole_sentences(spark):
     rng = random.Random(3)
     docs = [(i, "".join("w" * rng.randint(1, 30) + rng.choice("!?\n") for _ in range(40))) for i in range(20)]
     got = ch.sliding_chunks(spark.createDataFrame(docs, ["doc_id", "text"]), size=60, overlap=25)
@@ -110,7 +90,20 @@ def test_sliding_chunks_equal_brute_force(spark):
         rows.setdefault(r["doc_id"], []).append(r["content"])
     for doc_id, text in docs:
         sents = [s.strip() for s in text.replace("!", "!\0").replace("?", "?\0").replace("\n", "\n\0").split("\0")]
-        assert rows[doc_id] == brute_windows([s for s in sents if s], 60, 25)
+        sents = [s for s in sents if s]
+        at = 0
+        for chunk, after in zip(rows[doc_id], [*rows[doc_id][1:], None]):
+            n = next(k for k in range(1, len(sents) - at + 1) if "".join(sents[at : at + k]) == chunk)
+            end = at + n  # whole sentences, as many as fit
+            assert n == 1 or len(chunk) <= 60
+            assert end == len(sents) or len(chunk) + len(sents[end]) > 60
+            if after is None:
+                assert end == len(sents)
+                break
+            starts = [k for k in range(at + 1, end + 1) if "".join(sents[k:]).startswith(after)]
+            fitting = [k for k in starts if sum(map(len, sents[k:end])) <= 25]
+            at = min(fitting) if fitting else starts[0]  # as much overlap as fits
+            assert at == at and (at == end or sum(map(len, sents[at:end])) <= 25)
 
 
 def test_links_are_symmetric(spark):
@@ -157,17 +150,6 @@ def test_table_pieces_repeat_the_header(spark):
     assert all(p.startswith(f"{head}\n{rule}\n") for p in pieces)
 
 
-def test_python_units(spark):
-    code = '"""Doc."""\nimport os\nfrom a import b\n\nclass A:\n    def m(self):\n        return 1\n\ndef f():\n    pass\n'
-    df = spark.createDataFrame([(1, code), (2, "def broken(:\nclass X\n")], ["doc_id", "text"])
-    rows = ch.python_units(df).orderBy("doc_id", "start_line").collect()
-    good = [(r["unit_type"], r["name"], r["class_name"]) for r in rows if r["doc_id"] == 1]
-    assert good == [
-        ("docstring", "", ""), ("import_block", "", ""), ("class", "A", ""), ("function", "m", "A"), ("function", "f", ""),
-    ]
-    assert {r["unit_type"] for r in rows if r["doc_id"] == 2} == {"function", "class"}
-
-
 def test_section_tree_of_mixed_levels(spark):
     text = "### deep\n## mid\n#### low\n# top\n## child\n## sibling\n第一章 开始"
     tree = st.section_tree(st.headings(st.line_rows(spark.createDataFrame([(1, text)], ["doc_id", "text"]))))
@@ -337,41 +319,36 @@ def test_decode_falls_back(spark, tmp_path):
     assert rows["l.txt"] == cases["l.txt"].decode("latin-1")
 
 
-def test_html_modes(spark):
-    page = "<nav>menu</nav><h1>T</h1><p>a <b>b</b></p><script>x</script><div>c<br/>d</div>"
-    assert one(spark, fl.html_text("t", joined=True), t=page) == "T\nab\nc\nd"
-    assert one(spark, fl.html_text("t"), t=page) == "T\na b\nc\nd"
-
-
-def test_archives(spark):
-    def pack(entries):
-        buf = io.BytesIO()
-        with zipfile.ZipFile(buf, "w") as zf:
-            for name, data in entries:
-                zf.writestr(name, data)
-        return bytearray(buf.getvalue())
-
-    rows = [("ok.zip", pack([("a/x.txt", "hi"), ("b.exe", "no"), ("c.md", "")])), ("bad.zip", bytearray(b"junk")),
-            ("many.zip", pack([(f"{i}.txt", "x") for i in range(201)]))]
-    got = fl.expand_archives(spark.createDataFrame(rows, "path string, content binary")).collect()
-    status = sorted((r["archive"], r["filename"], r["status"]) for r in got)
-    assert status == [
-        ("bad.zip", "", "rejected"), ("many.zip", "", "rejected"), ("ok.zip", "b.exe", "skipped"),
-        ("ok.zip", "c.md", "skipped"), ("ok.zip", "x.txt", "queued"),
-    ]
-
-
 def test_parser_registry(spark):
     @fl.register_parser("rev")
     def reverse(content):
         return F.reverse(content.cast("string"))
 
     files = spark.createDataFrame(
-        [("a.rev", bytearray(b"abc")), ("b.csv", bytearray(b"k,v\n1,2\n")), ("c.bin", bytearray(b"x")), ("d.html", bytearray(b"<p>z</p>"))],
+        [("a.rev", bytearray(b"abc")), ("b.csv", bytearray(b"k,v\n1,2\n")), ("c.bin", bytearray(b"x"))],
         "path string, content binary",
     )
     rows = {r["path"]: r["text"] for r in fl.parse_files(files).collect()}
-    assert rows == {"a.rev": "cba", "b.csv": "| k | v |\n| --- | --- |\n| 1 | 2 |", "c.bin": None, "d.html": "z"}
+    assert rows == {"a.rev": "cba", "b.csv": "| k | v |\n| --- | --- |\n| 1 | 2 |", "c.bin": None}
+
+
+def test_csv_records(spark):
+    text = 'a,"b, ""c""\nd",e\r\n\n x ,5" pipe\n"open, end'
+    rows = one(spark, fl.csv_rows("t"), t=text)
+    assert rows == [["a", 'b, "c"\nd', "e"], [""], ["x", '5" pipe'], ["open, end"]]
+    assert one(spark, fl.csv_rows("t"), t="") == [] and one(spark, fl.csv_rows("t"), t="\n\n") == [[""], [""]]
+    long = "\n".join(f"{i},{'y' * 20_000 if i == 5 else i}" for i in range(7000))
+    assert one(spark, fl.csv_markdown("t"), t=long).count("\n") == 7000
+    assert one(spark, fl.csv_markdown("t", 10), t=long).count("\n") == 10
+
+
+def test_equal_requests_are_all_visible(spark):
+    from docloom.operators import relations as rl
+
+    names = "doc_id long, tenant_id string, dept_id string, user_id long, n int"
+    asked = spark.createDataFrame([(1, "t", None, 5, 1), (1, "t", None, 5, 1), (1, "t", None, 5, 2), (2, "t", "d", 5, 3)], names)
+    granted = spark.createDataFrame([(1, "tenant", "t"), (1, "user", "5"), (2, "public", "x")], "doc_id long, scope_type string, scope_value string")
+    assert sorted(r.n for r in rl.visible(asked, granted).collect()) == [1, 1, 2]
 
 
 def test_append_new_is_idempotent(spark, tmp_path):
