@@ -17,7 +17,6 @@ from docloom.session import checkpoint_ready
 # Limits of extraction, traversal and facts.
 MAX_NAME_CHARS = 50
 MIN_EXTRACT_CHARS = 20
-EXTRACT_CHARS = 1500
 MAX_HOPS, MAX_NODES, MAX_FACTS = 3, 50, 30
 
 EXTRACTION_SCHEMA = (
@@ -48,10 +47,10 @@ def term_chain(col) -> Column:
     return tx.bind(tx.keywords(col), as_json)
 
 
-def extract(chunks: DataFrame, extractor=term_chain, text: str = "content") -> DataFrame:
-    """Adds ``raw``, the extractor's JSON, for chunks of at least 20 characters; a
-    model sees the first 1500 characters of a chunk."""
-    shown = F.substring(tx.strip(text), 1, EXTRACT_CHARS)
+def extract(chunks: DataFrame, extractor=term_chain, text: str = "content", max_chars: int | None = None) -> DataFrame:
+    """Adds ``raw``, the extractor's JSON, for chunks of at least 20 characters. An
+    extractor with a limited context gets the first ``max_chars`` characters of a chunk."""
+    shown = tx.strip(text) if max_chars is None else F.substring(tx.strip(text), 1, max_chars)
     long_enough = F.length(tx.strip(text)) >= MIN_EXTRACT_CHARS
     return chunks.withColumn("raw", extractor(F.when(long_enough, shown)))
 

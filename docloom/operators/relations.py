@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,11 +66,14 @@ def visible(requests: DataFrame, permissions: DataFrame) -> DataFrame:
         F.struct(F.lit("dept").alias("scope_type"), F.col("dept_id").alias("scope_value")),
         F.struct(F.lit("user").alias("scope_type"), F.col("user_id").cast("string").alias("scope_value")),
     )
-    probes = requests.select("*", F.explode(scopes).alias("_s"))
-    granted = probes.select("*", "_s.scope_type", "_s.scope_value").join(
+    asked = ["doc_id", "tenant_id", "dept_id", "user_id"]
+    probes = requests.select(*asked).distinct().select(*asked, F.explode(scopes).alias("_s"))
+    granted = probes.select(*asked, "_s.scope_type", "_s.scope_value").join(
         permissions, ["doc_id", "scope_type", "scope_value"], "left_semi"
-    )
-    return granted.drop("_s", "scope_type", "scope_value").distinct()
+    ).select(*asked).distinct()
+    # Equal requests are checked once and all come back.
+    same = reduce(lambda a, b: a & b, [requests[c].eqNullSafe(granted[c]) for c in asked])
+    return requests.join(granted, same, "left_semi")
 
 
 def name_sources(hits: DataFrame, names: DataFrame) -> DataFrame:
@@ -118,14 +122,14 @@ def topic_switches(messages: DataFrame, threshold: float = 0.35, session: str =
 
 
 def conversation_markdown(messages: DataFrame, session: str = "conv_id", order: str = "turn",
-                          part_turns: int = 1000) -> DataFrame:
-    """Sessions as Markdown, one row per ``part_turns`` turns, so that the text of
-    a long session is never built in one place."""
+                          part_turns: int | None = None) -> DataFrame:
+    """Sessions as Markdown, one row each. Sessions too long for one row can be written
+    in parts: with ``part_turns``, one row for so many turns, numbered in ``part``."""
     entry = F.struct(
         F.col(order), F.concat(F.lit("## "), "role", F.lit("\n\n"), F.col("text")).alias("md")
     )
-    part = F.floor(F.col(order) / part_turns).cast("int")
-    return messages.groupBy(session, part.alias("part")).agg(
+    part = [] if part_turns is None else [F.floor(F.col(order) / part_turns).cast("int").alias("part")]
+    return messages.groupBy(session, *part).agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(entry)), lambda m: m["md"]), "\n\n"
         ).alias("markdown")

@@ -137,7 +137,7 @@ cte(
     "term_lists",
     f"""SELECT chunk_id, doc_id, (SELECT list(k ORDER BY f) FROM (SELECT k, min(p) AS f FROM
                (SELECT unnest(ks) AS k, unnest(range(len(ks))) AS p) GROUP BY k)) AS kw
-        FROM (SELECT chunk_id, doc_id, regexp_extract_all(substr({sql_strip('content')}, 1, 1500), '{tx.KEYWORD}') AS ks
+        FROM (SELECT chunk_id, doc_id, regexp_extract_all({sql_strip('content')}, '{tx.KEYWORD}') AS ks
               FROM chunks WHERE length({sql_strip('content')}) >= 20)""",
     ("chunks",),
 )

@@ -178,7 +178,7 @@ def _(t: Tables):
 
 @query(
     "conversation_markdown",
-    """SELECT conv_id, 0 AS part, string_agg(concat('## ', role, chr(10), chr(10), text), chr(10) || chr(10) ORDER BY turn) AS markdown
+    """SELECT conv_id, string_agg(concat('## ', role, chr(10), chr(10), text), chr(10) || chr(10) ORDER BY turn) AS markdown
        FROM conversations GROUP BY 1""",
 )
 def _(t: Tables):
