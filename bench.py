@@ -23,9 +23,11 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     only = sys.argv[1:]
     from docloom.plans.catalog import QUERIES
+    from docloom.plans.tables import Tables
     from docloom.session import local_session
 
     spark = local_session(cpus)
+    Tables.spread = int(cpus)
     for name in ("documents", "events"):  # start the executors and the file cache
         spark.read.parquet(f"{sf_dir}/{name}.parquet").count()
     times = {}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -71,11 +72,37 @@ def remove_units(index: DataFrame, doomed: DataFrame) -> DataFrame:
     return index.join(doomed, "id", "left_anti")
 
 
+class SparseIndex(NamedTuple):
+    """A stored index: ``postings`` (term, id, tf, dl) and the ``lengths`` (id, dl) of all
+    units, also those without a term."""
+
+    postings: DataFrame
+    lengths: DataFrame
+
+    def add(self, units: DataFrame, unit_id: str = "chunk_id", text: str = "content") -> SparseIndex:
+        new = build_index(units, unit_id, text)
+        return SparseIndex(self.postings.unionByName(new.postings), self.lengths.unionByName(new.lengths))
+
+    def remove(self, doomed: DataFrame) -> SparseIndex:
+        """Without the units whose ``id`` is given."""
+        return SparseIndex(remove_units(self.postings, doomed), remove_units(self.lengths, doomed))
+
+
+def build_index(units: DataFrame, unit_id: str = "chunk_id", text: str = "content") -> SparseIndex:
+    """Reads and splits every text once. A unit's terms and length are stored in its row;
+    postings are these rows unfolded, so writing the index shuffles nothing."""
+    tokens = units.select(F.col(unit_id).alias("id"), tx.tokenize(text).alias("_t"))
+    stored = materialize(tokens.select("id", F.size("_t").alias("dl"), term_frequencies("_t").alias("terms")), "postings")
+    unfolded = stored.select("id", "dl", F.explode("terms").alias("p"))
+    return SparseIndex(
+        unfolded.select(F.col("p.term").alias("term"), "id", F.col("p.tf").alias("tf"), "dl"), stored.select("id", "dl")
+    )
+
+
 def bm25(queries: DataFrame, units: DataFrame, k: int | None = 10, unit_id: str = "chunk_id",
          text: str = "content") -> DataFrame:
-    """Build the index of the units into a table, then search it."""
-    index = materialize(postings(units, unit_id, text), "postings")
-    return search_index(queries, index, unit_lengths(units, unit_id, text), k)
+    """Build the index of the units, then search it."""
+    return search_index(queries, *build_index(units, unit_id, text), k)
 
 
 def search_index(queries: DataFrame, index: DataFrame, lengths: DataFrame, k: int | None = 10) -> DataFrame:

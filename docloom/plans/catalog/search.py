@@ -38,7 +38,8 @@ def documents(t: Tables):
 
 
 def sparse_hits(t: Tables):
-    return rt.bm25(items(t), t.documents, K, unit_id="doc_id", text="text")
+    index = t.stored("document index", lambda: rt.build_index(t.documents, "doc_id", "text"))
+    return t.stored("sparse hits", lambda: materialize(rt.search_index(items(t), *index, K), "hits"))
 
 
 def dense_hits(t: Tables):
@@ -54,7 +55,8 @@ def reranked_hits(t: Tables):
 
 
 def clean_hits(t: Tables):
-    return rk.drop_garbage(reranked_hits(t))
+    """The hit table: gate, context, confidence and answer read it after it is written once."""
+    return t.stored("clean hits", lambda: materialize(rk.drop_garbage(reranked_hits(t)), "hits"))
 
 
 # --- SQL twins ------------------------------------------------------------------
@@ -167,17 +169,32 @@ def _(t: Tables):
     f"""SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM
         (SELECT id, term, count(*) AS tf FROM
          (SELECT chunk_id AS id, unnest(regexp_extract_all(content, '{tx.INDEX_TOKEN}')) AS term FROM chunks WHERE lang <> 'de'
-          UNION ALL SELECT concat('p', page_id), unnest(regexp_extract_all(url, '{tx.INDEX_TOKEN}')) FROM pages) GROUP BY 1, 2)
+          UNION ALL SELECT concat('p', page_id), unnest(regexp_extract_all(html, '{tx.INDEX_TOKEN}')) FROM pages) GROUP BY 1, 2)
         GROUP BY 1""",
     ("chunks",),
 )
 def _(t: Tables):
     index = rt.postings(v.chunks(t, "lang"))
-    pages = t.pages.select(F.concat(F.lit("p"), "page_id").alias("chunk_id"), F.col("url").alias("content"))
+    pages = t.pages.select(F.concat(F.lit("p"), "page_id").alias("chunk_id"), F.col("html").alias("content"))
     doomed = v.chunks(t, "lang").filter("lang = 'de'").select(F.col("chunk_id").alias("id"))
     return rt.term_statistics(rt.remove_units(rt.add_units(index, pages), doomed))
 
 
+UPDATED_UNITS = """SELECT chunk_id, content FROM chunks WHERE lang <> 'de'
+    UNION ALL SELECT concat('p', page_id), regexp_replace(html, '<[^>]*>', ' ', 'g') FROM pages"""
+
+
+@query("bm25_after_update", sql_bm25(f"({UPDATED_UNITS})", "chunk_id", "content"), ("chunks",))
+def _(t: Tables):
+    """An index that loses the German chunks and gains the texts of the pages, then is searched."""
+    chunks = v.chunks(t, "lang")
+    pages = t.pages.select(
+        F.concat(F.lit("p"), "page_id").alias("chunk_id"), F.regexp_replace("html", "<[^>]*>", " ").alias("content")
+    )
+    doomed = chunks.filter("lang = 'de'").select(F.col("chunk_id").alias("id"))
+    return rt.search_index(items(t), *rt.build_index(chunks).add(pages).remove(doomed), K)
+
+
 @query("exact_knn", sql_knn("SELECT vec_id AS query_id, embedding AS vec FROM embeddings", 5))
 def _(t: Tables):
     every = unit_vectors(t).withColumnRenamed("id", "query_id")
@@ -428,7 +445,7 @@ def section_hits(t: Tables, chunks=None):
 
 def stored_chunks(t: Tables):
     """The chunk table, written once: search, location and expansion all read it."""
-    return materialize(section_chunks(t), "chunks")
+    return t.stored("chunks", lambda: materialize(section_chunks(t), "chunks"))
 
 
 @query(

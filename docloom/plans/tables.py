@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.session import apply_runtime_conf
@@ -18,27 +21,20 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._stored: dict[str, Any] = {}
         apply_runtime_conf(spark)
 
-    # Text tables and their keys: heavy per-row work, so few splits hurt.
-    SPREAD = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+    #: Tests and the bench deal small text tables, single row groups, to so many tasks.
+    spread: int | None = None
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in self.NAMES:
             raise AttributeError(name)
         df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        return spread_small(df, self.SPREAD[name]) if name in self.SPREAD else df
-
-
-def spread_small(df: DataFrame, key: str, split_bytes: int = 32 * 1024 * 1024) -> DataFrame:
-    """Spread an input that has less than one split of work per core.
+        return df.repartition(self.spread) if self.spread and name in ("documents", "pages", "conversations") else df
 
-    A small file is often a single row group, which one task would read and
-    process alone. Inputs that already fill the cluster stay as they are: there
-    the scan's own splits are the parallelism, and no text is shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) >= cores * split_bytes:
-        return df
-    return df.repartition(cores, key)
+    def stored(self, name: str, make: Callable[[], Any]) -> Any:
+        """What ``make`` returns, made once for all parts of a query."""
+        if name not in self._stored:
+            self._stored[name] = make()
+        return self._stored[name]

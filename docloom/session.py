@@ -7,6 +7,8 @@ and adaptive execution are fixed here.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -28,8 +30,12 @@ _SEMANTIC_CONF = {
 
 
 def apply_runtime_conf(spark: SparkSession) -> None:
-    """The same settings on a session somebody else built."""
-    for key, value in _SEMANTIC_CONF.items():
+    """The same settings on a session somebody else built; rules that it excludes stay excluded."""
+    rules = "spark.sql.optimizer.excludedRules"
+    excluded = [r for r in (spark.conf.get(rules, None) or "").split(",") if r]
+    wanted = _SEMANTIC_CONF[rules]
+    merged = excluded if wanted in excluded else [*excluded, wanted]
+    for key, value in (_SEMANTIC_CONF | {rules: ",".join(merged)}).items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
 
@@ -69,7 +75,9 @@ def checkpoint_ready(spark: SparkSession) -> None:
     if shared:
         sc.setCheckpointDir(shared)
     elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
+        own = tempfile.mkdtemp(prefix="spark-ckpt-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
 
