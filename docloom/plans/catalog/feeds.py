@@ -199,22 +199,26 @@ def _(t: Tables):
 
 @query(
     "stream_session_history",
-    """SELECT conv_id, CAST(least(count(*), 4) AS INT) AS n, max(turn) AS last_turn FROM conversations GROUP BY 1""",
+    """SELECT conv_id, CAST(count(*) AS INT) AS n, max(turn) AS last_turn,
+              string_agg(concat(turn, ' ', role, ': ', text), chr(10) ORDER BY turn) AS history
+       FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS pos FROM conversations) WHERE pos <= 40 GROUP BY 1""",
 )
 def _(t: Tables):
-    found: list = []
     out = ss.scratch(t.spark, "history")
+    found: list[str] = []
 
     def keep(batch, batch_id):
-        sk_path = f"{out}/batch={batch_id}"
-        batch.write.mode("overwrite").parquet(sk_path)
-        found.append(sk_path)
+        path = f"{out}/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(path)
+        found.append(path)
 
-    turns = ss.read_table_stream(t.spark, t.sf_dir, "conversations").select("conv_id", "turn", "role")
-    ss.run_batches(ss.session_history(turns, keep=4), "history-state", keep, mode="update")
+    turns = ss.read_table_stream(t.spark, t.sf_dir, "conversations")
+    turns = turns.select("conv_id", "turn", "role", F.col("text").alias("content"))
+    ss.run_batches(ss.session_history(turns), "history-state", keep, mode="update")
     rows = t.spark.read.option("basePath", out).parquet(*found)
-    newest = rows.groupBy("conv_id").agg(F.max_by(F.struct("n", "last_turn"), "batch").alias("s"))
-    return newest.select("conv_id", "s.n", "s.last_turn")
+    newest = rows.groupBy("conv_id").agg(F.max_by(F.struct("n", "last_turn", "history"), "batch").alias("s"))
+    said = F.transform("s.history", lambda m: F.concat(m["turn"].cast("string"), F.lit(" "), m["role"], F.lit(": "), m["content"]))
+    return newest.select("conv_id", "s.n", "s.last_turn", F.array_join(said, "\n").alias("history"))
 
 
 @query(

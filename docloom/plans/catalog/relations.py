@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from docloom import lexicon as lx
 from docloom.functions import classify as cl
 from docloom.functions import text as tx
+from docloom.functions import vectors as vx
 from docloom.operators import ranking as rk
 from docloom.operators import relations as rl
+from docloom.operators import retrieval as rt
 from docloom.plans import views as v
-from docloom.plans.catalog.chunks import sql_cosine, sql_embed
+from docloom.plans.catalog.chunks import section_chunks, sql_cosine, sql_embed
 from docloom.plans.catalog.reports import doc_status
 from docloom.plans.registry import cte, query, quote
 from docloom.plans.tables import Tables
@@ -106,20 +110,55 @@ def _(t: Tables):
     return rl.visible(requests, permissions(t)).select("log_id", "user_id", "doc_id")
 
 
+_DOOMED = "SELECT doc_id FROM labels WHERE toxic = 1"
+
+
 @query(
     "cascade_delete",
-    """SELECT 'documents' AS tab, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
-       UNION ALL SELECT 'chunks', count(*) FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
-       UNION ALL SELECT 'tags', count(*) FROM doc_tags WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
-    ("chunks", "doc_tags"),
+    f"""SELECT 'documents' AS tab, count(*) AS n FROM documents WHERE doc_id NOT IN ({_DOOMED})
+       UNION ALL SELECT 'chunks', count(*) FROM chunks WHERE doc_id NOT IN ({_DOOMED})
+       UNION ALL SELECT 'vectors', count(*) FROM chunks WHERE doc_id NOT IN ({_DOOMED})
+       UNION ALL SELECT 'postings', count(DISTINCT concat(chunk_id, ' ', term)) FROM
+           (SELECT doc_id, chunk_id, unnest(regexp_extract_all(content, '{tx.INDEX_TOKEN}')) AS term FROM chunks) WHERE doc_id NOT IN ({_DOOMED})
+       UNION ALL SELECT 'sections', count(DISTINCT concat(doc_id, ' ', section_no)) FROM sec_chunks WHERE doc_id NOT IN ({_DOOMED})
+       UNION ALL SELECT 'tags', count(*) FROM doc_tags WHERE doc_id NOT IN ({_DOOMED})""",
+    ("chunks", "doc_tags", "sec_chunks"),
 )
 def _(t: Tables):
+    chunks = v.chunks(t)
+    of_unit = F.substring_index("id", ":", 1).cast("long").alias("doc_id")
     kept = rl.cascade_delete(
-        {"documents": t.documents.select("doc_id"), "chunks": v.chunks(t), "tags": v.doc_tags(t)},
+        {
+            "documents": t.documents.select("doc_id"),
+            "chunks": chunks,
+            "vectors": chunks.select("doc_id", "chunk_id", vx.hash_embed("content").alias("vec")),
+            "postings": rt.postings(chunks).select(of_unit, "id", "term"),
+            "sections": section_chunks(t).select("doc_id", "section_no").distinct(),
+            "tags": v.doc_tags(t),
+        },
         t.labels.filter("toxic = 1"),
     )
     parts = [df.agg(F.count("*").alias("n")).withColumn("tab", F.lit(name)) for name, df in kept.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query(
+    "contained_terms",
+    """SELECT DISTINCT c_custkey, lower(needle) AS needle FROM customer,
+         (SELECT n_name AS needle FROM nation UNION ALL SELECT r_name FROM region UNION ALL SELECT c_mktsegment FROM customer
+          UNION ALL SELECT substr(s_name, length(s_name) - 3) FROM supplier)
+       WHERE needle <> '' AND contains(lower(concat(c_name, ' ', c_mktsegment)), lower(needle))""",
+)
+def _(t: Tables):
+    needles = reduce(
+        lambda a, b: a.unionByName(b),
+        [
+            t.nation.select(F.col("n_name").alias("needle")), t.region.select(F.col("r_name").alias("needle")),
+            t.customer.select(F.col("c_mktsegment").alias("needle")), t.supplier.select(F.right("s_name", F.lit(4)).alias("needle")),
+        ],
+    )
+    texts = t.customer.select("c_custkey", F.concat_ws(" ", "c_name", "c_mktsegment").alias("said"))
+    return rl.contains_terms(texts, "said", needles).select("c_custkey", "needle")
 
 
 # --- sessions ---------------------------------------------------------------------

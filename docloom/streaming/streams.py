@@ -101,32 +101,32 @@ def upload_leaders(uploads: DataFrame, ts: str = "ts", key: str = "content_hash"
 
 
 # --- session history --------------------------------------------------------------------
-HISTORY_SCHEMA = "conv_id long, n int, roles string, last_turn long"
+HISTORY_SCHEMA = "conv_id long, n int, last_turn long, history array<struct<turn:long,role:string,content:string>>"
+_HISTORY_STATE = "turns array<long>, roles array<string>, contents array<string>"
 
 
 def session_history(messages: DataFrame, keep: int = HISTORY_MESSAGES, ttl_ms: int = HISTORY_TTL_MS) -> DataFrame:
-    """Stateful stream: (conv_id, turn, role) in, one row per session and batch out
-    with the newest ``keep`` messages. Unused sessions expire after the TTL, which
-    every message extends; state per session is bounded by ``keep``."""
+    """Stateful stream: (conv_id, turn, role, content) in, one row per session and batch
+    out with the newest ``keep`` messages. A turn sent again replaces the earlier one.
+    Unused sessions expire after the TTL, which every message extends; state per session
+    is bounded by ``keep`` messages."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def update(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        turns, roles = state.get if state.exists else ([], [])
-        fresh = pd.concat(list(batches))
-        merged = sorted({**dict(zip(turns, roles)), **dict(zip(fresh["turn"], fresh["role"]))}.items())[-keep:]
-        turns, roles = [int(t) for t, _ in merged], [r for _, r in merged]
-        state.update((turns, roles))
+        kept = {turn: (role, content) for turn, role, content in zip(*state.get)} if state.exists else {}
+        for fresh in batches:
+            kept |= {int(m.turn): (m.role, m.content) for m in fresh.itertuples(index=False)}
+            kept = dict(sorted(kept.items())[-keep:])
+        state.update((list(kept), [role for role, _ in kept.values()], [content for _, content in kept.values()]))
         state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame(
-            {"conv_id": [key[0]], "n": [len(turns)], "roles": [",".join(roles)], "last_turn": [turns[-1]]}
-        )
+        history = [{"turn": turn, "role": role, "content": content} for turn, (role, content) in kept.items()]
+        yield pd.DataFrame({"conv_id": [key[0]], "n": [len(history)], "last_turn": [max(kept)], "history": [history]})
 
     return messages.groupBy("conv_id").applyInPandasWithState(
-        update, HISTORY_SCHEMA, "turns array<long>, roles array<string>", "update",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        update, HISTORY_SCHEMA, _HISTORY_STATE, "update", GroupStateTimeout.ProcessingTimeTimeout
     )
 
 
