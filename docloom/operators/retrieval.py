@@ -137,7 +137,10 @@ def search_index(queries: DataFrame, index: DataFrame, lengths: DataFrame, k: in
 
 
 # --- dense -------------------------------------------------------------------------
-BLOCK_BYTES = 32 * 1024 * 1024
+#: Vectors in a block, so that a product of two blocks takes 32 MB; bytes that
+#: may be sent to all executors.
+BLOCK_ROWS = 2048
+SENT_BYTES = 32 * 1024 * 1024
 
 
 def _unit_rows(matrix: np.ndarray) -> np.ndarray:
@@ -145,28 +148,29 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
-def _scan(ids: list, block: np.ndarray, k: int):
-    """Partition scan against one block of queries: a running top-k per query, so
-    a task emits at most k rows per query whatever it reads."""
+def _in_blocks(vectors: DataFrame, key: str, name: str) -> tuple[DataFrame, int, int]:
+    """One row of about ``BLOCK_ROWS`` vectors a block; the number of blocks and of bytes."""
+    n, dim = vectors.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
+    blocks = max(1, math.ceil(n / BLOCK_ROWS))
+    packed = vectors.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks)).alias(f"{name}_block")).agg(
+        F.collect_list(key).alias(f"{name}_ids"), F.collect_list(F.col("vec").cast("array<double>")).alias(f"{name}_vecs")
+    )
+    return packed, blocks, n * dim * 8
+
 
+def _multiply(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: pd.DataFrame | None = None
         for batch in batches:
-            if batch.empty:
-                continue
-            vectors = _unit_rows(np.stack(batch["vec"].to_numpy()).astype(np.float64))
-            sims = np.round(block @ vectors.T, SCORE_DIGITS) + 0.0
-            take = min(k, sims.shape[1])
-            # Ties at the cut are kept here and settled by id below.
-            cut = -np.partition(-sims, take - 1, axis=1)[:, take - 1 : take]
-            q, c = np.nonzero(sims >= cut)
-            found = pd.DataFrame({"q": q, "id": batch["id"].to_numpy()[c], "score": sims[q, c]})
-            best = found if best is None else pd.concat([best, found], ignore_index=True)
-            best = best.sort_values(["q", "score", "id"], ascending=[True, False, True]).groupby("q").head(k)
-        if best is not None:
-            yield pd.DataFrame(
-                {"query_id": [ids[i] for i in best["q"]], "id": best["id"].to_numpy(), "score": best["score"].to_numpy()}
-            )
+            for row in batch.itertuples(index=False):
+                asked, stored = (_unit_rows(np.stack(v).astype(np.float64)) for v in (row.q_vecs, row.u_vecs))
+                sims = np.round(asked @ stored.T, SCORE_DIGITS) + 0.0
+                take = min(k, sims.shape[1])
+                # Ties at the cut are kept here and settled by id below.
+                cut = -np.partition(-sims, take - 1, axis=1)[:, take - 1 : take]
+                q, c = np.nonzero(sims >= cut)
+                found = pd.DataFrame({"q": q, "id": np.asarray(row.u_ids)[c], "score": sims[q, c]})
+                best = found.sort_values(["q", "score", "id"], ascending=[True, False, True]).groupby("q").head(k)
+                yield pd.DataFrame({"query_id": np.asarray(row.q_ids)[best["q"]], "id": best["id"], "score": best["score"]})
 
     return run
 
@@ -174,29 +178,21 @@ def _scan(ids: list, block: np.ndarray, k: int):
 def exact_knn(queries: DataFrame, units: DataFrame, k: int = 10, scope: DataFrame | None = None) -> DataFrame:
     """Exact cosine neighbours. ``queries`` is (query_id, vec), ``units`` (id, vec).
 
-    Queries travel in blocks of bounded size, one pass over the units per block;
-    a block is multiplied against Arrow batches, so pairs never become rows. For
-    query sets of many blocks use ``ivf_knn``.
+    Both sides are packed into blocks. The side with fewer blocks is repeated for each
+    block of the other and meets it by the block's number, by broadcast if that is small.
+    Two blocks are multiplied in a task that returns k rows a query at most, so pairs
+    never become rows. All queries against all units stay quadratic work: for large
+    query sets use ``ivf_knn``.
     """
-    spark = units.sparkSession
     if scope is not None:
         units = units.join(scope, "id", "left_semi")
-    shape = queries.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
-    blocks = max(1, math.ceil(shape[0] * shape[1] * 8 / BLOCK_BYTES))
-    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {units.schema['id'].dataType.simpleString()}, score double"
-    found: DataFrame | None = None
-    for b in range(blocks):
-        part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries
-        rows = part.select("query_id", F.col("vec").cast("array<double>").alias("vec")).toPandas()
-        if rows.empty:
-            continue
-        block = _unit_rows(np.stack(rows["vec"].to_numpy()).astype(np.float64))
-        hits = units.select("id", "vec").mapInPandas(
-            _scan(list(rows["query_id"]), block, k), schema
-        )
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        return spark.createDataFrame([], schema + ", rnk int")
+    kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for df, c in ((queries, "query_id"), (units, "id"))]
+    sides = [_in_blocks(queries, "query_id", "q"), _in_blocks(units, "id", "u")]
+    (few, _, size), (many, blocks, _) = sorted(sides, key=lambda side: side[1:])
+    number = next(c for c in many.columns if c.endswith("_block"))
+    repeated = few.withColumn(number, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    pairs = many.join(F.broadcast(repeated) if size * blocks <= SENT_BYTES else repeated, number)
+    found = pairs.select("q_ids", "q_vecs", "u_ids", "u_vecs").mapInPandas(_multiply(k), ", ".join([*kinds, "score double"]))
     return top_k(found, k)
 
 

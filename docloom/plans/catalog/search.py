@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from docloom import lexicon as lx
@@ -216,7 +218,8 @@ def _(t: Tables):
 @query("approximate_knn")
 def _(t: Tables):
     units = unit_vectors(t)
-    return rt.ivf_knn(item_vectors(t), units, rt.ivf_centroids(units, 16), K, probes=6)
+    lists = max(4, math.isqrt(units.count()))
+    return rt.ivf_knn(item_vectors(t), units, rt.ivf_centroids(units, lists), K, probes=max(4, lists // 4))
 
 
 @query(

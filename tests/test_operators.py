@@ -255,8 +255,10 @@ def test_exact_knn_blocks_agree(spark, monkeypatch):
     units = spark.createDataFrame(vectors(300), "id long, vec array<double>").repartition(7)
     queries = spark.createDataFrame(vectors(40, seed=2), "query_id long, vec array<double>")
     whole = {tuple(r) for r in rt.exact_knn(queries, units, 5).collect()}
-    monkeypatch.setattr(rt, "BLOCK_BYTES", 16 * 8 * 9)  # nine vectors per block
-    assert {tuple(r) for r in rt.exact_knn(queries, units, 5).collect()} == whole
+    monkeypatch.setattr(rt, "BLOCK_ROWS", 9)
+    for sent in (0, rt.SENT_BYTES):
+        monkeypatch.setattr(rt, "SENT_BYTES", sent)
+        assert {tuple(r) for r in rt.exact_knn(queries, units, 5).collect()} == whole
     assert len(whole) == 200
 
 
