@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,39 +13,38 @@ from docloom.session import materialize
 #: Smallest Jaccard similarity of two lines' token sets, as a fraction.
 SIMILARITY = (4, 5)
 #: Token counts are kept for classes of tokens by hash: a table of fixed size.
-CLASSES = 1 << 20
+CLASSES = 1 << 19
+#: Ids of lines are sent to all executors up to so many.
+ACTIVE_ROWS = 500_000
+#: Lines of more tokens have 128 parity bits.
+LONG_LINE = 60
 _NULL_KEY = (1 << 63) - 1
-WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
 
 def tokens(line: Column) -> Column:
-    return F.array_remove(F.split(line, WHITE_SPACE), "")
+    """The words of a line, with empty strings where white space follows white space."""
+    plain = F.when(line.rlike("[\\x09-\\x0D]"), F.regexp_replace(line, "[\\x09-\\x0D]", " ")).otherwise(line)
+    return F.split(plain, " ")
 
 
 def rarity(lines: DataFrame) -> Column:
-    """One row's array of a small number for each token class: the logarithm of its count."""
+    """One row's array of a number for each token class: the logarithm of its count, in the top byte."""
     words = lines.select(F.explode(tokens(F.col("line"))).alias("t"))
-    counts = words.groupBy(F.pmod(F.xxhash64("t"), F.lit(CLASSES)).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    counts = words.groupBy(F.xxhash64("t").bitwiseAND(F.lit(CLASSES - 1)).alias("class")).agg(F.count(F.lit(1)).alias("n"))
     every = lines.sparkSession.range(0, CLASSES, 1, 8).withColumnRenamed("id", "class")
-    level = F.least(F.lit(127), F.floor(3 * F.log2(F.coalesce("n", F.lit(1))))).cast("tinyint")
+    level = F.least(F.lit(127), F.floor(3 * F.log2(F.coalesce("n", F.lit(1))))).cast("long")
     # CLASSES rows, whatever the input.
-    dense = every.join(counts, "class", "left").select(F.struct(F.col("class").cast("int").alias("class"), level.alias("level")).alias("x"))
+    dense = every.join(counts, "class", "left").select(F.struct("class", F.shiftleft(level, 56).alias("level")).alias("x"))
     table = materialize(dense.agg(F.sort_array(F.collect_list("x"))["level"].alias("levels")), "rarity")
     return table.scalar()
 
 
-def token_keys(lines: DataFrame) -> DataFrame:
+def token_keys(lines: DataFrame, levels: Column) -> DataFrame:
     """Adds ``keys``: the line's distinct tokens as numbers, the rarest first. A key has
     the token's rarity in the top byte and 56 bits of its hash."""
-    levels = rarity(lines)
-
-    def key(t: Column) -> Column:
-        h = F.xxhash64(t)
-        level = F.get(F.col("__levels"), F.pmod(h, F.lit(CLASSES)).cast("int")).cast("long")
-        return F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-
-    keyed = lines.withColumn("__levels", levels)
-    return keyed.withColumn("keys", F.sort_array(F.array_distinct(F.transform(tokens(F.col("line")), key)))).drop("__levels")
+    hashes = F.array_remove(F.array_distinct(F.transform(tokens(F.col("line")), lambda t: F.xxhash64(t))), F.xxhash64(F.lit("")))
+    key = lambda h: F.get(F.col("__levels"), h.bitwiseAND(F.lit(CLASSES - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 8))
+    return lines.withColumn("__levels", levels).withColumn("keys", F.sort_array(F.transform(hashes, key))).drop("__levels")
 
 
 class Bounds:
@@ -71,7 +72,9 @@ class Bounds:
         return F.expr(
             f"{m} * {self.b} >= {n} * {self.a} AND {n} * {self.b} >= {m} * {self.a}"
             f" AND least({x}.pos, {y}.pos) + least({n} - {x}.pos, {m} - {y}.pos) >= {need}"
-            f" AND bit_count({x}.parity ^ {y}.parity) <= {n} + {m} - 2 * {need}"
+            f" AND (CASE WHEN {x}.upper IS NULL OR {y}.upper IS NULL THEN bit_count({x}.parity ^ {y}.parity)"
+            f" ELSE bit_count({x}.upper ^ {y}.upper) + bit_count({x}.parity ^ {x}.upper ^ {y}.parity ^ {y}.upper) END)"
+            f" <= {n} + {m} - 2 * {need}"
         )
 
 
@@ -79,12 +82,16 @@ def similar_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) ->
     """The lines (``doc``, ``line`` number) to remove from ``docs`` (``doc``, ``text``)."""
     bounds = Bounds(similarity)
     lines = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    keyed = token_keys(lines).withColumn("n", F.size("keys")).filter("n > 0")
+    levels = rarity(lines)
+    keyed = token_keys(lines, levels).withColumn("n", F.size("keys")).filter("n > 0")
+    # 64 parity bits of the tokens; for long lines those of half of them too, which makes 128.
     one_bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
-    parity = F.aggregate("keys", F.lit(0).cast("long"), lambda bits, k: bits.bitwiseXOR(one_bit(k)))
+    bits_of = lambda keys: F.aggregate(keys, F.lit(0).cast("long"), lambda bits, k: bits.bitwiseXOR(one_bit(k)))
+    half = F.filter("keys", lambda k: k.bitwiseAND(F.lit(64)) != 0)
     sets = keyed.select(
         F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(1), "keys").alias("s2"), "doc", "line_no", "n",
-        F.when(F.col("n") >= bounds.smallest(), parity).alias("parity"),
+        F.when(F.col("n") >= bounds.smallest(), bits_of(F.col("keys"))).alias("parity"),
+        F.when(F.col("n") > LONG_LINE, bits_of(half)).alias("upper"),
         F.when(F.col("n") >= bounds.smallest(), F.slice("keys", F.lit(1), F.expr(f"int{bounds.prefix('n')}"))).alias("prefix"),
     )
     sets = materialize(sets, "sets")
@@ -95,29 +102,46 @@ def similar_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) ->
     marked = sets.join(several, ["s1", "s2"], "left").withColumn("again", F.coalesce(first > F.col("first"), F.lit(False)))
     copies = marked.filter("again").select("doc", "line_no")
     rows = marked.filter("NOT again AND prefix IS NOT NULL").select(
-        "doc", "line_no", "n", "parity", F.posexplode("prefix").alias("pos", "token")
+        "doc", "line_no", "n", "parity", "upper", F.posexplode("prefix").alias("pos", "token")
     )
     same = "x.token = y.token AND NOT (x.doc = y.doc AND x.line_no = y.line_no)"
     met = rows.alias("x").join(rows.alias("y"), F.expr(same) & bounds.possible("x", "y"), "left_semi")
     met = materialize(met, "met")
-    # First with one line of each token and length class; a large group of variants ends here.
+    # First with one of the lines that lead a token and length class; a large group of
+    # variants ends here.
     classed = met.withColumn("class", F.floor(F.log("n") / F.log(F.lit(similarity[1] / similarity[0]))))
     leaders = classed.groupBy("token", "class").agg(
-        F.min(F.struct("doc", "line_no", "n", "parity", "pos")).alias("y"), F.count(F.lit(1)).alias("k")
+        F.min(F.struct("doc", "line_no", "n", "parity", "upper", "pos")).alias("y"), F.count(F.lit(1)).alias("k")
     ).filter("k > 1").select("token", "class", "y.*")
     earlier = "(y.doc < x.doc OR y.doc = x.doc AND y.line_no < x.line_no)"
     led = classed.alias("x").join(
         leaders.alias("y"), F.expr("x.token = y.token AND x.class = y.class AND " + earlier) & bounds.possible("x", "y")
     )
     active = materialize(met.select("doc", "line_no").distinct(), "active")
-    bodies = keyed.join(broadcast_if_small(active), ["doc", "line_no"]).select("doc", "line_no", "keys")
-    bodies = materialize(bodies, "bodies")
-    pair = [F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in ("doc", "line_no")]
-    gone = materialize(_verified(led.select(*pair).distinct(), bodies, similarity), "led")
-    open_ = met.join(gone, ["doc", "line_no"], "left_anti")
-    rest = open_.alias("x").join(met.alias("y"), F.expr("x.token = y.token AND " + earlier) & bounds.possible("x", "y"))
-    more = _verified(rest.select(*pair).distinct(), bodies, similarity)
-    return copies.unionByName(gone).unionByName(more)
+    bodies = lines.join(broadcast_if_small(active, max_rows=ACTIVE_ROWS), ["doc", "line_no"])
+    bodies = materialize(token_keys(bodies, levels).select("doc", "line_no", "keys"), "bodies")
+    gone = materialize(_verified(_likeliest(led), bodies, similarity), "led")
+    # Then with the likeliest of all earlier lines, and those that are left with every one.
+    found, waiting = [copies, gone], met.join(gone, ["doc", "line_no"], "left_anti")
+    for pick in (_likeliest, _all):
+        rest = waiting.alias("x").join(met.alias("y"), F.expr("x.token = y.token AND " + earlier) & bounds.possible("x", "y"))
+        more = materialize(_verified(pick(rest), bodies, similarity), "more")
+        found.append(more)
+        waiting = waiting.join(more, ["doc", "line_no"], "left_anti")
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+def _all(pairs: DataFrame) -> DataFrame:
+    return pairs.select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in ("doc", "line_no")]).distinct()
+
+
+def _likeliest(pairs: DataFrame) -> DataFrame:
+    """For each line x the y that differs from it in the fewest parity bits, then the earliest."""
+    bits = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity"))).alias("bits")
+    best = pairs.groupBy(F.col("x.doc").alias("x_doc"), F.col("x.line_no").alias("x_line_no")).agg(
+        F.min(F.struct(bits, F.col("y.doc").alias("y_doc"), F.col("y.line_no").alias("y_line_no"))).alias("y")
+    )
+    return best.select("x_doc", "x_line_no", "y.y_doc", "y.y_line_no")
 
 
 def _verified(pairs: DataFrame, bodies: DataFrame, similarity: tuple[int, int]) -> DataFrame:
