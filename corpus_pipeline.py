@@ -37,8 +37,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, at = _plain(docs)
     rest = tuple(c for c in rows.columns if c not in (at["doc_id"], at["text"]))
     out = lines.dedup_lines(rows, text=at["text"], key=at["doc_id"], carry=rest)
-    wordless = F.size(lines.tokens(F.coalesce("kept_text", F.lit("")))) == 0
-    out = out.filter((F.col("n_removed") == 0) | ~wordless).withColumnRenamed("kept_text", at["text"])
+    has_words = F.coalesce(F.col("kept_text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    out = out.filter((F.col("n_removed") == 0) | has_words).withColumnRenamed("kept_text", at["text"])
     if "n_chars" in at:
         kind = rows.schema[at["n_chars"]].dataType
         length = F.when(F.col("n_removed") > 0, F.length(at["text"]).cast(kind)).otherwise(F.col(at["n_chars"]))
