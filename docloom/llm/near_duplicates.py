@@ -134,8 +134,10 @@ def classified(docs: DataFrame, similarity: float, text: str, key: str) -> DataF
     is ``similarity`` or more; classes are what links join, and equal texts. Weights are
     counts times an inverse document frequency over all rows. Candidates share a band
     of samples. In each band bucket all texts are first compared with two of its
-    members; texts of a bucket that these links leave apart are then compared with each
-    other, so a group of near copies gives a few links a text.
+    members, one of them the text with the least weight of shingles that no other has: a
+    group of near copies is mostly joined by it. Texts of a bucket that these links leave
+    apart are then compared with each other, but for pairs that the comparison with the hub
+    and the shingles of their own rule out.
 
     A null text is an empty one. A text of fewer than five words has one shingle, all its
     words; without words it is like equal texts only. Null keys come last; rows with equal
@@ -168,32 +170,47 @@ def classified(docs: DataFrame, similarity: float, text: str, key: str) -> DataF
     texts = signed.groupBy("tid").agg(F.min("key").alias("first"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     members = texts.select(F.explode("bands").alias("band"), "tid", "sketch", "first")
     by_hash = F.struct(F.xxhash64("tid").alias("h"), "tid")
-    hubs = members.groupBy("band").agg(
-        F.count(F.lit(1)).alias("n"), F.min("tid").alias("hub"), F.min(by_hash)["tid"].alias("hub2")
-    ).filter("n > 1")
-    members = materialize(members.join(hubs, "band"), "buckets")
+    shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
+    members = materialize(members.join(shared, "band"), "buckets")
     active = materialize(members.groupBy("tid").agg(F.min("first").alias("first")), "active")
     wanted = broadcast_if_small(active.withColumnRenamed("first", "__first"))
     bodies = rows.join(wanted, "tid").filter("__key <=> __first").select("tid", "text").dropDuplicates(["tid"])
     bodies = materialize(bodies, "bodies")
+    members = materialize(members.drop("first").join(own_weights(bodies, sampler), "tid"), "weighed")
+    hubs = members.groupBy("band").agg(
+        F.min(F.struct((F.col("own") / F.col("total")).alias("share"), "tid"))["tid"].alias("hub"), F.min("tid").alias("hub2")
+    )
 
-    stars = members.select("tid", F.explode(F.array("hub", "hub2")).alias("other")).filter("tid <> other")
+    stars = members.join(hubs, "band").select("tid", F.explode(F.array("hub", "hub2")).alias("other")).filter("tid <> other")
     stars = stars.select(F.least("tid", "other").alias("a"), F.greatest("tid", "other").alias("b")).distinct()
-    links = materialize(verified(stars, bodies, sampler, similarity), "links")
+    tested = materialize(compared(stars, bodies, sampler, with_rest=True), "stars")
+    links = tested.filter(F.col("similarity") >= similarity).select("a", "b")
     roots = components(links)
-    placed = members.select("band", "tid", "sketch").join(roots.withColumnRenamed("node", "tid"), "tid", "left")
+    placed = members.join(roots.withColumnRenamed("node", "tid"), "tid", "left")
     placed = placed.withColumn("root", F.coalesce("root", "tid"))
     parted = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
     open_ = placed.join(parted.filter("low <> high AND n > 2").select("band"), "band")
-    open_ = materialize(open_, "open")
-    left, right = (open_.select("band", *[F.col(c).alias(c + x) for c in ("tid", "sketch", "root")]) for x in "ab")
+    # What each shares with the hub of its bucket is known; the hub shares all it has.
+    known = open_.join(hubs, "band").withColumn("a", F.least("tid", "hub")).withColumn("b", F.greatest("tid", "hub"))
+    known = known.join(tested.drop("similarity"), ["a", "b"], "left").withColumn("common", F.coalesce("common", "total"))
+    known = known.withColumn("apart", F.when(F.col("tid") == F.col("a"), F.col("only_a")).otherwise(F.col("only_b")))
+    open_ = known.withColumn("other", F.greatest(F.col("total") - F.col("common") - F.col("own"), F.lit(0.0)))
+    open_ = materialize(open_.select("band", "tid", "sketch", "root", "total", "common", "other", "apart"), "open")
+    left, right = (open_.select("band", *[F.col(c).alias(c + x) for c in ("tid", "sketch", "root", "total", "common", "other", "apart")]) for x in "ab")
     # Samples agree in two bits by chance in one of four cases; more than 14 of 30 that
     # differ have a probability below 0.0001 at a similarity of 0.8.
     differ = F.col("sketcha").bitwiseXOR(F.col("sketchb"))
     differ = F.bit_count(differ.bitwiseOR(F.shiftrightunsigned(differ, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    rest = left.join(right, (left["band"] == right["band"]) & (F.col("tida") < F.col("tidb")) & (F.col("roota") != F.col("rootb")) & (differ <= 14))
+    # Two texts share at most what both share with the hub, and of the remainder at most
+    # what is not either's own; nothing of it, if they have no shingle that the hub lacks.
+    need = similarity * (F.col("totala") + F.col("totalb")) / (1 + similarity) - 1e-6
+    within = F.least("commona", "commonb")
+    meet = F.coalesce(F.arrays_overlap("aparta", "apartb"), F.lit(False))
+    close = (within + F.least("othera", "otherb") >= need) & ((within >= need) | meet)
+    rest = left.join(right, (left["band"] == right["band"]) & (F.col("tida") < F.col("tidb")) & (F.col("roota") != F.col("rootb")) & (differ <= 14) & close)
     rest = rest.select(F.col("tida").alias("a"), F.col("tidb").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = materialize(verified(rest, bodies, sampler, similarity), "links")
+    more = compared(rest, bodies, sampler).filter(F.col("similarity") >= similarity).select("a", "b")
+    more = materialize(more, "links")
     if more.limit(1).count():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     rooted = signed.select("key", "tid").join(roots.withColumnRenamed("node", "tid"), "tid", "left")
@@ -211,8 +228,31 @@ def classified(docs: DataFrame, similarity: float, text: str, key: str) -> DataF
     )
 
 
-def verified(pairs: DataFrame, bodies: DataFrame, sampler, similarity: float) -> DataFrame:
-    """The pairs (``a``, ``b``) whose weighted Jaccard similarity is high enough."""
+def own_weights(bodies: DataFrame, sampler) -> DataFrame:
+    """``tid``, ``total`` weight of the text's shingles and weight of its ``own``, which
+    no other of the texts has."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, part in text_slices(batch.column(1)):
+                shingles, weights, first = sampler.value.weighted(part)
+                ids = np.repeat(batch.column(0).slice(start, len(part)).to_numpy(), np.diff(first))
+                yield pa.RecordBatch.from_pydict(
+                    {"id": pa.array(ids), "shingle": pa.array(shingles.view(np.int64)), "weight": pa.array(weights, pa.float64())}
+                )
+
+    named = bodies.select(F.xxhash64("tid").alias("id"), "text")
+    shingles = materialize(named.mapInArrow(run, "id long, shingle long, weight double"), "shingles")
+    single = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.min("weight").alias("weight"))
+    own = single.filter("n = 1").groupBy("id").agg(F.sum("weight").alias("own"))
+    total = shingles.groupBy("id").agg(F.sum("weight").alias("total"))
+    both = total.join(own, "id", "left").select("id", "total", F.coalesce("own", F.lit(0.0)).alias("own"))
+    return bodies.select("tid", F.xxhash64("tid").alias("id")).join(both, "id").drop("id")
+
+
+def compared(pairs: DataFrame, bodies: DataFrame, sampler, with_rest: bool = False) -> DataFrame:
+    """The pairs (``a``, ``b``) with their ``common`` weight and weighted Jaccard
+    ``similarity``, and if asked for the shingles that only one has (``only_a``, ``only_b``)."""
     one = bodies.select(F.col("tid").alias("a"), F.col("text").alias("text_a"))
     two = bodies.select(F.col("tid").alias("b"), F.col("text").alias("text_b"))
     full = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
@@ -229,18 +269,41 @@ def verified(pairs: DataFrame, bodies: DataFrame, sampler, similarity: float) ->
                     shingles, weights, first = sampler.value.weighted(part)
                     for i, (lo, hi) in enumerate(zip(first[:-1], first[1:])):
                         parts[names[begin + i]] = shingles[lo:hi], weights[lo:hi]
-                good = np.array([_weighted_jaccard(parts[x], parts[y]) >= similarity - 1e-9 for x, y in zip(a, b)], dtype=bool)
-                yield some.select(["a", "b"]).filter(pa.array(good))
+                common = np.array([_common(parts[x], parts[y]) for x, y in zip(a, b)], dtype=np.float64)
+                total = np.array([parts[x][1].sum() + parts[y][1].sum() for x, y in zip(a, b)], dtype=np.float64)
+                columns = {"a": some.column(0), "b": some.column(1), "common": pa.array(common), "similarity": pa.array(_ratio(common, total))}
+                if with_rest:
+                    columns["only_a"] = pa.array([_only(parts[x], parts[y]) for x, y in zip(a, b)], pa.list_(pa.int64()))
+                    columns["only_b"] = pa.array([_only(parts[y], parts[x]) for x, y in zip(a, b)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_pydict(columns)
+
+    rest = ", only_a array<long>, only_b array<long>" * with_rest
+    return full.mapInArrow(run, "a binary, b binary, common double, similarity double" + rest)
+
 
-    return full.mapInArrow(run, "a binary, b binary")
+def _ratio(common, total):
+    """Weighted Jaccard similarity; rounded, so that 0.8 is reached whatever the order of sums."""
+    return np.round(common / np.maximum(total - common, 1e-12), 9)
 
 
-def _weighted_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
+def _common(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
     """Of two ascending lists of shingles with weights."""
     (xs, xw), (ys, yw) = x, y
     if not len(xs) or not len(ys):
         return 0.0
     at = np.minimum(np.searchsorted(ys, xs), len(ys) - 1)
     same = ys[at] == xs
-    common = np.minimum(xw[same], yw[at[same]]).sum()
-    return common / (xw.sum() + yw.sum() - common)
+    return float(np.minimum(xw[same], yw[at[same]]).sum())
+
+
+def _only(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Shingles of x that y lacks, or has with less weight."""
+    (xs, xw), (ys, yw) = x, y
+    if not len(ys):
+        return xs.view(np.int64)
+    at = np.minimum(np.searchsorted(ys, xs), len(ys) - 1)
+    return xs[(ys[at] != xs) | (yw[at] < xw)].view(np.int64)
+
+
+def weighted_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
+    return float(_ratio(_common(x, y), x[1].sum() + y[1].sum()))
