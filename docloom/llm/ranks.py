@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docloom.scale import broadcast_if_small
 
-def ranked(df: DataFrame, group: str, by: list[str], rows_per_part: int = 20_000) -> DataFrame:
+
+def ranked(df: DataFrame, group: str, by: list[str], rows_per_part: int = 5_000) -> DataFrame:
     """Adds ``rank`` (from 0, without gaps) inside each value of ``group``, which must not
     be null, in the order of a hash of the ``by`` columns, then of these columns.
 
@@ -18,14 +20,15 @@ def ranked(df: DataFrame, group: str, by: list[str], rows_per_part: int = 20_000
     hashed = df.withColumn("__h", F.xxhash64(*[F.col(c) for c in by]))
     sizes = df.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / rows_per_part).alias("__parts"))
     share = F.shiftrightunsigned("__h", 11) / F.lit(float(1 << 53))
-    parts = hashed.join(sizes, group).withColumn("__part", F.floor(share * F.col("__parts"))).drop("__parts")
+    parts = hashed.join(broadcast_if_small(sizes), group).withColumn("__part", F.floor(share * F.col("__parts"))).drop("__parts")
     before = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         parts.groupBy(group, "__part").agg(F.count(F.lit(1)).alias("__n"))
         .select(group, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     )
     inside = Window.partitionBy(group, "__part").orderBy(F.shiftrightunsigned("__h", 1), "__h", *by)
-    numbered = parts.withColumn("__row", F.row_number().over(inside))
+    # Dealt by part: a join that deals rows by group would leave a hot one in one task.
+    numbered = parts.repartition(group, "__part").withColumn("__row", F.row_number().over(inside))
     return (
         numbered.join(starts, [group, "__part"])
         .withColumn("rank", F.col("__before") + F.col("__row") - 1)
