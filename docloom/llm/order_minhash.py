@@ -93,7 +93,7 @@ def edited(text: str, following: str) -> str:
 
 def chunked(docs: DataFrame, rows_per_chunk: int) -> DataFrame:
     """Adds ``__chunk``, ascending with the key: between rough quantiles of it, equal steps."""
-    spread = 256
+    spread = 64
     low, high, n, cuts = docs.agg(
         F.min("__key"), F.max("__key"), F.count(F.lit(1)),
         F.percentile_approx("__key", F.array(*[F.lit(i / spread) for i in range(1, spread)]), 1000),
