@@ -2,91 +2,107 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from heapq import heappop, heappush
+from itertools import accumulate, islice
+from math import gcd, lcm
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.window import Window
 
 from docloom.llm.ranks import ranked
-from docloom.scale import broadcast_if_small
-from docloom.session import materialize
-
+from docloom.session import materialize, scratch
 
-def source_table(rows: DataFrame, weights: Mapping[str, float] | None, block_rows: int, resolution: int, damping: float) -> DataFrame:
-    """Each source's rows, blocks and integer weight: its share of ``resolution`` slots,
-    1 at least. Without weights, the share follows the number of rows to the power ``damping``."""
-    counts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("rows"))
-    if weights is None:
-        wish = F.pow(F.col("rows").cast("double"), F.lit(damping))
-    else:
-        given = [F.when(F.col("source") == name, F.lit(float(w))) for name, w in weights.items()]
-        wish = F.coalesce(*given, F.lit(0.0))
-    counts = counts.withColumn("wish", wish)
-    share = F.coalesce(F.try_divide(F.col("wish"), F.sum("wish").over(Window.partitionBy())), F.lit(0.0))
-    return counts.select(
-        "source", "rows",
-        F.ceil(F.col("rows") / block_rows).alias("blocks"),
-        F.greatest(F.lit(1), F.round(share * resolution)).cast("long").alias("weight"),
-    )
+#: Weights are whole numbers of at most this sum.
+LARGEST = 1 << 62
+#: Slots are written in pieces of so many rows.
+SLOTS_PER_WRITE = 1 << 20
+_SLOTS = pa.schema([("source", pa.string()), *((c, pa.int64()) for c in ("block", "release", "deadline", "slot", "__start"))])
 
 
-def _service(sources: Column, turns: Column, per: Column) -> Column:
-    """``per`` times the blocks that all sources together have got after ``turns / per``
-    rounds, if each source gets ``weight`` blocks a round until it is exhausted."""
-    return F.aggregate(
-        sources, F.lit(0).cast("long"), lambda total, s: total + F.least(s["weight"] * turns, s["blocks"] * per)
-    )
-
+def source_table(rows: DataFrame, weights: Mapping[str, float] | None, block_rows: int, resolution: int, damping: float) -> DataFrame:
+    """Each source's rows, blocks and weight: whole numbers in the ratio of the wished weights.
 
-def schedule(blocks: DataFrame, sources: DataFrame) -> DataFrame:
-    """A slot for every block (``source``, ``block``): ``release``, ``deadline``, ``slot``.
+    Given weights count as the decimals they are written as; a source without one gets 1 for
+    every ``resolution`` of their sum. Without weights, a source wishes its number of rows to
+    the power ``damping``. Only weights that need a sum above ``LARGEST`` are rounded, to
+    parts of it: less than a millionth of a block in 10^11 blocks.
+    """
+    found = rows.groupBy("source").agg(F.count(F.lit(1)).alias("rows")).withColumn("wish", F.pow(F.col("rows").cast("double"), F.lit(damping))).collect()
+    given = {r.source: r.wish for r in found} if weights is None else weights
+    wishes = {r.source: max(Fraction(0), Fraction(str(given.get(r.source, 0)))) for r in found}
+    least = sum(wishes.values()) / resolution or Fraction(1)
+    wishes = {name: w or least for name, w in wishes.items()}
+    unit = Fraction(1, lcm(*[w.denominator for w in wishes.values()]))
+    unit = max(unit, sum(wishes.values()) / LARGEST)
+    whole = {name: max(1, round(w / unit)) for name, w in wishes.items()}
+    shared = gcd(*whole.values())
+    table = [(r.source, r.rows, -(-r.rows // block_rows), whole[r.source] // shared) for r in found]
+    return rows.sparkSession.createDataFrame(table, "source string, rows long, blocks long, weight long")
+
+
+def windows(sources: list[Row]) -> list[Iterator[tuple[int, int]]]:
+    """For each source the ``release`` and ``deadline`` of its blocks, in whole numbers.
 
     In the ideal mixture each source gets service at the rate of its weight among those
     that still have blocks. Block j may not start before the slot in which the ideal
-    service of its source passes j, and must be over when it passes j + 1. All service
-    is whole after each round, so rounds are scheduled apart, each by earliest deadline
-    first among the released blocks; a round has at most the sum of the weights.
+    service of its source passes j, and must be over when it passes j + 1.
     """
-    table = sources.agg(F.sort_array(F.collect_list(F.struct("source", "weight", "blocks")))).scalar()
-    jobs = (
-        blocks.join(broadcast_if_small(sources.select("source", "weight")), "source")
-        .withColumn("round", F.expr("block div weight"))
-        .withColumn("__sources", table)
-        .withColumn("release", F.floor(_service(F.col("__sources"), F.col("block"), F.col("weight")) / F.col("weight")))
-        .withColumn("deadline", F.ceil(_service(F.col("__sources"), F.col("block") + 1, F.col("weight")) / F.col("weight")))
-        .drop("__sources")
-    )
-    job = F.struct("deadline", "source", "block", "release")
-    rounds = jobs.groupBy("round").agg(F.sort_array(F.collect_list(job)).alias("jobs"))
-    rounds = rounds.withColumn("at", F.array_min(F.transform("jobs", lambda j: j["release"])))
-    return rounds.select(F.explode(_earliest_deadline_first(F.col("jobs"), F.col("at"))).alias("j")).select("j.*")
-
-
-def _earliest_deadline_first(jobs: Column, first_slot: Column) -> Column:
-    """Jobs in the order of their deadlines get slots: each slot takes the first of the
-    waiting jobs that is released by then."""
-    start = F.struct(
-        jobs.alias("waiting"),
-        F.transform(F.slice(jobs, 1, 0), lambda j: F.struct(j.alias("job"), j["release"].alias("slot"))).alias("placed"),
-    )
-
-    def step(state: Column, i: Column) -> Column:
-        slot = first_slot + i
-        job = F.filter(state["waiting"], lambda j: j["release"] <= slot)[0]
-        return F.struct(
-            F.filter(state["waiting"], lambda j: j != job).alias("waiting"),
-            F.concat(state["placed"], F.array(F.struct(job.alias("job"), slot.alias("slot")))).alias("placed"),
-        )
-
-    placed = lambda state: F.transform(
-        state["placed"],
-        lambda p: F.struct(
-            p["job"]["source"].alias("source"), p["job"]["block"].alias("block"), p["job"]["release"].alias("release"),
-            p["job"]["deadline"].alias("deadline"), p["slot"].alias("slot"),
-        ),
-    )
-    return F.aggregate(F.sequence(F.lit(0).cast("long"), F.size(jobs).cast("long") - 1), start, step, placed)
+    ends = sorted(sources, key=lambda s: Fraction(s.blocks, s.weight))
+    # Blocks of the first k sources to end, and the weights of the others.
+    over = [0, *accumulate(s.blocks for s in ends)]
+    alive = [*accumulate((-s.weight for s in ends), initial=sum(s.weight for s in ends))]
+
+    def of(source: Row) -> Iterator[tuple[int, int]]:
+        release, k = 0, 0
+        for block in range(1, source.blocks + 1):
+            while block * ends[k].weight > ends[k].blocks * source.weight:
+                k += 1
+            whole, part = divmod(alive[k] * block, source.weight)
+            yield release, over[k] + whole + (part > 0)
+            release = over[k] + whole
+
+    return [of(s) for s in sources]
+
+
+def schedule(sources: list[Row], block_rows: int) -> Iterator[tuple[str, int, int, int, int, int]]:
+    """(source, block, release, deadline, slot, rows before it) in the order of slots: each
+    slot takes the released block of the earliest deadline. The windows can always be kept."""
+    sources = sorted(sources, key=lambda s: s.source)
+    coming, ready, start = [], [], 0
+    rest = windows(sources)
+
+    def next_block(i: int, block: int) -> None:
+        if block < sources[i].blocks:
+            release, deadline = next(rest[i])
+            heappush(coming, (release, deadline, i, block))
+
+    for i in range(len(sources)):
+        next_block(i, 0)
+    for slot in range(sum(s.blocks for s in sources)):
+        while coming and coming[0][0] <= slot:
+            release, deadline, i, block = heappop(coming)
+            heappush(ready, (deadline, i, block, release))
+        deadline, i, block, release = heappop(ready)
+        yield sources[i].source, block, release, deadline, slot, start
+        start += min(block_rows, sources[i].rows - block * block_rows)
+        next_block(i, block + 1)
+
+
+def _stored(spark: SparkSession, slots: Iterator[tuple]) -> DataFrame:
+    """The slots as a table, written piece by piece."""
+    path = scratch(spark, "slots")
+    while True:
+        piece = list(islice(slots, SLOTS_PER_WRITE))
+        columns = zip(*piece) if piece else [[]] * len(_SLOTS)
+        table = pa.table([pa.array(c, f.type) for c, f in zip(columns, _SLOTS)], schema=_SLOTS)
+        spark.createDataFrame(table).write.mode("append").parquet(path)
+        if len(piece) < SLOTS_PER_WRITE:
+            return spark.read.schema(from_arrow_schema(_SLOTS)).parquet(path)
 
 
 def interleave(docs: DataFrame, weights: Mapping[str, float] | None = None, block_rows: int = 32, resolution: int = 64,
@@ -95,29 +111,19 @@ def interleave(docs: DataFrame, weights: Mapping[str, float] | None = None, bloc
     ``deadline``, ``slot``, ``position`` (from 0, without gaps).
 
     A source's rows are shuffled by a hash of the key and cut into blocks. At any slot
-    each source has got less than one block more or less than its target share. When a
-    source has no blocks left the others share its part, so all rows are placed. Sources
-    without a given weight get one slot a round. A null source counts as the source with
-    the empty name. Rows with equal keys take neighbouring places; no rows give no rows.
-    The list of sources is gathered in one row; texts are not read.
+    each source has got less than one block more or less than its target share, which is
+    that of its weight itself. When a source has no blocks left the others share its part,
+    so all rows are placed. A source without a given weight gets one block for every
+    ``resolution`` of those with one. A null source counts as the source with the empty
+    name. Rows with equal keys take neighbouring places; no rows give no rows. The sources
+    are gathered on the driver, which deals the slots: a few microseconds a block, none of
+    its rows. Texts are not read.
     """
     rows = docs.select(docs[key].alias("__key"), F.coalesce(docs[source].cast("string"), F.lit("")).alias("source"))
     rows = materialize(ranked(rows, "source", ["__key"]).withColumn("block", F.expr(f"rank div {block_rows}")), "ranked")
-    sources = materialize(source_table(rows, weights, block_rows, resolution, damping), "sources")
-    blocks = rows.groupBy("source", "block").agg(F.count(F.lit(1)).alias("__n")).drop("__n")
-    slots = materialize(schedule(blocks, sources), "slots")
-    # Only a source's last block can be short; the places it lacks move up those after it.
-    short = (
-        slots.join(broadcast_if_small(sources), "source")
-        .filter(f"block = blocks - 1 AND rows % {block_rows} > 0")
-        .agg(F.collect_list(F.struct("slot", F.expr(f"{block_rows} - rows % {block_rows}").alias("lack"))))
-        .scalar()
-    )
-    lacking = F.aggregate(
-        "__short", F.lit(0).cast("long"), lambda total, s: total + F.when(s["slot"] < F.col("slot"), s["lack"]).otherwise(0)
-    )
-    slots = slots.withColumn("__short", short).withColumn("__start", F.col("slot") * block_rows - lacking)
-    placed = rows.join(slots.drop("__short"), ["source", "block"])
+    sources = source_table(rows, weights, block_rows, resolution, damping).collect()
+    slots = _stored(docs.sparkSession, schedule(sources, block_rows))
+    placed = rows.join(slots, ["source", "block"])
     return placed.select(
         F.col("__key").alias(key), F.col("source").alias(source), "block", "release", "deadline", "slot",
         (F.col("__start") + F.col("rank") % block_rows).alias("position"),

@@ -273,6 +273,22 @@ def test_mixture(spark, weights):
         assert all(abs(real[s] - ideal[s]) < 1 for s in left)
 
 
+@pytest.mark.parametrize("weights", [{"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 0.9, "b": 0.099, "c": 0.001}, {f"s{i}": 1 + i % 7 for i in range(90)}])
+def test_mixture_follows_the_given_weights(spark, weights):
+    per = 4200 // len(weights)
+    docs = spark.createDataFrame([(i, s) for i, s in enumerate(s for s in weights for _ in range(per))], "doc_id long, source string")
+    rows = mixing.interleave(docs, weights, block_rows=2).collect()
+    by_slot = check_mixture(rows, 2)
+    target, real = {s: Fraction(str(w)) for s, w in weights.items()}, Counter()
+    total = sum(target.values())
+    for slot in range(len(by_slot)):
+        if max(real.values(), default=0) >= per // 2:  # then the others share the part of a source
+            break
+        real[by_slot[slot]] += 1
+        assert all(abs(real[s] - (slot + 1) * w / total) < 1 for s, w in target.items())
+    assert slot > 500
+
+
 def test_mixing_query(spark, sf_dir, corpus):
     rows = QUERIES["op9_pfair_mixing"](spark, sf_dir).collect()
     assert {r.doc_id for r in rows} == set(corpus) and len(rows) == len(corpus)
