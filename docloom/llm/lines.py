@@ -79,7 +79,8 @@ class Bounds:
 
 
 def similar_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """The lines (``doc``, ``line`` number) to remove from ``docs`` (``doc``, ``text``)."""
+    """The lines (``doc``, ``line_no``) to remove from ``docs`` (``doc``, ``text``). ``doc``
+    may be of any type with an order; no two rows have the same."""
     bounds = Bounds(similarity)
     lines = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     levels = rarity(lines)
@@ -161,17 +162,24 @@ def dedup_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, with_
     (if asked for) ``kept_text``: every document without the lines that come later than
     a similar one.
 
-    A line's tokens are its words, as a set. It goes if a line of a document with a
-    smaller key, or an earlier line of its own, has a Jaccard similarity of at least
-    ``similarity``; lines are judged on the input. Lines without words stay. A null text
-    has no lines. Null keys are the largest; rows with equal keys count as one document,
-    line by line. No rows give no rows. Tokens are compared by 56 bits of hash.
+    A line's tokens are its words, as a set. It goes if a line of an earlier document, or
+    an earlier line of its own, has a Jaccard similarity of at least ``similarity``; lines
+    are judged on the input. Documents are ordered by key, null keys last, and those with
+    equal keys by a digest of their texts; rows with the same key and text are one document
+    and lose the same lines. Lines without words stay. A null text has no lines. No rows
+    give no rows. Tokens are compared by 56 bits of hash.
     """
     rows = docs.select(
         docs[key].alias("__id"), F.coalesce(docs[key].cast("long"), F.lit(_NULL_KEY)).alias("doc"),
         docs[text].cast("string").alias("text"), *[docs[c].alias(f"__{i}") for i, c in enumerate(carry)],
     )
-    gone = similar_lines(rows.select("doc", "text"), similarity).groupBy("doc").agg(
+    texts = rows.select("doc", "text")
+    if not rows.groupBy("doc").count().filter("count > 1").isEmpty():
+        # Keys alone do not tell rows apart. Where they do, digests would not change the order.
+        digest = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+        rows = rows.withColumn("doc", F.struct(F.col("doc").alias("key"), digest.alias("tid")))
+        texts = rows.select("doc", "text").filter("text IS NOT NULL").dropDuplicates(["doc"])
+    gone = similar_lines(texts, similarity).groupBy("doc").agg(
         F.array_sort(F.collect_set("line_no")).alias("removed")
     )
     counted = rows.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))))

@@ -1,5 +1,6 @@
 """Operators that compare, group or order the documents of a corpus."""
 
+import hashlib
 import random
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -113,6 +114,30 @@ def test_lines_with_large_groups_of_variants(spark):
         assert r.kept_text == "\n".join(x for i, x in enumerate(texts[r.doc_id].split("\n")) if i not in r.removed)
 
 
+def test_lines_of_documents_with_equal_keys(spark):
+    rnd = random.Random(6)
+    bases = [prose(i, n).split() for i, n in enumerate((4, 6, 12, 30))]
+    rows = [(None, "only here at one\nsame line of six words here"), (None, "same line of six words here\nonly here at two"), (None, None), (7, None)]
+    rows += [(k, f"common words of key {k}\nown words {i} of {k} alone") for i in range(3) for k in (7, 8)]
+    for i in range(120):
+        out = []
+        for _ in range(3):
+            w = list(rnd.choice(bases))
+            w[rnd.randrange(len(w))] = f"v{rnd.randrange(60)}"
+            out.append(" ".join(w))
+        rows.append((rnd.choice((None, None, 7, 8, 100 + i)), "\n".join(out)))
+    rows += rows[:9] * 3
+    order = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, hashlib.md5((r[1] or "").encode()).digest()))
+    want = brute.similar_lines({i: text for i, (_, text) in enumerate(order)})
+    removed = {r: want.get(i, []) for i, r in enumerate(order)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("given", F.col("text"))
+    got = lines.dedup_lines(docs, carry=("given",)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.removed == removed[r.doc_id, r.given]
+        assert r.given is None or r.kept_text == "\n".join(x for i, x in enumerate(r.given.split("\n")) if i not in r.removed)
+
+
 def test_lines_of_odd_rows(odd, none):
     rows = lines.dedup_lines(odd).collect()
     assert len(rows) == odd.count()
