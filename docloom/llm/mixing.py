@@ -12,7 +12,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
-from pyspark.sql.window import Window
 
 from docloom.llm.ranks import ranked
 from docloom.session import materialize, scratch
@@ -134,16 +133,15 @@ def mixed(docs: DataFrame, rows_per_file: int = 20_000, source: str = "source",
     """All rows and columns of ``docs`` in the order of the mixture: each part of about
     ``rows_per_file`` rows is a run of it, in order.
 
-    Texts are shuffled twice, to meet their places and into the runs. Rows with equal
-    keys take their key's places in any order.
+    Texts are shuffled twice, to meet their places and into the runs. Where keys repeat, the
+    rows are numbered first, and shuffled by their numbers instead of their keys.
     """
+    if not docs.groupBy(docs[key]).count().toDF("__k", "__n").filter("__n > 1").isEmpty():
+        numbered = materialize(docs.withColumn("__i", F.monotonically_increasing_id()), "numbered")
+        return mixed(numbered, rows_per_file, source, "__i", **how).drop("__i")
     known = lambda c: F.coalesce(c.cast("string"), F.lit("\0null"))
-    places = interleave(docs, source=source, key=key, **how)
-    total = docs.count()
-    places = places.groupBy(known(F.col(key)).alias("__k")).agg(F.sort_array(F.collect_list("position")).alias("__at"))
-    same_key = Window.partitionBy("__k").orderBy(F.lit(0))
-    rows = docs.withColumn("__k", known(docs[key])).withColumn("__i", F.row_number().over(same_key))
-    placed = rows.join(places, "__k").withColumn("__position", F.element_at("__at", F.col("__i")))
-    runs = max(1, -(-total // rows_per_file))
+    places = interleave(docs, source=source, key=key, **how).select(known(F.col(key)).alias("__k"), F.col("position").alias("__position"))
+    runs = max(1, -(-docs.count() // rows_per_file))
+    placed = docs.withColumn("__k", known(docs[key])).join(places, "__k")
     run = F.expr(f"__position div {rows_per_file}")
     return placed.repartition(runs, run).sortWithinPartitions("__position").select(*docs.columns)

@@ -6,7 +6,7 @@ the index, every rolling stretch of 25 words of every document is a probe, and a
 of 50 words or more shows up as hits. Around the hits all windows of 50 words are
 compared, which extends each hit to the maximal repeat without forming pairs.
 
-Documents are dealt to batches of bounded size by a hash of their key. What a batch
+Documents are dealt to batches of bounded size by a hash of their key and text. What a batch
 finds of a value is told once: a value that fills a third of the corpus is one entry of
 each batch. Entries travel as packed arrays, dealt to buckets by their hash.
 """
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.words import Texts, covered, text_slices, window_hashes
+from docloom.session import materialize
 
 WINDOW = 50
 #: Bytes of text in a batch, and words that one bucket gets, on average.
@@ -30,6 +31,8 @@ BATCH_BYTES, BUCKET_WORDS = 8 << 20, 4_000_000
 _OTHER_STEP = 0xC2B2AE3D27D4EB4F
 #: Null keys are the largest.
 _NULL_KEY = (1 << 63) - 1
+#: So many equal rows at most come from one row of the result at once.
+COPIES = 1_000
 
 
 class Batch:
@@ -234,7 +237,7 @@ def cleaned(docs: pa.Table, told: pa.Table, window: int, names: list[str], with_
             inside = gone[batch.first[i] : batch.first[i + 1]]
             words = [words[j] for j in np.flatnonzero(~inside)]
         kept.append(b" ".join(words))
-    columns = {names[0]: docs.column("__id").combine_chunks().take(pa.array(batch.order))}
+    columns = {n: docs.column(c).combine_chunks().take(pa.array(batch.order)) for n, c in zip(names, ("__id", "__copies"))}
     columns |= {
         "n_words": pa.array(batch.counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
         "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
@@ -244,6 +247,22 @@ def cleaned(docs: pa.Table, told: pa.Table, window: int, names: list[str], with_
     return pa.table(columns)
 
 
+def dealt(docs: DataFrame, batches: int, text: str, key: str) -> DataFrame:
+    """The distinct documents with their batch and number of ``__copies``.
+
+    Texts of one key are dealt apart, as they do not meet. Rows equal in key and text have
+    the same result: where keys repeat, such rows are one."""
+    rows = docs.select(
+        docs[key].alias("__id"), F.coalesce(docs[key].cast("long"), F.lit(_NULL_KEY)).alias("__key"),
+        F.coalesce(docs[text].cast("string"), F.lit("")).alias("__text"), F.lit(1).cast("long").alias("__copies"),
+    )
+    if not rows.groupBy("__id").count().filter("count > 1").isEmpty():
+        same = rows.withColumn("__tid", F.md5("__text")).groupBy("__id", "__key", "__tid")
+        rows = materialize(same.agg(F.first("__text").alias("__text"), F.count(F.lit(1)).alias("__copies")).drop("__tid"), "distinct")
+    tied = rows.withColumn("__tie", F.xxhash64("__text"))
+    return tied.withColumn("__batch", F.pmod(F.xxhash64("__key", "__tie"), F.lit(batches)))
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, batch_bytes: int = BATCH_BYTES, bucket_words: int = BUCKET_WORDS,
                    with_text: bool = True, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key``, ``n_words``, ``n_removed``, ``kept_sha256`` and (if asked for) ``kept_text``,
@@ -259,10 +278,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, batch_bytes: int = BAT
     total = docs.agg(F.sum(F.octet_length(docs[text].cast("string")))).first()[0] or 0
     batches, buckets = total // batch_bytes + 1, total // (6 * bucket_words) + 1
     id_kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(
-        docs[key].alias("__id"), F.coalesce(docs[key].cast("long"), F.lit(_NULL_KEY)).alias("__key"),
-        F.coalesce(docs[text].cast("string"), F.lit("")).alias("__text"),
-    ).withColumn("__tie", F.xxhash64("__text")).withColumn("__batch", F.pmod(F.xxhash64("__key"), F.lit(batches)))
+    rows = dealt(docs, batches, text, key)
     by_batch = rows.groupBy("__batch")
     probed = by_batch.applyInArrow(
         lambda t: probes(t, block, buckets), "bucket int, __batch long, probes binary, often binary, blocks binary"
@@ -272,8 +288,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, batch_bytes: int = BAT
         lambda d, h: extended(d, h, block, window, buckets), "bucket int, __batch long, k1 binary, k2 binary, keys binary"
     )
     told = windows.groupBy("bucket").applyInArrow(earlier, "__batch long, k1 binary, k2 binary")
-    names = [key]
-    return by_batch.cogroup(told.groupBy("__batch")).applyInArrow(
+    names = [key, "__copies"]
+    out = by_batch.cogroup(told.groupBy("__batch")).applyInArrow(
         lambda d, t: cleaned(d, t, window, names, with_text),
-        f"`{key}` {id_kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text,
+        f"`{key}` {id_kind}, __copies long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text,
     )
+    if not rows.filter("__copies > 1").isEmpty():
+        parts = out.withColumn("__from", F.explode(F.sequence(F.lit(1).cast("long"), "__copies", F.lit(COPIES).cast("long"))))
+        if not rows.filter(F.col("__copies") > COPIES).isEmpty():
+            parts = parts.repartition(batches)
+        last = F.least(F.col("__copies"), F.col("__from") + COPIES - 1)
+        out = parts.withColumn("__copy", F.explode(F.sequence("__from", last))).drop("__from", "__copy")
+    return out.drop("__copies")

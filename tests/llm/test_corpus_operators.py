@@ -83,6 +83,28 @@ def test_substrings_of_odd_rows(odd, none):
     assert substrings.remove_repeats(none).count() == 0
 
 
+def test_substrings_of_documents_with_equal_keys(spark):
+    passages = [prose(40 + i, 70) for i in range(4)]
+    rows = [(None if i % 3 else 500 + i, f"{prose(2000 + i, 30)} {passages[i % 4]} {prose(3000 + i, 20)}") for i in range(300)]
+    rows += [(None, None), (None, None), (500, rows[0][1]), (500, passages[1])] + [(None, prose(1, 90))] * 2500
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # A document of its own for each text, and a window of a key counts for larger keys only.
+    least, spans = {}, lambda w: (tuple(w[i : i + 50]) for i in range(len(w) - 49))
+    place = lambda k: (k is None, k or 0)
+    for k, t in set(rows):
+        for g in spans(brute.words(t)):
+            least[g] = min(least.get(g, place(k)), place(k))
+    want = Counter()
+    for (k, t), n in Counter(rows).items():
+        w = brute.words(t)
+        gone = {j for i, g in enumerate(spans(w)) if least[g] < place(k) for j in range(i, i + 50)}
+        want[k, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)] += n
+    out = substrings.remove_repeats(docs, batch_bytes=20_000).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in out) == want
+    sizes = substrings.dealt(docs, 10, "text", "doc_id").groupBy("__batch").agg(F.sum(F.length("__text")).alias("n")).collect()
+    assert max(r.n for r in sizes) < 3 * sum(r.n for r in sizes) / 10
+
+
 # 5: lines ---------------------------------------------------------------------------
 
 
@@ -338,3 +360,15 @@ def test_mixed_rows_stand_in_the_order_of_the_mixture(spark, sf_dir):
     for r in parts:
         runs[r.part].append(places[r.doc_id])
     assert all(v == sorted(v) for v in runs.values()) and sum(map(len, runs.values())) == len(places)
+
+
+def test_mixed_rows_with_equal_keys_keep_the_places_of_their_sources(spark):
+    weights = {"a": 3, "b": 2, "c": 1}
+    rows = [(None if i % 2 else 7, s, i) for i, s in enumerate(s for s, n in (("a", 300), ("b", 200), ("c", 100)) for _ in range(n))]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, n long")
+    out = mixing.mixed(docs, weights=weights, block_rows=1).collect()  # one run, so in order
+    assert sorted(map(tuple, out), key=lambda r: r[2]) == rows
+    real = Counter()
+    for slot, r in enumerate(out):
+        real[r.source] += 1
+        assert all(abs(real[s] - Fraction((slot + 1) * w, 6)) < 1 for s, w in weights.items())
