@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, hilbert, lines, mixing, near_duplicates, order_minhash, pii, repetition, site_quality, substrings
+from docloom.llm import (
+    bpe, collocations, hilbert, lines, mixing, near_duplicates, order_minhash, pii, repetition, site_quality, substrings,
+)
 from docloom.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +79,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, dup_
 FROM f"""
 
 
+PHRASES_SQL = """
+WITH w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM
+           (SELECT coalesce(lang, 'und') AS lang,
+                   unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+            FROM documents)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM
+      (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM
+       (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, range(1, 6) t(k) WHERE len(ws) >= k)) GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2 AND f >= 100),
+cut AS (SELECT lang, phrase, f AS a, k, j, array_to_string(ws[1:j], ' ') AS lp, array_to_string(ws[j + 1:k], ' ') AS rp FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+s AS (SELECT cut.*, l.f AS l, r.f AS r, n, CAST(1000::HUGEINT * a * n // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+      FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = lp AND l.k = j JOIN f r ON r.lang = cut.lang AND r.phrase = rp AND r.k = cut.k - j JOIN n ON n.lang = cut.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b
+WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.k > b.k AND contains(concat(' ', c.phrase, ' '), concat(' ', b.phrase, ' ')) AND 100 * c.f >= 100 * b.a)
+QUALIFY rank <= 2000"""
+
 
 def query(name: str, oracle: str | None = None):
     def register(fn: Callable[[SparkSession, str], DataFrame]):
@@ -150,3 +170,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_order_minhash")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprint_pairs(read(spark, sf_dir, "documents"))
+
+
+@query("op13_count_streams", PHRASES_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))

@@ -140,3 +140,11 @@ def covered(at: np.ndarray, size: int, n: int) -> np.ndarray:
     np.add.at(edge, at, 1)
     np.add.at(edge, at + size, -1)
     return np.cumsum(edge)[:-1] > 0
+
+
+def pieces(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """``buf[start:end]`` for each pair, as one string column."""
+    sizes = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    at = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], sizes)
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(buf[at])))
