@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import (
-    bpe, collocations, hilbert, lines, mixing, near_duplicates, order_minhash, pii, repetition, site_quality, substrings,
+    bpe, collocations, context_mixing, hilbert, lines, mixing, near_duplicates, order_minhash, periodic_runs, pii, repetition,
+    site_quality, substrings,
 )
 from docloom.llm.tables import read
 
@@ -172,6 +173,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprint_pairs(read(spark, sf_dir, "documents"))
 
 
+@query("op11_context_mixing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score_texts(read(spark, sf_dir, "documents"))
+
+
+@query("op12_maximal_pair_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(read(spark, sf_dir, "documents"), repeats=True)
+
+
 @query("op13_count_streams", PHRASES_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read(spark, sf_dir, "documents"))
