@@ -29,6 +29,11 @@ from docloom.session import materialize
 FILTER_BITS, SLICE_BYTES = 1 << 25, 8 << 20
 MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
 UNKNOWN = "und"
+#: Exact: the products have up to 38 digits.
+SCORE = (
+    "CAST(CAST(1000 AS DECIMAL(4,0)) * CAST(a AS DECIMAL(19,0)) * CAST(n AS DECIMAL(19,0)) AS DECIMAL(38,0))"
+    " div CAST(CAST(l AS DECIMAL(19,0)) * CAST(r AS DECIMAL(19,0)) AS DECIMAL(38,0))"
+)
 
 # A-Z become a-z, the ends of pieces become line feeds.
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -72,12 +77,12 @@ class Words:
         return at, mix(window_hashes(self.hashes, at, size) ^ self.salt[self.lang[at]])
 
 
-def _bit(keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(20)) % np.uint64(FILTER_BITS)
+def _bit(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(20)) % np.uint64(bits)
 
 
 def _may_be_frequent(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    bit = _bit(keys)
+    bit = _bit(keys, len(table) * 64)
     return table[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1) == 1
 
 
@@ -116,31 +121,31 @@ def _counter(size: int, table: np.ndarray | None) -> Callable:
     return run
 
 
-def _cells(size: int) -> Callable:
+def _cells(size: int, bits: int) -> Callable:
     """The cells of the bit table that hold phrases of ``size`` words."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = Words(batch.column(1).cast(pa.large_string()), batch.column(0))
             at, keys = words.keys(size)
-            bit = _bit(keys)
+            bit = _bit(keys, bits)
             masks = (np.uint64(1) << (bit & np.uint64(63))).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array((bit >> np.uint64(6)).astype(np.int64)), pa.array(masks)], names=["cell", "mask"])
 
     return run
 
 
-def _bit_table(phrases: DataFrame, size: int) -> np.ndarray:
-    """At most ``FILTER_BITS`` bits, however many phrases there are."""
-    cells = phrases.select("lang", "phrase").mapInArrow(_cells(size), "cell long, mask long")
+def _bit_table(phrases: DataFrame, size: int, bits: int) -> np.ndarray:
+    """At most so many bits, however many phrases there are."""
+    cells = phrases.select("lang", "phrase").mapInArrow(_cells(size, bits), "cell long, mask long")
     found = cells.groupBy("cell").agg(F.bit_or("mask").alias("mask")).toArrow()
-    table = np.zeros(FILTER_BITS >> 6, dtype=np.uint64)
+    table = np.zeros(bits >> 6, dtype=np.uint64)
     table[found["cell"].to_numpy()] = found["mask"].to_numpy().view(np.uint64)
     return table
 
 
 def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, text: str = "text",
-                  lang: str = "lang") -> tuple[DataFrame, DataFrame]:
+                  lang: str = "lang", filter_bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, k, f``: all phrases of 1 to ``max_words`` words that occur at least
     ``min_count`` times in a language, and ``lang, n``: the words of each language."""
     rows = docs.select(
@@ -158,7 +163,7 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int =
         levels.append(stored.withColumn("k", F.lit(size)))
         if size == max_words or stored.isEmpty():
             break
-        table = _bit_table(stored, size)
+        table = _bit_table(stored, size, filter_bits)
     return reduce(DataFrame.unionByName, levels), totals
 
 
@@ -168,7 +173,7 @@ def _merged(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
 
 
 def collocations(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, top: int = TOP,
-                 text: str = "text", lang: str = "lang") -> DataFrame:
+                 text: str = "text", lang: str = "lang", filter_bits: int = FILTER_BITS) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: the ``top`` best phrases of each language.
 
     A phrase of 2 to ``max_words`` words that occurs ``a >= min_count`` times is cut after
@@ -178,9 +183,9 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = M
     phrase holds one of one word more with the same count, so these are looked at. Order:
     score and ``a`` falling, then the phrase by bytes. Null texts are empty, null languages
     ``und``; repeated rows count each time; no frequent phrase gives no rows; other
-    columns are not read.
+    columns are not read. ``filter_bits`` (a multiple of 64) only decides how much is counted in vain.
     """
-    counts, totals = phrase_counts(docs, min_count, max_words, text, lang)
+    counts, totals = phrase_counts(docs, min_count, max_words, text, lang, filter_bits)
     words = F.split("phrase", " ")
     parts = counts.select("lang", F.col("phrase").alias("part"), F.col("f").alias("count"))
     longer = counts.filter("k >= 2").withColumn("w", words)
@@ -192,10 +197,8 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = M
     cuts = cuts.select("lang", "phrase", "k", F.col("f").alias("a"), "cut", "w", joined(F.lit(1), F.col("cut")).alias("part"))
     lefts = _merged(cuts, parts).withColumnRenamed("count", "l")
     rights = _merged(lefts.withColumn("part", joined(F.col("cut") + 1, F.col("k") - F.col("cut"))), parts).withColumnRenamed("count", "r")
-    exact = F.expr("CAST(CAST(1000 AS DECIMAL(4,0)) * CAST(a AS DECIMAL(19,0)) * CAST(n AS DECIMAL(19,0)) AS DECIMAL(38,0))"
-                   " div CAST(CAST(l AS DECIMAL(19,0)) * CAST(r AS DECIMAL(19,0)) AS DECIMAL(38,0))")
     # One row a language.
-    scored = rights.join(F.broadcast(totals), "lang").withColumn("score", exact)
+    scored = rights.join(F.broadcast(totals), "lang").withColumn("score", F.expr(SCORE))
     best = scored.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "cut", "l", "r")).alias("b"))
 
     bigger = longer.filter("k >= 3").withColumn("part", F.explode(F.array(joined(F.lit(1), F.col("k") - 1), joined(F.lit(2), F.col("k") - 1))))
