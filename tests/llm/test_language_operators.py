@@ -133,7 +133,7 @@ def test_spelling_against_single_bits(spark):
     words = sorted({*prose(5, 400, 300).split(), "é", "naïve", "日本語"})
     mixer = context_mixing.fit_spelling(spark.createDataFrame([(w,) for w in words], "word string"))
     asked = [*words[::40], "unseen", "", "zzzzzzzzzzzz", "é日"]
-    assert mixer.cost(pa.array(asked)).tolist() == pytest.approx([plain_cost(mixer, w) for w in asked], rel=1e-4)
+    assert mixer.cost(pa.array(asked)).tolist() == pytest.approx([plain_cost(mixer, w) for w in asked], rel=1e-3)
     assert mixer.cost(pa.array(words)).mean() > mixer.cost(pa.array([w[::-1] for w in words])).mean()
 
 
