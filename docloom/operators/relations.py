@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom import scale
 from docloom.functions import text as tx
 from docloom.functions import vectors as vx
 
@@ -174,18 +173,3 @@ def contains_any(df: DataFrame, column: str, needles: Sequence[str]) -> DataFram
     lowered = F.array(*[F.lit(n.lower()) for n in needles])
     found = tx.bind(F.lower(column), lambda text: F.filter(lowered, lambda n: F.contains(text, n)))
     return df.select("*", F.explode(found).alias("needle"))
-
-
-def contains_terms(df: DataFrame, column: str, needles: DataFrame, needle: str = "needle", size: int = 4) -> DataFrame:
-    """One row per row of ``df`` and distinct needle (a table's column) found in
-    ``column``, ignoring case. A text and a needle meet by equality on the needle's
-    opening ``size`` characters, so only texts that have them are compared; shorter
-    needles meet on all they have. Null and empty needles find nothing."""
-    wanted = needles.select(F.lower(needle).alias("needle")).filter("needle <> ''").distinct()
-    wanted = wanted.withColumn("_gram", F.substring("needle", 1, size))
-    lengths = [F.lit(n) for n in range(1, size + 1)]
-    text = F.lower(column)
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    grams = F.flatten(F.transform(F.array(*lengths), lambda n: F.transform(starts, lambda i: F.substring(text, i, n))))
-    met = df.select("*", F.explode(F.array_distinct(grams)).alias("_gram")).join(scale.broadcast_if_small(wanted), "_gram")
-    return met.filter(F.contains(F.lower(column), F.col("needle"))).drop("_gram")

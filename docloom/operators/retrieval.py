@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docloom import scale
 from docloom.functions import text as tx
@@ -72,15 +73,24 @@ def remove_units(index: DataFrame, doomed: DataFrame) -> DataFrame:
     return index.join(doomed, "id", "left_anti")
 
 
+#: Units in a block of the index.
+BLOCK_UNITS = 128
+#: Postings of a query's rarest terms that are scored to find its threshold.
+SEED_POSTINGS = 2000
+#: Scores are rounded, so bounds this close below a threshold may still reach it.
+SLACK = 4e-6
+
+
 class SparseIndex(NamedTuple):
-    """A stored index: ``postings`` (term, id, tf, dl) and the ``lengths`` (id, dl) of all
-    units, also those without a term."""
+    """A stored index: ``postings`` (term, id, tf, dl, block) and the ``lengths`` (id, dl) of
+    all units, also those without a term. A block is a run of units as they are stored."""
 
     postings: DataFrame
     lengths: DataFrame
 
     def add(self, units: DataFrame, unit_id: str = "chunk_id", text: str = "content") -> SparseIndex:
         new = build_index(units, unit_id, text)
+        # Blocks of both share numbers; what bounds their union bounds each.
         return SparseIndex(self.postings.unionByName(new.postings), self.lengths.unionByName(new.lengths))
 
     def remove(self, doomed: DataFrame) -> SparseIndex:
@@ -90,12 +100,15 @@ class SparseIndex(NamedTuple):
 
 def build_index(units: DataFrame, unit_id: str = "chunk_id", text: str = "content") -> SparseIndex:
     """Reads and splits every text once. A unit's terms and length are stored in its row;
-    postings are these rows unfolded, so writing the index shuffles nothing."""
+    postings are these rows unfolded, so writing the index shuffles nothing. Blocks are
+    numbered while the index is written, so they stay what they are."""
     tokens = units.select(F.col(unit_id).alias("id"), tx.tokenize(text).alias("_t"))
-    stored = materialize(tokens.select("id", F.size("_t").alias("dl"), term_frequencies("_t").alias("terms")), "postings")
-    unfolded = stored.select("id", "dl", F.explode("terms").alias("p"))
+    block = F.shiftright(F.monotonically_increasing_id(), BLOCK_UNITS.bit_length() - 1)
+    numbered = tokens.select("id", F.size("_t").alias("dl"), term_frequencies("_t").alias("terms"), block.alias("block"))
+    stored = materialize(numbered, "postings")
+    unfolded = stored.select("id", "dl", "block", F.explode("terms").alias("p"))
     return SparseIndex(
-        unfolded.select(F.col("p.term").alias("term"), "id", F.col("p.tf").alias("tf"), "dl"), stored.select("id", "dl")
+        unfolded.select(F.col("p.term").alias("term"), "id", F.col("p.tf").alias("tf"), "dl", "block"), stored.select("id", "dl")
     )
 
 
@@ -105,35 +118,90 @@ def bm25(queries: DataFrame, units: DataFrame, k: int | None = 10, unit_id: str
     return search_index(queries, *build_index(units, unit_id, text), k)
 
 
-def search_index(queries: DataFrame, index: DataFrame, lengths: DataFrame, k: int | None = 10) -> DataFrame:
-    """query_id, id, score, rnk for every query at once; scores must be positive.
-
-    ``index`` is (term, id, tf, dl), ``lengths`` (id, dl) of all units, also those
-    without a term. Small query sets are broadcast after a size check; a unit's
-    postings then meet them where they were read, and partial sums per (query,
-    unit) are complete before the only shuffle of scores.
-    """
-    shape = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    n, avgdl = shape.select("n").scalar(), shape.select("avgdl").scalar()
+def query_weights(queries: DataFrame, index: DataFrame, lengths: DataFrame) -> DataFrame:
+    """query_id, term, w, df: the weight of each query term that some unit has."""
+    n = lengths.agg(F.count("*").alias("n")).select("n").scalar()
     stats = term_statistics(index)
     raw_idf = F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     mean_idf = stats.agg(F.avg(raw_idf).alias("m")).scalar()
     asked = queries.select("query_id", F.explode(tx.tokenize("query")).alias("term")).groupBy("query_id", "term").agg(
         F.count("*").alias("qf")
     )
-    hint = F.broadcast if scale.fits_broadcast(asked) else lambda df: df
-    idf = stats.join(hint(asked.select("term").distinct()), "term", "left_semi").select(
-        "term", F.when(raw_idf < 0, EPSILON * mean_idf).otherwise(raw_idf).alias("idf")
+    terms = scale.broadcast_if_small(asked.select("term").distinct())
+    idf = stats.join(terms, "term", "left_semi").select(
+        "term", "df", F.when(raw_idf < 0, EPSILON * mean_idf).otherwise(raw_idf).alias("idf")
     )
-    weights = asked.join(idf, "term").select("query_id", "term", (F.col("qf") * F.col("idf")).alias("w"))
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl)
-    scores = (
-        index.join(hint(weights), "term")
-        .groupBy("query_id", "id")
-        .agg(F.round(F.sum(F.col("w") * F.col("tf") * (K1 + 1) / norm), SCORE_DIGITS).alias("score"))
-        .filter("score > 0")
+    return asked.join(idf, "term").select("query_id", "term", (F.col("qf") * F.col("idf")).alias("w"), "df")
+
+
+def impact(tf, dl, avgdl: Column) -> Column:
+    """What a posting adds to a score for each unit of weight; grows with tf, falls with dl."""
+    tf, dl = tx._c(tf), tx._c(dl)
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
+def _scores(matched: DataFrame, avgdl: Column) -> DataFrame:
+    """query_id, id, score from postings with the weights of the queries that ask for them."""
+    total = F.sum(F.col("w") * impact("tf", "dl", avgdl))
+    return matched.groupBy("query_id", "id").agg(F.round(total, SCORE_DIGITS).alias("score"))
+
+
+def thresholds(weights: DataFrame, index: DataFrame, avgdl: Column, k: int, seeds: int = SEED_POSTINGS) -> DataFrame:
+    """query_id, floor: a score that k units of the query reach for certain.
+
+    The rarest terms of a query, up to ``seeds`` postings in all and one term at least, name
+    likely units; the best k of these are scored by all terms, and the least of these
+    scores is the floor. Queries with fewer such units have none.
+    """
+    rarest = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("query_id").orderBy("df", "term")
+    numbered = weights.withColumns({"_sum": F.sum("df").over(rarest), "_n": F.row_number().over(order)})
+    chosen = numbered.filter((F.col("_sum") <= seeds) | (F.col("_n") == 1)).select("query_id", "term", "w")
+    likely = top_k(_scores(index.join(scale.broadcast_if_small(chosen), "term"), avgdl), k).select("query_id", "id")
+    likely = scale.broadcast_if_small(likely)
+    # A likely unit's postings, with the weights of the query that it is likely for.
+    whole = index.join(likely, "id").join(weights.select("query_id", "term", "w"), ["query_id", "term"])
+    exact = _scores(whole, avgdl).filter("score > 0")
+    return exact.groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("_n")).filter(F.col("_n") >= k).drop("_n")
+
+
+def search_index(queries: DataFrame, index: DataFrame, lengths: DataFrame, k: int | None = 10) -> DataFrame:
+    """query_id, id, score, rnk for every query at once; scores must be positive.
+
+    ``index`` is (term, id, tf, dl, and block if it was built with blocks), ``lengths``
+    (id, dl) of all units, also those without a term. With k, most units are never scored:
+
+    1. the rarest terms of each query give a score that k units reach for certain;
+    2. each block has its largest tf and least dl of each term, from which the best score
+       that any of its units could have for a query follows;
+    3. only blocks that could reach the threshold of a query are scored for it.
+
+    The result is exact. Scores of all units (k None) are summed without these steps.
+    Small query sets are broadcast after a size check.
+    """
+    avgdl = lengths.agg(F.avg("dl").alias("avgdl")).scalar()
+    weights = query_weights(queries, index, lengths)
+    if k is None:
+        return _scores(index.join(scale.broadcast_if_small(weights), "term"), avgdl).filter("score > 0")
+    weights = materialize(weights, "weights")
+    if "block" not in index.columns:
+        blocks = F.greatest(F.ceil(lengths.agg(F.count("*").alias("n")).scalar() / BLOCK_UNITS), F.lit(1))
+        index = index.withColumn("block", F.pmod(F.xxhash64("id"), blocks))
+    terms = scale.broadcast_if_small(weights.select("term").distinct())
+    hits = index.join(terms, "term", "left_semi")
+    sent = scale.broadcast_if_small(weights.drop("df"))
+    largest = hits.groupBy("term", "block").agg(F.max("tf").alias("tf"), F.min("dl").alias("dl"))
+    most = F.sum(F.greatest("w", F.lit(0.0)) * impact("tf", "dl", avgdl))
+    bounds = largest.join(sent, "term").groupBy("query_id", "block").agg(most.alias("most"))
+    floors = thresholds(weights, hits, avgdl, k)
+    could = bounds.join(scale.broadcast_if_small(materialize(floors, "floors")), "query_id", "left").filter(
+        F.col("floor").isNull() | (F.col("most") >= F.col("floor") - SLACK)
     )
-    return scores if k is None else top_k(scores, k)
+    open_blocks = materialize(could.select("query_id", "block"), "blocks")
+    # A query meets a block's postings by its terms there.
+    asked = open_blocks.join(sent, "query_id")
+    scores = _scores(hits.join(scale.broadcast_if_small(asked), ["term", "block"]), avgdl).filter("score > 0")
+    return top_k(scores, k)
 
 
 # --- dense -------------------------------------------------------------------------

@@ -10,6 +10,7 @@ from docloom import lexicon as lx
 from docloom.functions import classify as cl
 from docloom.functions import text as tx
 from docloom.functions import vectors as vx
+from docloom.operators import containment as cn
 from docloom.operators import ranking as rk
 from docloom.operators import relations as rl
 from docloom.operators import retrieval as rt
@@ -142,23 +143,50 @@ def _(t: Tables):
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def small_needles(t: Tables):
+    return reduce(
+        lambda a, b: a.unionByName(b),
+        [
+            t.nation.select(F.col("n_name").alias("needle")), t.region.select(F.col("r_name").alias("needle")),
+            t.customer.select(F.col("c_mktsegment").alias("needle")), t.supplier.select(F.right("s_name", F.lit(4)).alias("needle")),
+        ],
+    )
+
+
 @query(
-    "contained_terms",
+    "customer_terms",
     """SELECT DISTINCT c_custkey, lower(needle) AS needle FROM customer,
          (SELECT n_name AS needle FROM nation UNION ALL SELECT r_name FROM region UNION ALL SELECT c_mktsegment FROM customer
           UNION ALL SELECT substr(s_name, length(s_name) - 3) FROM supplier)
        WHERE needle <> '' AND contains(lower(concat(c_name, ' ', c_mktsegment)), lower(needle))""",
 )
 def _(t: Tables):
-    needles = reduce(
-        lambda a, b: a.unionByName(b),
-        [
-            t.nation.select(F.col("n_name").alias("needle")), t.region.select(F.col("r_name").alias("needle")),
-            t.customer.select(F.col("c_mktsegment").alias("needle")), t.supplier.select(F.right("s_name", F.lit(4)).alias("needle")),
-        ],
-    )
     texts = t.customer.select("c_custkey", F.concat_ws(" ", "c_name", "c_mktsegment").alias("said"))
-    return rl.contains_terms(texts, "said", needles).select("c_custkey", "needle")
+    return cn.contains_terms(texts, "said", small_needles(t)).select("c_custkey", "needle")
+
+
+#: Short lines of the benchmark and all its words of eight letters or more.
+WORD_NEEDLES = """SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[^ .,;:!?]{8,}'))) AS needle FROM benchmark
+    UNION SELECT lower(substr(text, 1, 60)) FROM benchmark"""
+CONTAINED = f"SELECT doc_id, needle FROM documents, ({WORD_NEEDLES}) WHERE contains(lower(text), needle)"
+
+
+def word_needles(t: Tables):
+    words = F.explode(F.regexp_extract_all("text", F.lit("[^ .,;:!?]{8,}"), F.lit(0)))
+    return t.benchmark.select(words.alias("needle")).union(t.benchmark.select(F.substring("text", 1, 60)))
+
+
+@query("contained_terms", CONTAINED)
+def _(t: Tables):
+    """Words and openings of the benchmark in whole documents, by an automaton."""
+    return cn.contains_terms(t.documents.select("doc_id", "text"), "text", word_needles(t)).select("doc_id", "needle")
+
+
+@query("contained_terms_indexed", CONTAINED)
+def _(t: Tables):
+    """The same as for a needle set of any size, by its rarest grams."""
+    found = cn.contains_terms(t.documents.select("doc_id", "text"), "text", word_needles(t), automaton_needles=0)
+    return found.select("doc_id", "needle")
 
 
 # --- sessions ---------------------------------------------------------------------

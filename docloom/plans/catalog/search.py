@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from docloom import lexicon as lx
 from docloom.functions import text as tx
+from docloom.operators import ann
 from docloom.operators import expansion as ex
 from docloom.operators import ranking as rk
 from docloom.operators import retrieval as rt
@@ -15,6 +14,7 @@ from docloom.plans import views as v
 from docloom.plans.catalog.chunks import section_chunks
 from docloom.plans.registry import cte, query, quote, sql_strip
 from docloom.plans.tables import Tables
+from docloom.scale import one_row
 from docloom.session import materialize
 
 K = 10
@@ -215,11 +215,31 @@ def _(t: Tables):
     return rt.exact_knn(item_vectors(t), unit_vectors(t), K, scope)
 
 
+def approximate_hits(t: Tables):
+    units = unit_vectors(t)
+    return ann.pq_knn(item_vectors(t), units, ann.build_index(units), K)
+
+
 @query("approximate_knn")
 def _(t: Tables):
+    return approximate_hits(t)
+
+
+@query(
+    "approximate_knn_recall",
+    f"""SELECT count(*) AS queries, count(*) * {K} AS found, count(*) * {ann.SHORT} AS rescored, true AS recall_reached FROM ({ITEM_VECTORS})""",
+)
+def _(t: Tables):
+    """Approximate against exact neighbours: at least 95 in 100 are found, and the vectors
+    that a query meets are as many as its short list, however many there are."""
     units = unit_vectors(t)
-    lists = max(4, math.isqrt(units.count()))
-    return rt.ivf_knn(item_vectors(t), units, rt.ivf_centroids(units, lists), K, probes=max(4, lists // 4))
+    index = ann.build_index(units)
+    near = ann.pq_knn(item_vectors(t), units, index, K).select("query_id", "id", F.lit(1).alias("near"))
+    both = dense_hits(t).select("query_id", "id").join(near, ["query_id", "id"], "left").agg(
+        F.countDistinct("query_id").alias("queries"), (F.count("near") >= 0.95 * F.count("*")).alias("recall_reached")
+    )
+    met = ann.shortlist(item_vectors(t), index).agg(F.count("*").alias("rescored"))
+    return one_row(both, near.agg(F.count("*").alias("found")), met)
 
 
 @query(
