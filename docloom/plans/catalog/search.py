@@ -312,12 +312,18 @@ def _(t: Tables):
     return rk.drop_garbage(v.chunks(t), "content").select("chunk_id")
 
 
+@query("garbage_flags", f"SELECT doc_id, {sql_garbage('text')} AS garbage FROM documents")
+def _(t: Tables):
+    return t.documents.select("doc_id", rk.is_garbage("text").alias("garbage"))
+
+
 @query(
-    "garbage_flags",
-    f"SELECT doc_id, {sql_garbage('repeat(substr(text, 1, 1), CAST(doc_id % 40 AS BIGINT)) || substr(text, 1, 60)')} AS garbage FROM documents",
+    "padded_garbage_flags",
+    f"SELECT doc_id, {sql_garbage('repeat(substr(text, 1, 1), CAST(doc_id % 40 AS BIGINT)) || text')} AS garbage FROM documents",
 )
 def _(t: Tables):
-    padded = F.concat(F.repeat(F.substring("text", 1, 1), (F.col("doc_id") % 40).cast("int")), F.substring("text", 1, 60))
+    """The same for whole texts behind a run of their first character."""
+    padded = F.concat(F.repeat(F.substring("text", 1, 1), (F.col("doc_id") % 40).cast("int")), "text")
     return t.documents.select("doc_id", rk.is_garbage(padded).alias("garbage"))
 
 

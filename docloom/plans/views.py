@@ -154,24 +154,26 @@ cte(
 
 
 # --- structured documents -----------------------------------------------------
-# Each line of a document takes one of sixteen roles by its position.
+# Each line of a document takes one of sixteen roles by its position. Lines stay whole;
+# blanks, fences and rules are lines of their own beside them.
 def _role_line(line, i):
     r = i % 16
     level = (F.floor(i / 16) % 3 + 1).cast("int")
     lit = F.lit
+    cell = F.replace(line, lit("|"), lit("/"))
     return (
-        F.when(r == 0, F.concat(F.repeat(lit("#"), level), lit(" "), F.substring(line, 1, 40)))
-        .when(r == 2, lit(""))
-        .when(r == 3, F.concat(lit("## "), F.substring(line, 1, 30)))
+        F.when(r == 0, F.concat(F.repeat(lit("#"), level), lit(" "), line))
+        .when(r == 2, F.concat(lit("\n"), line))
+        .when(r == 3, F.concat(lit("## "), line))
         .when(r.isin(4, 5, 6), F.concat(lit("- "), line))
-        .when(r == 7, F.concat(lit("| "), F.substring(F.replace(line, lit("|"), lit("/")), 1, 10), lit(" | v |")))
-        .when(r == 8, lit("|---|---|"))
-        .when(r == 9, F.concat(lit("| "), i, lit(" | "), F.substring(F.replace(line, lit("|"), lit("/")), 1, 12), lit(" |")))
-        .when(r == 10, lit("```python"))
-        .when(r == 11, F.concat(lit("def f"), i, lit("(x):")))
-        .when(r == 12, lit("```"))
+        .when(r == 7, F.concat(lit("| "), cell, lit(" | v |")))
+        .when(r == 8, F.concat(lit("|---|---|\n| s | "), cell, lit(" |")))
+        .when(r == 9, F.concat(lit("| "), i, lit(" | "), cell, lit(" |")))
+        .when(r == 10, F.concat(lit("```python\n"), line))
+        .when(r == 11, F.concat(lit("def f"), i, lit("(x):\n"), line))
+        .when(r == 12, F.concat(line, lit("\n```")))
         .when(r == 13, F.concat(lit("Step "), i, lit(": "), line))
-        .when(r == 14, F.concat(lit("GET /v1/"), i))
+        .when(r == 14, F.concat(lit("GET /v1/"), i, lit("\n"), line))
         .otherwise(line)
     )
 
@@ -184,18 +186,18 @@ def markup(t: Tables) -> DataFrame:
 
 
 _ROLE_SQL = """CASE (i - 1) % 16
-  WHEN 0 THEN concat(repeat('#', CAST(((i - 1) // 16) % 3 + 1 AS BIGINT)), ' ', substr(line, 1, 40))
-  WHEN 2 THEN ''
-  WHEN 3 THEN concat('## ', substr(line, 1, 30))
+  WHEN 0 THEN concat(repeat('#', CAST(((i - 1) // 16) % 3 + 1 AS BIGINT)), ' ', line)
+  WHEN 2 THEN concat(chr(10), line)
+  WHEN 3 THEN concat('## ', line)
   WHEN 4 THEN concat('- ', line) WHEN 5 THEN concat('- ', line) WHEN 6 THEN concat('- ', line)
-  WHEN 7 THEN concat('| ', substr(replace(line, '|', '/'), 1, 10), ' | v |')
-  WHEN 8 THEN '|---|---|'
-  WHEN 9 THEN concat('| ', i - 1, ' | ', substr(replace(line, '|', '/'), 1, 12), ' |')
-  WHEN 10 THEN '```python'
-  WHEN 11 THEN concat('def f', i - 1, '(x):')
-  WHEN 12 THEN '```'
+  WHEN 7 THEN concat('| ', replace(line, '|', '/'), ' | v |')
+  WHEN 8 THEN concat('|---|---|', chr(10), '| s | ', replace(line, '|', '/'), ' |')
+  WHEN 9 THEN concat('| ', i - 1, ' | ', replace(line, '|', '/'), ' |')
+  WHEN 10 THEN concat('```python', chr(10), line)
+  WHEN 11 THEN concat('def f', i - 1, '(x):', chr(10), line)
+  WHEN 12 THEN concat(line, chr(10), '```')
   WHEN 13 THEN concat('Step ', i - 1, ': ', line)
-  WHEN 14 THEN concat('GET /v1/', i - 1)
+  WHEN 14 THEN concat('GET /v1/', i - 1, chr(10), line)
   ELSE line END"""
 
 cte(
