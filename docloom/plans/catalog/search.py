@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom import lexicon as lx
@@ -15,7 +18,8 @@ from docloom.plans.catalog.chunks import section_chunks
 from docloom.plans.registry import cte, query, quote, sql_strip
 from docloom.plans.tables import Tables
 from docloom.scale import one_row
-from docloom.session import materialize
+from docloom.session import materialize, scratch
+from docloom.sources.segments import Change, SegmentStore
 
 K = 10
 
@@ -197,6 +201,58 @@ def _(t: Tables):
     return rt.search_index(items(t), *rt.build_index(chunks).add(pages).remove(doomed), K)
 
 
+def changed_store(t: Tables):
+    """Chunks and their index in a store: all chunks, then without the German ones and with
+    the texts of the pages, then compacted. The snapshots' versions."""
+    chunks = v.chunks(t, "lang").select("chunk_id", "content", "lang")
+    pages = t.pages.select(
+        F.concat(F.lit("p"), "page_id").alias("chunk_id"), F.regexp_replace("html", "<[^>]*>", " ").alias("content"), F.lit("page").alias("lang")
+    )
+    store = SegmentStore(t.spark, scratch(t.spark, "store"), "chunk_id")
+
+    def changes(units, doomed=None):
+        index = rt.build_index(units)
+        parts = {
+            "chunks": units, "postings": index.postings.withColumnRenamed("id", "chunk_id"),
+            "lengths": index.lengths.withColumnRenamed("id", "chunk_id"),
+        }
+        return {name: Change(rows, doomed) for name, rows in parts.items()}
+
+    first = store.commit(changes(chunks))
+    second = store.commit(changes(pages, chunks.filter("lang = 'de'").select("chunk_id")), base=first)
+    store.compact("chunks", 0.0)
+    last = store.compact("postings", 0.0)
+    return store, {"before": first, "after": second, "compacted": last}
+
+
+STORED_CHUNKS = f"""SELECT 'before' AS snapshot, chunk_id, md5(content) AS digest FROM chunks
+    UNION ALL SELECT s, chunk_id, md5(content) FROM ({UPDATED_UNITS}), (VALUES ('after'), ('compacted')) v(s)"""
+
+
+@query("store_snapshots", STORED_CHUNKS, ("chunks",))
+def _(t: Tables):
+    """What each snapshot of the store holds, chunk by chunk."""
+    store, versions = changed_store(t)
+    parts = [store.read("chunks", n).select(F.lit(s).alias("snapshot"), "chunk_id", F.md5("content").alias("digest")) for s, n in versions.items()]
+    return reduce(DataFrame.unionAll, parts)
+
+
+@query(
+    "search_snapshots",
+    f"""SELECT 'before' AS snapshot, * FROM ({sql_bm25("chunks", "chunk_id", "content")})
+        UNION ALL SELECT s, b.* FROM ({sql_bm25(f"({UPDATED_UNITS})", "chunk_id", "content")}) b, (VALUES ('after'), ('compacted')) v(s)""",
+    ("chunks",),
+)
+def _(t: Tables):
+    """The stored index of each snapshot, searched."""
+    store, versions = changed_store(t)
+    parts = []
+    for name, number in versions.items():
+        index = (store.read(table, number).withColumnRenamed("chunk_id", "id") for table in ("postings", "lengths"))
+        parts.append(rt.search_index(items(t), *index, K).select(F.lit(name).alias("snapshot"), "query_id", "id", "score", "rnk"))
+    return reduce(DataFrame.unionAll, parts)
+
+
 @query("exact_knn", sql_knn("SELECT vec_id AS query_id, embedding AS vec FROM embeddings", 5))
 def _(t: Tables):
     every = unit_vectors(t).withColumnRenamed("id", "query_id")
