@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docloom.functions import text as tx
 from docloom.scale import one_row, rank_values
@@ -322,3 +323,30 @@ def popular_questions(log: DataFrame, n: int = 5) -> DataFrame:
     return (
         log.groupBy("question").agg(F.count("*").alias("asked")).orderBy(F.desc("asked"), "question").limit(n)
     )
+
+
+def last_records(records: DataFrame, n: int, ts: str = "created_at", tie: str = "log_id", width: str = "1 hour") -> DataFrame:
+    """The ``n`` newest records (ties: largest ``tie``; nulls oldest).
+
+    Records are counted by slices of time. Slices that the last n cover whole are taken as they
+    are; only of the slice that n ends in the newest rows are picked, n at most, so no
+    task holds all records. A row per slice is put in order.
+    """
+    slot = F.coalesce(F.window(F.col(ts).cast("timestamp"), width)["start"], F.lit("0001-01-01").cast("timestamp"))
+    placed = records.withColumn("_slice", slot)
+    newer = Window.orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    counted = placed.groupBy("_slice").agg(F.count("*").alias("_n")).withColumn("_newer", F.coalesce(F.sum("_n").over(newer), F.lit(0)))
+    edge = counted.filter((F.col("_newer") < n) & (F.col("_newer") + F.col("_n") >= n)).first()
+    if edge is None:
+        return records
+    whole = placed.filter(F.col("_slice") > F.lit(edge["_slice"])).drop("_slice")
+    part = placed.filter(F.col("_slice") == F.lit(edge["_slice"])).drop("_slice")
+    return whole.unionByName(part.orderBy(F.desc_nulls_last(ts), F.desc_nulls_last(tie)).limit(n - edge["_newer"]))
+
+
+def quality_of_last(records: DataFrame, n: int, ts: str = "created_at", tie: str = "log_id") -> DataFrame:
+    """Counts of votes and mean confidence of the ``n`` newest records."""
+    return last_records(records, n, ts, tie).agg(
+        F.count("*").alias("queries"), F.count_if(F.col("feedback") == "like").alias("likes"),
+        F.count_if(F.col("feedback") == "dislike").alias("dislikes"), F.round(F.avg("confidence"), 6).alias("avg_confidence"),
+    )

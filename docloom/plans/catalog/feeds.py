@@ -8,9 +8,10 @@ from pyspark.sql import types as T
 from docloom.functions import text as tx
 from docloom.functions import vectors as vx
 from docloom.operators import ranking as rk
+from docloom.operators import sketches as qs
 from docloom.plans import views as v
 from docloom.plans.catalog.chunks import csv_files
-from docloom.plans.catalog.reports import doc_status, quality_records
+from docloom.plans.catalog.reports import QUANTILES, doc_status, quality_records, ranks_hold
 from docloom.plans.catalog.search import clean_hits
 from docloom.plans.registry import cte, query, sql_strip
 from docloom.plans.tables import Tables
@@ -260,3 +261,38 @@ def _(t: Tables):
     ss.run_batches(docs, "ingest-state", ss.ingest_batch(out))
     chunks = t.spark.read.option("basePath", f"{out}/chunks").parquet(f"{out}/chunks")
     return chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("char_count").alias("chars"))
+
+
+_OVER = "(SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 10 MINUTES"
+
+
+@query(
+    "stream_latency_sketches",
+    f"""SELECT concat('/api/', event_type) AS endpoint, count(*) AS requests, true AS within_bound FROM events
+        WHERE date_trunc('minute', ts) + INTERVAL 1 MINUTE <= {_OVER} GROUP BY 1""",
+)
+def _(t: Tables):
+    """Sketches of minutes that are over, written by a stream, then merged and held against exact ranks."""
+    log = _stream(t).select("ts", F.concat(F.lit("/api/"), "event_type").alias("endpoint"), F.col("value").alias("latency_ms"))
+    slices = ss.run_to_table(qs.quantile_slices(log, ["endpoint"], "latency_ms", delay="10 minutes"), "minutes")
+    records = _events(t).select(F.concat(F.lit("/api/"), "event_type").alias("endpoint"), F.col("value").alias("latency_ms"), F.date_trunc("minute", "ts").alias("slice"))
+    over = records.join(slices.select("endpoint", "slice"), ["endpoint", "slice"], "left_semi")
+    return ranks_hold(qs.merged_quantiles(slices, ["endpoint"], QUANTILES), over, ("endpoint",))
+
+
+@query(
+    "feedback_stream_join",
+    f"""SELECT f.event_id AS log_id, f.event_type AS feedback, q.value AS latency_ms
+        FROM (SELECT * FROM events WHERE event_type IN ('purchase', 'error')) f
+        LEFT JOIN (SELECT * FROM events WHERE user_id % 5 <> 0) q ON q.event_id = f.event_id
+        WHERE q.event_id IS NOT NULL OR date_trunc('millisecond', f.ts) < {_OVER}""",
+)
+def _(t: Tables):
+    """Feedback with its query, both streams; users of every fifth number leave no query."""
+    events = _stream(t)
+    votes = events.select(F.col("event_id").alias("log_id"), F.col("event_type").alias("feedback"), "ts")
+    asked = events.select(F.col("event_id").alias("log_id"), F.col("value").alias("latency_ms"), "ts", "user_id")
+    out = ss.run_to_table(
+        ss.feedback_with_queries(votes, asked, F.col("feedback").isin("purchase", "error"), F.col("user_id") % 5 != 0), "feedback"
+    )
+    return out.select("log_id", "feedback", "latency_ms")

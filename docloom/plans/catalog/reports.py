@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
 from docloom.operators import analytics as an
+from docloom.operators import sketches as sk
 from docloom.plans import views as v
 from docloom.plans.registry import cte, query
 from docloom.plans.tables import Tables
+from docloom.scale import one_row
+from docloom.session import materialize
 
 
 def doc_status(t: Tables):
@@ -413,3 +418,82 @@ def _(t: Tables):
 )
 def _(t: Tables):
     return v.query_log(t).select("user_id", "k").distinct().groupBy("user_id").agg(F.count("*").alias("documents"))
+
+
+# --- sketches -----------------------------------------------------------------------
+QUANTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+
+
+def ranks_hold(estimates, records, keys):
+    """Whether each estimated quantile has its rank among the records, but for the sketches' error."""
+    joined = records.join(estimates.withColumnRenamed("n", "_n"), list(keys))
+    checks = []
+    for name, q in QUANTILES.items():
+        below, upto = F.count_if(F.col("latency_ms") < F.col(name)), F.count_if(F.col("latency_ms") <= F.col(name))
+        checks.append((below / F.count("*") <= q + sk.KLL_ERROR) & (upto / F.count("*") >= q - sk.KLL_ERROR))
+    right = checks[0] & checks[1] & checks[2] & (F.count("*") == F.first("_n"))
+    return joined.groupBy(*keys).agg(F.count("*").alias("requests"), right.alias("within_bound"))
+
+
+def timed_log(t: Tables):
+    return v.query_log(t).select("endpoint", "user_id", "latency_ms", F.col("created_at").cast("timestamp").alias("ts"))
+
+
+@query(
+    "latency_sketches",
+    """SELECT CAST(created_at AS DATE) AS day, endpoint, count(*) AS requests, true AS within_bound FROM query_log GROUP BY 1, 2
+       UNION ALL SELECT NULL, endpoint, count(*), true FROM query_log GROUP BY 2""",
+    ("query_log",),
+)
+def _(t: Tables):
+    """Quantiles by day and for all time from the sketches of minutes, held against the exact ranks."""
+    log = timed_log(t).withColumn("day", F.to_date("ts"))
+    slices = materialize(sk.quantile_slices(log, ["endpoint"], "latency_ms"), "minutes").withColumn("day", F.to_date("slice"))
+    by_day = ranks_hold(sk.merged_quantiles(slices, ["day", "endpoint"], QUANTILES), log, ("day", "endpoint"))
+    ever = ranks_hold(sk.merged_quantiles(slices, ["endpoint"], QUANTILES), log, ("endpoint",))
+    return by_day.unionByName(ever.withColumn("day", F.lit(None).cast("date")))
+
+
+@query(
+    "distinct_sketches",
+    """SELECT endpoint, true AS within_bound, true AS any_slicing FROM query_log GROUP BY 1
+       UNION ALL SELECT 'shared', true, true""",
+    ("query_log",),
+)
+def _(t: Tables):
+    """Users per endpoint, and users of all endpoints, from sketches of hours and of days."""
+    log = timed_log(t)
+    hours = materialize(sk.distinct_slices(log, ["endpoint"], "user_id"), "hours")
+    days = sk.distinct_slices(log, ["endpoint"], "user_id", width="1 day")
+    exact = log.groupBy("endpoint").agg(F.count_distinct("user_id").alias("exact"))
+    both = sk.merged_distinct(hours, ["endpoint"]).join(
+        sk.merged_distinct(days, ["endpoint"]).withColumnRenamed("distinct", "by_day"), "endpoint"
+    ).join(exact, "endpoint")
+    near = F.abs(F.col("distinct") - F.col("exact")) <= F.greatest(F.lit(1.0), 0.05 * F.col("exact"))
+    each = both.select("endpoint", near.alias("within_bound"), (F.col("distinct") == F.col("by_day")).alias("any_slicing"))
+    kinds = log.select("endpoint").distinct().count()
+    everywhere = log.groupBy("user_id").agg(F.count_distinct("endpoint").alias("n")).filter(F.col("n") == kinds)
+    shared = one_row(
+        everywhere.agg(F.count("*").alias("exact")), sk.shared_distinct(hours, "endpoint"),
+        sk.shared_distinct(days, "endpoint").withColumnRenamed("shared", "by_day"),
+        log.agg(F.count_distinct("user_id").alias("all")),
+    )
+    # The error of an intersection follows the size of the union.
+    near = F.abs(F.col("shared") - F.col("exact")) <= F.greatest(F.lit(1.0), 0.05 * F.col("all"))
+    return each.unionByName(
+        shared.select(F.lit("shared").alias("endpoint"), near.alias("within_bound"), (F.col("shared") == F.col("by_day")).alias("any_slicing"))
+    )
+
+
+@query(
+    "last_records_quality",
+    """SELECT n AS asked, count(*) AS queries, count(*) FILTER (feedback = 'like') AS likes, count(*) FILTER (feedback = 'dislike') AS dislikes,
+              round(avg(confidence), 6) AS avg_confidence
+       FROM (SELECT *, row_number() OVER (ORDER BY created_at DESC, log_id DESC) AS pos FROM quality_records), (VALUES (100), (1000), (10000)) v(n)
+       WHERE pos <= n GROUP BY 1""",
+    ("quality_records",),
+)
+def _(t: Tables):
+    records = quality_records(t)
+    parts = [an.quality_of_last(records, n).withColumn("asked", F.lit(n)) for n in (100, 1000, 10_000)]
+    return reduce(lambda a, b: a.unionByName(b), parts)

@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from docloom.session import materialize
+
 BROADCAST_MAX_ROWS = 200_000
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
+#: Distinct values that one bucket of ``rank_values`` orders, on average.
+BUCKET_VALUES = 100_000
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
@@ -36,18 +40,20 @@ def one_row(*frames: DataFrame) -> DataFrame:
 
 
 def rank_values(df: DataFrame, keys: Sequence[str], value: str, fractions: dict[str, float],
-                buckets: int = 100) -> DataFrame:
+                bucket_values: int = BUCKET_VALUES) -> DataFrame:
     """Exact order statistics: for each key the value at 0-based position
     ``floor(n * fraction)`` (capped at the last row) of its sorted values.
 
-    No key is ever sorted in one task. Equal values are counted first; rough
-    quantiles then cut each key into buckets, whose counts locate the bucket that
-    holds the wanted position, and only that bucket is ordered.
+    No key is ever sorted in one task. Equal values are counted first and stored; rough
+    quantiles then cut each key into buckets, as many as its distinct values ask for, whose
+    counts locate the bucket that holds the wanted position, and only that bucket is ordered.
     """
     keys = list(keys)
     group = keys or ["_all"]
     source = df if keys else df.withColumn("_all", F.lit(0))
-    counts = source.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = materialize(source.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n")), "counts")
+    most = counts.groupBy(*group).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    buckets = max(2, -(-most // bucket_values))
     steps = F.array(*[F.lit((i + 1) / buckets) for i in range(buckets - 1)])
     cuts = counts.groupBy(*group).agg(
         F.percentile_approx(value, steps, 10 * buckets).alias("_cuts"), F.sum("_n").alias("_total")

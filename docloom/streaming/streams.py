@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
@@ -84,6 +84,22 @@ def sessions(requests: DataFrame, ts: str = "ts", user: str = "user_id", gap: st
     )
 
 
+# --- joins -----------------------------------------------------------------------
+def feedback_with_queries(feedback: DataFrame, queries: DataFrame, wanted: Column | None = None, kept: Column | None = None,
+                          delay: str = "10 minutes", within: str = "1 hour") -> DataFrame:
+    """Every feedback (log_id, ts, ...) with the query (log_id, ts, ...) it is about, which
+    came at most ``within`` before it; feedback without one has nulls and comes out when
+    no such query can come any more. ``wanted`` and ``kept`` select rows of the two streams
+    after their watermarks. State is held for ``within`` and ``delay`` only.
+    """
+    votes = feedback.withWatermark("ts", delay)
+    asked = queries.withColumnsRenamed({"log_id": "_log_id", "ts": "_ts"}).withWatermark("_ts", delay)
+    votes = votes if wanted is None else votes.filter(wanted)
+    asked = asked if kept is None else asked.filter(kept)
+    near = (F.col("_ts") <= F.col("ts")) & (F.col("_ts") >= F.col("ts") - F.expr(f"INTERVAL {within}"))
+    return votes.join(asked, (F.col("log_id") == F.col("_log_id")) & near, "left").drop("_log_id", "_ts")
+
+
 # --- deduplication ------------------------------------------------------------------
 def dedup_uploads(uploads: DataFrame, ts: str = "ts", key: str = "content_hash") -> DataFrame:
     """Drops repeats of a content hash within the lock time (stream only). A hash
