@@ -198,13 +198,8 @@ def _(t: Tables):
     return found.withColumn("started_at", F.col("started_at").cast("timestamp_ntz"))
 
 
-@query(
-    "stream_session_history",
-    """SELECT conv_id, CAST(count(*) AS INT) AS n, max(turn) AS last_turn,
-              string_agg(concat(turn, ' ', role, ': ', text), chr(10) ORDER BY turn) AS history
-       FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS pos FROM conversations) WHERE pos <= 40 GROUP BY 1""",
-)
-def _(t: Tables):
+def newest_histories(t: Tables, stream):
+    """The last row that a stream of histories gives of each session."""
     out = ss.scratch(t.spark, "history")
     found: list[str] = []
 
@@ -213,15 +208,25 @@ def _(t: Tables):
         batch.write.mode("overwrite").parquet(path)
         found.append(path)
 
-    turns = ss.read_table_stream(t.spark, t.sf_dir, "conversations")
-    turns = turns.select("conv_id", "turn", "role", F.col("text").alias("content"))
-    ss.run_batches(ss.session_history(turns), "history-state", keep, mode="update")
+    ss.run_batches(stream, "history-state", keep, mode="update")
     rows = t.spark.read.option("basePath", out).parquet(*found)
     newest = rows.groupBy("conv_id").agg(F.max_by(F.struct("n", "last_turn", "history"), "batch").alias("s"))
     said = F.transform("s.history", lambda m: F.concat(m["turn"].cast("string"), F.lit(" "), m["role"], F.lit(": "), m["content"]))
     return newest.select("conv_id", "s.n", "s.last_turn", F.array_join(said, "\n").alias("history"))
 
 
+@query(
+    "stream_session_history",
+    """SELECT conv_id, CAST(count(*) AS INT) AS n, max(turn) AS last_turn,
+              string_agg(concat(turn, ' ', role, ': ', text), chr(10) ORDER BY turn) AS history
+       FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS pos FROM conversations) WHERE pos <= 40 GROUP BY 1""",
+)
+def _(t: Tables):
+    turns = ss.read_table_stream(t.spark, t.sf_dir, "conversations")
+    turns = turns.select("conv_id", "turn", "role", F.col("text").alias("content"))
+    return newest_histories(t, ss.session_history(turns))
+
+
 @query(
     "latest_status",
     "SELECT user_id AS doc_id, arg_max(event_type, (ts, event_type)) AS status, max(ts) AS updated_at FROM events GROUP BY 1",
@@ -296,3 +301,17 @@ def _(t: Tables):
         ss.feedback_with_queries(votes, asked, F.col("feedback").isin("purchase", "error"), F.col("user_id") % 5 != 0), "feedback"
     )
     return out.select("log_id", "feedback", "latency_ms")
+
+
+@query(
+    "stream_history_from_table",
+    """SELECT conv_id, CAST(count(*) AS INT) AS n, max(turn) AS last_turn,
+              string_agg(concat(turn, ' ', role, ': ', text), chr(10) ORDER BY turn) AS history
+       FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS pos FROM conversations
+             WHERE conv_id IN (SELECT conv_id FROM conversations WHERE turn % 2 = 1)) WHERE pos <= 3 GROUP BY 1""",
+)
+def _(t: Tables):
+    """Histories of three messages: even turns are known from a table, odd ones arrive."""
+    turns = ss.read_table_stream(t.spark, t.sf_dir, "conversations").select("conv_id", "turn", "role", F.col("text").alias("content"))
+    known = t.conversations.select("conv_id", "turn", "role", F.col("text").alias("content")).filter("turn % 2 = 0")
+    return newest_histories(t, ss.session_history(turns.filter("turn % 2 = 1"), keep=3, known=known))

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from docloom.functions import text as tx
 from docloom.operators import chunking as ch
@@ -118,31 +119,64 @@ def upload_leaders(uploads: DataFrame, ts: str = "ts", key: str = "content_hash"
 
 # --- session history --------------------------------------------------------------------
 HISTORY_SCHEMA = "conv_id long, n int, last_turn long, history array<struct<turn:long,role:string,content:string>>"
-_HISTORY_STATE = "turns array<long>, roles array<string>, contents array<string>"
+_TURN = "turn long, role string, content string"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def session_history(messages: DataFrame, keep: int = HISTORY_MESSAGES, ttl_ms: int = HISTORY_TTL_MS) -> DataFrame:
-    """Stateful stream: (conv_id, turn, role, content) in, one row per session and batch
-    out with the newest ``keep`` messages. A turn sent again replaces the earlier one.
-    Unused sessions expire after the TTL, which every message extends; state per session
-    is bounded by ``keep`` messages."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def update(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        kept = {turn: (role, content) for turn, role, content in zip(*state.get)} if state.exists else {}
-        for fresh in batches:
+class SessionHistory(StatefulProcessor):
+    """The newest messages of a session as a list in the state store, dropped when the
+    session has not been used for the time to live."""
+
+    def __init__(self, keep: int, ttl_ms: int):
+        self.keep, self.ttl_ms = keep, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.turns = handle.getListState("turns", _TURN, ttlDurationMs=self.ttl_ms)
+
+    def _held(self) -> dict[int, tuple]:
+        return {int(turn): (role, content) for turn, role, content in self.turns.get()} if self.turns.exists() else {}
+
+    def _hold(self, kept: dict[int, tuple], timer_values) -> None:
+        self.turns.put([(turn, role, content) for turn, (role, content) in kept.items()])
+        # One timer a session: the last message's.
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.ttl_ms)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        kept = self._held() | {int(m.turn): (m.role, m.content) for m in initialState.itertuples(index=False)}
+        self._hold(dict(sorted(kept.items())[-self.keep :]), timerValues)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        kept = self._held()
+        for fresh in rows:
             kept |= {int(m.turn): (m.role, m.content) for m in fresh.itertuples(index=False)}
-            kept = dict(sorted(kept.items())[-keep:])
-        state.update((list(kept), [role for role, _ in kept.values()], [content for _, content in kept.values()]))
-        state.setTimeoutDuration(ttl_ms)
+            kept = dict(sorted(kept.items())[-self.keep :])
+        self._hold(kept, timerValues)
         history = [{"turn": turn, "role": role, "content": content} for turn, (role, content) in kept.items()]
         yield pd.DataFrame({"conv_id": [key[0]], "n": [len(history)], "last_turn": [max(kept)], "history": [history]})
 
-    return messages.groupBy("conv_id").applyInPandasWithState(
-        update, HISTORY_SCHEMA, _HISTORY_STATE, "update", GroupStateTimeout.ProcessingTimeTimeout
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.turns.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def session_history(messages: DataFrame, keep: int = HISTORY_MESSAGES, ttl_ms: int = HISTORY_TTL_MS,
+                    known: DataFrame | None = None) -> DataFrame:
+    """Stateful stream: (conv_id, turn, role, content) in, one row per session and batch
+    out with the newest ``keep`` messages. A turn sent again replaces the earlier one.
+    Unused sessions expire after the TTL, which every message extends; state per session
+    is bounded by ``keep`` messages and lies in RocksDB. A new stream starts from the
+    sessions of ``known``, a table of the same columns; a restarted one from its checkpoint."""
+    messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    grouped = messages.select("conv_id", "turn", "role", "content").groupBy("conv_id")
+    first = known.select("conv_id", "turn", "role", "content").groupBy("conv_id") if known is not None else None
+    return grouped.transformWithStateInPandas(
+        SessionHistory(keep, ttl_ms), HISTORY_SCHEMA, "Update", "ProcessingTime", initialState=first
     )
 
 
@@ -202,14 +236,16 @@ def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{out}/data")
 
 
-def run_batches(stream: DataFrame, name: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """Run a stream over what is available now through ``each(batch, batch_id)``.
+def run_batches(stream: DataFrame, name: str, each: Callable[[DataFrame, int], None], mode: str = "append",
+                state: str | None = None) -> None:
+    """Run a stream over what is available now through ``each(batch, batch_id)``; ``state`` is the
+    checkpoint to go on from, a new one by default.
 
     Batches without data are switched off: a processing-time timeout asks for one
     after another, and the run would never end.
     """
     spark = stream.sparkSession
-    state = scratch(spark, name)
+    state = state or scratch(spark, name)
     flag = "spark.sql.streaming.noDataMicroBatches.enabled"
     before = spark.conf.get(flag, "true")
     spark.conf.set(flag, "false")
