@@ -332,6 +332,8 @@ def last_records(records: DataFrame, n: int, ts: str = "created_at", tie: str =
     are; only of the slice that n ends in the newest rows are picked, n at most, so no
     task holds all records. A row per slice is put in order.
     """
+    if n <= 0:
+        return records.limit(0)
     slot = F.coalesce(F.window(F.col(ts).cast("timestamp"), width)["start"], F.lit("0001-01-01").cast("timestamp"))
     placed = records.withColumn("_slice", slot)
     newer = Window.orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)

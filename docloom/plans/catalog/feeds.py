@@ -10,10 +10,11 @@ from docloom.functions import vectors as vx
 from docloom.operators import ranking as rk
 from docloom.operators import sketches as qs
 from docloom.plans import views as v
+from docloom.plans.catalog import quality  # noqa: F401  registers the rules of chunks
 from docloom.plans.catalog.chunks import csv_files
 from docloom.plans.catalog.reports import QUANTILES, doc_status, quality_records, ranks_hold
 from docloom.plans.catalog.search import clean_hits
-from docloom.plans.registry import cte, query, sql_strip
+from docloom.plans.registry import CTES, cte, query, sql_strip
 from docloom.plans.tables import Tables
 from docloom.sources import files as fl
 from docloom.sources import sinks as sk
@@ -259,7 +260,18 @@ def _(t: Tables):
     return again.withColumn("retried", F.lit(True)).unionByName(given_up.withColumn("retried", F.lit(False)))
 
 
-@query("stream_ingestion")
+# The chunk rules of the ingestion: chunks of 50 characters or more, no repeated chunk.
+cte("rated_in", CTES["rated"][1].replace("all_chunks", "chunks").replace("< 20", "< 50"), ("chunks",))
+cte("walk_in", CTES["walk"][1].replace("FROM walk w JOIN rated r", "FROM walk_in w JOIN rated_in r"), ("rated_in",))
+cte(
+    "judged_in",
+    CTES["judged"][1].replace("FROM rated r JOIN walk w", "FROM rated_in r JOIN walk_in w"),
+    ("rated_in", "walk_in", "profile"),
+)
+INGESTED = "SELECT doc_id, count(*) AS chunks, CAST(sum(char_count) AS BIGINT) AS chars FROM judged_in WHERE reject_reason IS NULL GROUP BY 1"
+
+
+@query("stream_ingestion", INGESTED, ("judged_in",))
 def _(t: Tables):
     out = ss.scratch(t.spark, "ingest")
     docs = ss.read_table_stream(t.spark, t.sf_dir, "documents").select("doc_id", "text")
@@ -315,3 +327,32 @@ def _(t: Tables):
     turns = ss.read_table_stream(t.spark, t.sf_dir, "conversations").select("conv_id", "turn", "role", F.col("text").alias("content"))
     known = t.conversations.select("conv_id", "turn", "role", F.col("text").alias("content")).filter("turn % 2 = 0")
     return newest_histories(t, ss.session_history(turns.filter("turn % 2 = 1"), keep=3, known=known))
+
+
+# --- a queue with dead letters --------------------------------------------------------------
+@query(
+    "queue_ingestion",
+    f"""SELECT doc_id, chunks, chars, -1 AS retries FROM ({INGESTED})
+        UNION ALL SELECT doc_id, 0, 0, 3 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM chunks)""",
+    ("judged_in", "chunks"),
+)
+def _(t: Tables):
+    """Documents from a queue, stopped after a batch and started again, then the dead letters
+    until they are given up: chunks of each document, and documents without text."""
+    spark, out, state = t.spark, ss.scratch(t.spark, "queue"), ss.scratch(t.spark, "queue-state")
+    limit = max(1, t.documents.count() // 4)
+
+    def run(batches=None):
+        docs = ss.queue_stream(spark, f"{t.sf_dir}/documents.parquet", f"{state}/docs.json", "doc_id long, text string", limit)
+        return ss.drain(docs, ss.admit_batch(out), f"{state}/docs", batches)
+
+    run(1)
+    run()
+    dead = ss.queue_stream(spark, f"{out}/dead", f"{state}/dead.json", "doc_id long, text string, error string, retries int", limit)
+    ss.drain(dead, ss.retry_batch(out), f"{state}/dead")
+    chunks = spark.read.option("basePath", f"{out}/chunks").parquet(f"{out}/chunks")
+    over = spark.read.option("basePath", f"{out}/given_up").parquet(f"{out}/given_up")
+    zero = F.lit(0).cast("long")
+    return chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("char_count").alias("chars"), F.lit(-1).alias("retries")).unionByName(
+        over.select("doc_id", zero.alias("chunks"), zero.alias("chars"), "retries")
+    )

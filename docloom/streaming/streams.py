@@ -9,14 +9,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from docloom.functions import text as tx
 from docloom.operators import chunking as ch
 from docloom.operators import quality as ql
 from docloom.session import scratch
+from docloom.sources.queue import QueueSource
 from docloom.sources.sinks import replace_partition
 
 # Fixed values.
@@ -213,6 +216,66 @@ def retry_failed(dead: DataFrame, max_retries: int = MAX_RETRIES) -> tuple[DataF
     return again, dead.filter(F.col("retries") >= max_retries)
 
 
+def queue_stream(spark: SparkSession, path: str, state: str, schema: str | StructType, limit: int) -> DataFrame:
+    """A folder of Parquet files, at most ``limit`` rows a batch."""
+    spark.dataSource.register(QueueSource)
+    return spark.readStream.format("docqueue").schema(schema).option("path", path).option("state", state).option("limit", limit).load()
+
+
+class Enough(Exception):
+    """A stream has run as many batches as it should."""
+
+
+def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], state: str, batches: int | None = None) -> int:
+    """Run a stream until its source has no more; with ``batches`` it breaks off at the batch
+    after that many. How many batches ran whole; the same ``state`` goes on from there."""
+    done: list[int] = []
+
+    def counted(batch: DataFrame, batch_id: int) -> None:
+        if batches is not None and len(done) == batches:
+            raise Enough
+        each(batch, batch_id)
+        done.append(batch_id)
+
+    query = stream.writeStream.foreachBatch(counted).option("checkpointLocation", state).start()
+    try:
+        query.processAllAvailable()
+    except StreamingQueryException as exc:
+        if len(done) != batches or "Enough" not in str(exc):
+            raise
+    finally:
+        query.stop()
+    return len(done)
+
+
+def retry_batch(out: str, size: int = 500, max_retries: int = MAX_RETRIES) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch`` over dead letters with their texts: each is tried again. What passes
+    joins the chunks; what fails again is a dead letter with one more try, or is given up."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        again, over = retry_failed(batch, max_retries)
+        passed, failed = prepare(again, size)
+        tried = failed.drop("retries", "status").join(again.select("doc_id", "text", "retries"), "doc_id")
+        # The name of a later file sorts behind all that were read.
+        replace_partition(passed, f"{out}/chunks", batch=f"r{batch_id:08d}")
+        replace_partition(tried.select("doc_id", "text", "error", "retries"), f"{out}/dead", batch=f"r{batch_id:08d}")
+        replace_partition(over, f"{out}/given_up", batch=f"r{batch_id:08d}")
+
+    return run
+
+
+def admit_batch(out: str, size: int = 500) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch`` over documents: chunks, and dead letters with their texts."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        passed, failed = prepare(batch, size)
+        dead = failed.join(batch.select("doc_id", "text"), "doc_id")
+        replace_partition(passed, f"{out}/chunks", batch=f"a{batch_id:08d}")
+        replace_partition(dead.select("doc_id", "text", "error", "retries"), f"{out}/dead", batch=f"a{batch_id:08d}")
+
+    return run
+
+
 # --- running ------------------------------------------------------------------------------
 def read_table_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A stored table as a stream of its files."""
