@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from docloom import scale
@@ -82,20 +86,28 @@ SLACK = 4e-6
 
 
 class SparseIndex(NamedTuple):
-    """A stored index: ``postings`` (term, id, tf, dl, block) and the ``lengths`` (id, dl) of
-    all units, also those without a term. A block is a run of units as they are stored."""
+    """A stored index, a row for each unit: ``units`` (id, dl, block, terms), also those without
+    a term. A block is a run of units as they are stored."""
 
-    postings: DataFrame
-    lengths: DataFrame
+    units: DataFrame
+
+    @property
+    def postings(self) -> DataFrame:
+        """term, id, tf, dl, block."""
+        unfolded = self.units.select("id", "dl", "block", F.explode("terms").alias("p"))
+        return unfolded.select(F.col("p.term").alias("term"), "id", F.col("p.tf").alias("tf"), "dl", "block")
+
+    @property
+    def lengths(self) -> DataFrame:
+        return self.units.select("id", "dl")
 
     def add(self, units: DataFrame, unit_id: str = "chunk_id", text: str = "content") -> SparseIndex:
-        new = build_index(units, unit_id, text)
         # Blocks of both share numbers; what bounds their union bounds each.
-        return SparseIndex(self.postings.unionByName(new.postings), self.lengths.unionByName(new.lengths))
+        return SparseIndex(self.units.unionByName(build_index(units, unit_id, text).units))
 
     def remove(self, doomed: DataFrame) -> SparseIndex:
         """Without the units whose ``id`` is given."""
-        return SparseIndex(remove_units(self.postings, doomed), remove_units(self.lengths, doomed))
+        return SparseIndex(remove_units(self.units, doomed))
 
 
 def build_index(units: DataFrame, unit_id: str = "chunk_id", text: str = "content") -> SparseIndex:
@@ -105,23 +117,20 @@ def build_index(units: DataFrame, unit_id: str = "chunk_id", text: str = "conten
     tokens = units.select(F.col(unit_id).alias("id"), tx.tokenize(text).alias("_t"))
     block = F.shiftright(F.monotonically_increasing_id(), BLOCK_UNITS.bit_length() - 1)
     numbered = tokens.select("id", F.size("_t").alias("dl"), term_frequencies("_t").alias("terms"), block.alias("block"))
-    stored = materialize(numbered, "postings")
-    unfolded = stored.select("id", "dl", "block", F.explode("terms").alias("p"))
-    return SparseIndex(
-        unfolded.select(F.col("p.term").alias("term"), "id", F.col("p.tf").alias("tf"), "dl", "block"), stored.select("id", "dl")
-    )
+    return SparseIndex(materialize(numbered, "postings"))
 
 
 def bm25(queries: DataFrame, units: DataFrame, k: int | None = 10, unit_id: str = "chunk_id",
          text: str = "content") -> DataFrame:
     """Build the index of the units, then search it."""
-    return search_index(queries, *build_index(units, unit_id, text), k)
+    index = build_index(units, unit_id, text)
+    return search_index(queries, index.postings, index.lengths, k) if k is None else search_units(queries, index, k)
 
 
 def query_weights(queries: DataFrame, index: DataFrame, lengths: DataFrame) -> DataFrame:
     """query_id, term, w, df: the weight of each query term that some unit has."""
     n = lengths.agg(F.count("*").alias("n")).select("n").scalar()
-    stats = term_statistics(index)
+    stats = materialize(term_statistics(index).drop("cf"), "terms")
     raw_idf = F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     mean_idf = stats.agg(F.avg(raw_idf).alias("m")).scalar()
     asked = queries.select("query_id", F.explode(tx.tokenize("query")).alias("term")).groupBy("query_id", "term").agg(
@@ -204,6 +213,121 @@ def search_index(queries: DataFrame, index: DataFrame, lengths: DataFrame, k: in
     return top_k(scores, k)
 
 
+# --- sparse search in blocks ---------------------------------------------------------
+#: Queries whose weights a pass over the index carries, and queries of a dense block.
+PASS_QUERIES, DENSE_QUERIES = 4096, 256
+
+
+class _Best:
+    """The k best units of each query so far, and the score that a unit must reach."""
+
+    def __init__(self, queries: int, k: int, kind: pa.DataType):
+        self.k, self.floor = k, np.full(queries, 10.0**-SCORE_DIGITS)
+        self.rows = pa.table({"q": pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "id": pa.array([], kind)})
+
+    def offer(self, q: np.ndarray, score: np.ndarray, ids: pa.Array) -> None:
+        rows = pa.concat_tables([self.rows, pa.table({"q": pa.array(q, pa.int64()), "score": score, "id": ids})]).combine_chunks()
+        rows = rows.take(pc.sort_indices(rows, [("q", "ascending"), ("score", "descending"), ("id", "ascending")]))
+        of = rows.column("q").to_numpy()
+        heads = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))[: len(of)]
+        place = np.arange(len(of)) - np.repeat(heads, np.diff(np.append(heads, len(of))))
+        self.rows = rows.filter(pa.array(place < self.k))
+        last = place == self.k - 1
+        self.floor[of[last]] = rows.column("score").to_numpy()[last]
+
+
+def _block_scores(q: np.ndarray, term: np.ndarray, w: np.ndarray, names: pa.Array, query_ids: pa.Array, avgdl: float, k: int,
+                  kind: pa.DataType):
+    """Score stored units (id, dl, terms) for all queries of a pass, a block of units by a block
+    of queries at a time. A block of units is left out for the queries for which the sum of
+    its best postings cannot reach what k units have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(query_ids)
+        best = _Best(n, k, kind)
+        dense = []
+        for lo in range(0, n, DENSE_QUERIES):
+            mine = (q >= lo) & (q < lo + DENSE_QUERIES)
+            own, at = np.unique(term[mine], return_inverse=True)
+            matrix = np.zeros((len(own) + 1, min(DENSE_QUERIES, n - lo)))
+            matrix[at, q[mine] - lo] = w[mine]
+            place = np.full(len(names), len(own))
+            place[own] = np.arange(len(own))
+            dense.append((lo, matrix, place))
+        for batch in batches:
+            ids, terms = batch.column(0), batch.column(2)
+            units = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False))
+            flat = terms.flatten()
+            known = pc.index_in(flat.field("term"), names)
+            found = np.flatnonzero(known.is_valid().to_numpy(zero_copy_only=False))
+            units, which = units[found], known.fill_null(0).to_numpy()[found].astype(np.int64)
+            tf, dl = flat.field("tf").to_numpy()[found].astype(float), batch.column(1).to_numpy()[units]
+            strength = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+            cuts = np.searchsorted(units, np.arange(0, batch.num_rows + BLOCK_UNITS, BLOCK_UNITS))
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a == b:
+                    continue
+                rows, heads = np.unique(units[a:b], return_index=True)
+                order = np.lexsort((-strength[a:b], which[a:b]))
+                first = order[np.concatenate([[True], np.diff(which[a:b][order]) != 0])]
+                for lo, matrix, place in dense:
+                    floor = best.floor[lo : lo + matrix.shape[1]]
+                    most = strength[a:b][first] @ np.maximum(matrix[place[which[a:b][first]]], 0)
+                    could = np.flatnonzero(most >= floor - SLACK)
+                    if not len(could):
+                        continue
+                    part = matrix if len(could) == matrix.shape[1] else matrix[:, could]
+                    scores = np.round(np.add.reduceat(part[place[which[a:b]]] * strength[a:b, None], heads, axis=0), SCORE_DIGITS)
+                    at, col = np.nonzero(scores >= floor[could])
+                    if len(at):
+                        best.offer(lo + could[col], scores[at, col], ids.take(pa.array(rows[at])))
+        rows = best.rows
+        if rows.num_rows:
+            yield pa.RecordBatch.from_arrays(
+                [query_ids.take(rows.column("q").combine_chunks()), rows.column("id").combine_chunks(), rows.column("score").combine_chunks()],
+                names=["query_id", "id", "score"],
+            )
+
+    return run
+
+
+def search_units(queries: DataFrame, index: SparseIndex, k: int = 10) -> DataFrame:
+    """query_id, id, score, rnk for every query at once, exact; scores must be positive.
+
+    A task turns its units into blocks and multiplies them with blocks of queries, so of
+    each query only the k best units of a task become rows. Weights are sent for
+    ``PASS_QUERIES`` queries at a time: a set of queries beyond that takes several passes.
+    """
+    weights = materialize(query_weights(queries, *_parts(index)).select("query_id", "term", "w"), "weights")
+    avgdl = index.lengths.agg(F.avg("dl")).first()[0] or 1.0
+    number = materialize(ranked_ids(weights.select("query_id").distinct()), "queries")
+    passes = -(-number.count() // PASS_QUERIES)
+    kinds = [f"query_id {queries.schema['query_id'].dataType.simpleString()}", f"id {index.units.schema['id'].dataType.simpleString()}"]
+    id_kind = to_arrow_type(index.units.schema["id"].dataType)
+    stored = index.units.select("id", "dl", "terms")
+    found = [stored.sparkSession.createDataFrame([], ", ".join([*kinds, "score double"]))]
+    for p in range(passes):
+        mine = number.filter(F.floor(F.col("_q") / PASS_QUERIES) == p)
+        held = weights.join(F.broadcast(mine), "query_id").select("query_id", "_q", "term", "w").toArrow()  # of PASS_QUERIES queries
+        ids, q = np.unique(held["_q"].to_numpy(), return_index=True)
+        names = held["term"].combine_chunks().dictionary_encode()
+        run = _block_scores(
+            np.searchsorted(ids, held["_q"].to_numpy()), names.indices.to_numpy().astype(np.int64), held["w"].to_numpy(), names.dictionary,
+            held["query_id"].combine_chunks().take(pa.array(q)), avgdl, k, id_kind,
+        )
+        found.append(stored.mapInArrow(run, ", ".join([*kinds, "score double"])))
+    return top_k(reduce(DataFrame.unionAll, found), k)
+
+
+def _parts(index: SparseIndex) -> tuple[DataFrame, DataFrame]:
+    return index.postings, index.lengths
+
+
+def ranked_ids(ids: DataFrame) -> DataFrame:
+    """query_id, _q: numbers without gaps; a row each of the queries, which are short."""
+    return ids.withColumn("_q", F.row_number().over(Window.orderBy("query_id")) - 1)
+
+
 # --- dense -------------------------------------------------------------------------
 #: Vectors in a block, so that a product of two blocks takes 32 MB; bytes that
 #: may be sent to all executors.

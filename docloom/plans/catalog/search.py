@@ -45,7 +45,7 @@ def documents(t: Tables):
 
 def sparse_hits(t: Tables):
     index = t.stored("document index", lambda: rt.build_index(t.documents, "doc_id", "text"))
-    return t.stored("sparse hits", lambda: materialize(rt.search_index(items(t), *index, K), "hits"))
+    return t.stored("sparse hits", lambda: materialize(rt.search_units(items(t), index, K), "hits"))
 
 
 def dense_hits(t: Tables):
@@ -198,7 +198,7 @@ def _(t: Tables):
         F.concat(F.lit("p"), "page_id").alias("chunk_id"), F.regexp_replace("html", "<[^>]*>", " ").alias("content")
     )
     doomed = chunks.filter("lang = 'de'").select(F.col("chunk_id").alias("id"))
-    return rt.search_index(items(t), *rt.build_index(chunks).add(pages).remove(doomed), K)
+    return rt.search_units(items(t), rt.build_index(chunks).add(pages).remove(doomed), K)
 
 
 def changed_store(t: Tables):
@@ -211,17 +211,13 @@ def changed_store(t: Tables):
     store = SegmentStore(t.spark, scratch(t.spark, "store"), "chunk_id")
 
     def changes(units, doomed=None):
-        index = rt.build_index(units)
-        parts = {
-            "chunks": units, "postings": index.postings.withColumnRenamed("id", "chunk_id"),
-            "lengths": index.lengths.withColumnRenamed("id", "chunk_id"),
-        }
+        parts = {"chunks": units, "index": rt.build_index(units).units.withColumnRenamed("id", "chunk_id")}
         return {name: Change(rows, doomed) for name, rows in parts.items()}
 
     first = store.commit(changes(chunks))
     second = store.commit(changes(pages, chunks.filter("lang = 'de'").select("chunk_id")), base=first)
     store.compact("chunks", 0.0)
-    last = store.compact("postings", 0.0)
+    last = store.compact("index", 0.0)
     return store, {"before": first, "after": second, "compacted": last}
 
 
@@ -248,11 +244,18 @@ def _(t: Tables):
     store, versions = changed_store(t)
     parts = []
     for name, number in versions.items():
-        index = (store.read(table, number).withColumnRenamed("chunk_id", "id") for table in ("postings", "lengths"))
-        parts.append(rt.search_index(items(t), *index, K).select(F.lit(name).alias("snapshot"), "query_id", "id", "score", "rnk"))
+        index = rt.SparseIndex(store.read("index", number).withColumnRenamed("chunk_id", "id"))
+        parts.append(rt.search_units(items(t), index, K).select(F.lit(name).alias("snapshot"), "query_id", "id", "score", "rnk"))
     return reduce(DataFrame.unionAll, parts)
 
 
+@query("bm25_postings", sql_bm25("documents", "doc_id", "text"))
+def _(t: Tables):
+    """The same search by joins over postings with bounds of blocks."""
+    index = rt.build_index(t.documents, "doc_id", "text")
+    return rt.search_index(items(t), index.postings, index.lengths, K)
+
+
 @query("exact_knn", sql_knn("SELECT vec_id AS query_id, embedding AS vec FROM embeddings", 5))
 def _(t: Tables):
     every = unit_vectors(t).withColumnRenamed("id", "query_id")

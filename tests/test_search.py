@@ -54,6 +54,13 @@ def test_pruned_search_is_exact(spark, monkeypatch, units_of_block, seeds):
     assert all(s == pytest.approx(w, abs=2e-6) for k, v in got.items() for (_, s), (_, w) in zip(v, want[k]))
     bare = rt.search_index(q, rt.postings(u), rt.unit_lengths(u), 10)
     assert {(r["query_id"], r["id"]) for r in bare.collect()} == {(k, i) for k, v in want.items() for i, _ in v}
+    index = rt.build_index(u)
+    joined = rt.search_index(q, index.postings, index.lengths, 10)
+    assert {(r["query_id"], r["id"]) for r in joined.collect()} == {(k, i) for k, v in want.items() for i, _ in v}
+    monkeypatch.setattr(rt, "PASS_QUERIES", 7)
+    monkeypatch.setattr(rt, "DENSE_QUERIES", 3)
+    assert {(r["query_id"], r["id"]) for r in rt.bm25(q, u, 10).collect()} == {(k, i) for k, v in want.items() for i, _ in v}
+    assert rt.bm25(q, u.limit(0), 10).count() == rt.bm25(q.limit(0), u, 10).count() == 0
     every = rt.bm25(q, u, None)
     assert every.count() == sum(len(v) for v in plain_bm25(queries, units, 10**6).values())
 
@@ -66,7 +73,7 @@ def test_few_blocks_are_scored(spark):
     weights = rt.query_weights(queries, index.postings, index.lengths)
     floors = rt.thresholds(weights, index.postings, F.lit(5.0), 8)
     assert floors.count() == 20
-    found = rt.search_index(queries, *index, 8)
+    found = rt.search_units(queries, index, 8)
     assert found.count() == 160 and {r["id"] % 500 == r["query_id"] for r in found.collect()} == {True}
 
 
