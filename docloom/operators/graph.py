@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from docloom import lexicon as lx
 from docloom.functions import text as tx
-from docloom.session import checkpoint_ready
+from docloom.session import checkpoint_ready, materialize
 
 # Limits of extraction, traversal and facts.
 MAX_NAME_CHARS = 50
@@ -202,6 +202,67 @@ def multi_hop(seeds: DataFrame, relations: DataFrame, vertices: DataFrame | None
     return reached.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_nodes).drop("_rn")
 
 
+#: Queries whose visits to a vertex share one number.
+WORD_BITS = 64
+
+
+def _bit_of() -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bit"))
+
+
+def _packed(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row for each vertex and group of queries, with a bit for each query."""
+    return rows.groupBy("_group", *keys).agg(F.bit_or(_bit_of()).alias("_mask"))
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    bits = F.filter(F.sequence(F.lit(0), F.lit(WORD_BITS - 1)), lambda i: F.getbit("_mask", i) == 1)
+    return rows.withColumn("_bit", F.explode(bits)).drop("_mask")
+
+
+def multi_hop_packed(seeds: DataFrame, relations: DataFrame, vertices: DataFrame | None = None, hops: int = MAX_HOPS,
+              max_nodes: int | None = MAX_NODES) -> DataFrame:
+    """The result of ``multi_hop``, for many queries.
+
+    All queries walk together. Sixty-four of them are the bits of one number, for the vertices
+    they have just reached and for those they have visited, so a hop joins each vertex
+    with its links once for all of them, and what is new are the bits not visited yet.
+    """
+    start = seeds.select("query_id", "name").distinct()
+    if vertices is not None:
+        start = start.join(vertices.select("name"), "name", "left_semi").select("query_id", "name")
+    number = F.row_number().over(Window.orderBy("query_id")) - 1
+    queries = start.select("query_id").distinct().withColumn("_n", number).select(
+        "query_id", F.floor(F.col("_n") / WORD_BITS).alias("_group"), (F.col("_n") % WORD_BITS).cast("int").alias("_bit")
+    )
+    links = both_directions(relations).select("name", "neighbour").distinct()
+    if max_nodes is not None:
+        # A vertex contributes at most max_nodes + visited names to any query; the
+        # visited ones number at most max_nodes, so twice the limit is enough.
+        w = Window.partitionBy("name").orderBy("neighbour")
+        links = links.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= 2 * max_nodes).drop("_rn")
+    # Ranked once, read by each hop.
+    links = materialize(links, "links")
+    hop = start.join(queries, "query_id").select("_group", "name", "_bit")
+    reached = hop.withColumn("depth", F.lit(0))
+    none = F.lit(0).cast("long")
+    for depth in range(1, hops + 1):
+        arriving = _packed(hop, "name").join(links, "name").select("_group", F.col("neighbour").alias("name"), F.col("_mask").alias("_to"), none.alias("_seen"))
+        visited = reached.select("_group", "name", none.alias("_to"), _bit_of().alias("_seen"))
+        met = arriving.unionByName(visited).groupBy("_group", "name").agg(F.bit_or("_to").alias("_to"), F.bit_or("_seen").alias("_seen"))
+        new = met.select("_group", "name", F.col("_to").bitwiseAND(F.bitwise_not("_seen")).alias("_mask"))
+        step = _unpacked(new.filter("_mask <> 0"))
+        if max_nodes is not None:
+            w = Window.partitionBy("_group", "_bit").orderBy("name")
+            step = step.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_nodes).drop("_rn")
+        hop = materialize(step, f"hop{depth}")
+        reached = reached.unionByName(hop.withColumn("depth", F.lit(depth)))
+    if max_nodes is not None:
+        w = Window.partitionBy("_group", "_bit").orderBy("depth", "name")
+        reached = reached.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_nodes).drop("_rn")
+    return reached.join(queries, ["_group", "_bit"]).select("query_id", "name", "depth")
+
+
 def facts(seeds: DataFrame, relations: DataFrame, max_facts: int = MAX_FACTS) -> DataFrame:
     """query_id, context: distinct ``A --[r]--> B`` lines around the seeds. Lines
     are deduplicated and cut to the limit before they are gathered."""

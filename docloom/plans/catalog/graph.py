@@ -72,17 +72,22 @@ cte(
 )
 
 
-@query(
-    "multi_hop",
-    """SELECT query_id, name, depth FROM
+BFS = """SELECT query_id, name, depth FROM
        (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY depth, name) AS pos
-        FROM (SELECT query_id, name, CAST(min(depth) AS INT) AS depth FROM bfs GROUP BY 1, 2)) WHERE pos <= 50""",
-    ("bfs",),
-)
+        FROM (SELECT query_id, name, CAST(min(depth) AS INT) AS depth FROM bfs GROUP BY 1, 2)) WHERE pos <= 50"""
+
+
+@query("multi_hop", BFS, ("bfs",))
 def _(t: Tables):
     return gr.multi_hop(seeds(t), relations(t), vertices(t))
 
 
+@query("multi_hop_packed", BFS, ("bfs",))
+def _(t: Tables):
+    """The same walk with the visits of 64 queries in one number."""
+    return gr.multi_hop_packed(seeds(t), relations(t), vertices(t))
+
+
 @query(
     "graph_facts",
     f"""SELECT query_id, concat({quote(lx.GRAPH_FACTS_HEADER)}, string_agg(fact, chr(10) ORDER BY fact)) AS context FROM
