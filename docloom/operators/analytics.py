@@ -163,8 +163,10 @@ def quality_summary(records: DataFrame, recent: int = 1000) -> DataFrame:
 
 
 def low_quality_clusters(records: DataFrame, threshold: float = 0.3, min_samples: int = 5,
-                         n: int | None = 20) -> DataFrame:
-    key = F.btrim(F.lower(F.substring("question", 1, 50)))
+                         n: int | None = 20, pattern_chars: int = 50) -> DataFrame:
+    """Openings of questions with low confidence. Questions are told apart by their first
+    ``pattern_chars`` characters, and the ``n`` worst are listed (all if None)."""
+    key = F.btrim(F.lower(F.substring("question", 1, pattern_chars)))
     found = (
         records.groupBy(key.alias("pattern"))
         .agg(F.avg("confidence").alias("_avg"), F.count("*").alias("samples"))
@@ -174,6 +176,12 @@ def low_quality_clusters(records: DataFrame, threshold: float = 0.3, min_samples
     return found if n is None else found.orderBy("avg_confidence", "pattern").limit(n)
 
 
+def disliked(records: DataFrame, limit: int = 50, max_chars: int = 500) -> DataFrame:
+    """The newest disliked questions: ``limit`` of them, cut to ``max_chars`` characters."""
+    newest = records.filter("feedback = 'dislike'").orderBy(F.desc("created_at"), F.desc("log_id")).limit(limit)
+    return newest.select("log_id", F.substring("question", 1, max_chars).alias("question"), "confidence")
+
+
 def ab_test(results: DataFrame, min_samples: int = 100, z_needed: float = 1.96) -> DataFrame:
     """Both arms of every experiment on one row, with the z-test verdict."""
 

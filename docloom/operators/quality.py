@@ -91,7 +91,7 @@ def judge_chunks(docs: DataFrame, pieces: str = "pieces", profile: str | None =
     """One row per chunk with ``reject_reason`` (NULL = passed).
 
     Works on the array of a document's chunks, so the ordered deduplication needs
-    no shuffle: hashes are taken in the JVM, and only they visit Python, where a
+    no shuffle: hashes are taken from Arrow batches of the pieces, and a
     set answers each chunk in constant time. A chunk enters the set only if it
     passed all rules up to and including this one.
     """
@@ -274,7 +274,8 @@ def unique_documents(docs: DataFrame, text: str = "text", overwrite: bool = Fals
     """The first document per content, or the last where uploads overwrite.
 
     The survivor is chosen by a combined aggregate and rows are matched back on
-    the unique document id, so a heap of copies never gathers in one task.
+    the unique document id, so a heap of copies never gathers in one task. Documents
+    without a text (null) are one content: the first of them stays.
     """
     pick = F.max if overwrite else F.min
     kept = docs.groupBy(F.sha2(text, 256).alias("_h")).agg(pick("doc_id").alias("doc_id")).drop("_h")

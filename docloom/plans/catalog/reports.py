@@ -245,13 +245,7 @@ def _(t: Tables):
     ("quality_records",),
 )
 def _(t: Tables):
-    return (
-        quality_records(t)
-        .filter("feedback = 'dislike'")
-        .orderBy(F.desc("created_at"), F.desc("log_id"))
-        .limit(50)
-        .select("log_id", F.substring("question", 1, 500).alias("question"), "confidence")
-    )
+    return an.disliked(quality_records(t))
 
 
 @query(

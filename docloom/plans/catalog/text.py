@@ -168,10 +168,10 @@ def _(t: Tables):
 def _(t: Tables):
     # Neighbouring chunks of a document, compared inside the document's row.
     rows = t.documents.select("doc_id", tx.char_hashes(v.chunking.fixed_pieces("text")).alias("hs"))
-    pairs = rows.select("doc_id", "hs", F.posexplode("hs").alias("i", "h")).filter("i > 0")
+    both = F.arrays_zip(F.col("hs").alias("h"), F.concat(F.array(F.lit(None).cast("long")), "hs").alias("p"))
+    pairs = rows.select("doc_id", F.posexplode(both).alias("i", "b")).filter("b.h IS NOT NULL AND b.p IS NOT NULL")
     return pairs.select(
-        v.chunking.chunk_key("doc_id", "i").alias("chunk_id"),
-        F.round(tx.bit_jaccard(F.col("h"), F.get("hs", F.col("i") - 1)), 6).alias("sim"),
+        v.chunking.chunk_key("doc_id", "i").alias("chunk_id"), F.round(tx.bit_jaccard("b.h", "b.p"), 6).alias("sim")
     )
 
 
@@ -296,7 +296,25 @@ def _(t: Tables):
     return v.queries(t).select("query_id", tx.sanitize_input("query").alias("sanitized"))
 
 
-@query("sanitize_output")
+@query(
+    "sanitize_output",
+    f"""WITH squeezed AS (SELECT doc_id, text, regexp_replace(text, '\\s+', '', 'g') AS s FROM documents),
+        runs AS (SELECT doc_id, arg_min(spot, place) AS cut FROM
+                 (SELECT doc_id, instr(text, repeat(c, 5)) - 1 AS spot, instr(s, repeat(c, 21)) AS place FROM
+                  (SELECT *, unnest(list_distinct(string_split(s, ''))) AS c FROM squeezed)) WHERE place > 0 AND spot > 30 GROUP BY 1),
+        lines AS (SELECT doc_id, line, count(*) AS n, min(i) AS first_idx FROM
+                  (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) WHERE len(ls) > 6)
+                  GROUP BY 1, 2),
+        loops AS (SELECT doc_id, arg_min(first_idx, pos) AS cut FROM
+                  (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_idx, line) AS pos FROM lines)
+                  WHERE pos <= 5 AND n > 6 AND length({sql_strip('line')}) > 2 AND first_idx > 1 GROUP BY 1)
+        SELECT d.doc_id, CASE WHEN d.text IS NULL OR length(d.text) < 10 THEN d.text
+               WHEN r.cut IS NOT NULL THEN concat(substr(d.text, 1, r.cut), {quote(lx.LOOP_CUT_NOTE)})
+               WHEN regexp_matches(d.text, '(【[^】]{{0,3}}】\\s*){{10,}}') THEN concat(substr(d.text, 1, 100), {quote(lx.LOOP_CUT_NOTE)})
+               WHEN l.cut IS NOT NULL THEN concat(array_to_string(string_split(d.text, chr(10))[1:l.cut], chr(10)), {quote(lx.REPEAT_CUT_NOTE)})
+               ELSE d.text END AS sanitized
+        FROM documents d LEFT JOIN runs r ON r.doc_id = d.doc_id LEFT JOIN loops l ON l.doc_id = d.doc_id""",
+)
 def _(t: Tables):
     return t.documents.select("doc_id", tx.sanitize_output("text").alias("sanitized"))
 

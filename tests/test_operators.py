@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,6 +51,16 @@ def test_sanitize_output(spark, text, expected):
     assert one(spark, tx.sanitize_output("t"), t=text) == expected
 
 
+def test_character_hashes_of_whole_batches(spark):
+    texts = [None, "", "abc", "\u4e2d\u6587 \U0001f600", "\u07ff\u0800\uffff", "aab" * 50, "\u00e9"]
+    assert tx._hash_all(pa.array(texts, pa.string()).slice(1)).to_pylist() == [tx.hash_characters(t) for t in texts[1:]]
+    assert tx._hash_all(pa.array([None, None], pa.string())).to_pylist() == [None, None]
+    arrays = [texts[1:4], [], None, texts[4:]]
+    rows = spark.createDataFrame([(i, a) for i, a in enumerate(arrays)], "i int, a array<string>")
+    got = {r["i"]: r["h"] for r in rows.select("i", tx.char_hashes("a").alias("h")).collect()}
+    assert got == {i: None if a is None else [tx.hash_characters(t) for t in a] for i, a in enumerate(arrays)}
+
+
 def test_safe_truncate_never_splits_a_character(spark):
     for text in ("ab\u00e9\u00e9", "\u4e2d\u6587\u5b57", "a\U0001f600b"):
         for n in range(1, 9):
