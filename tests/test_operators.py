@@ -1,6 +1,8 @@
 """Operators whose results depend on order, models or files: small cases by hand."""
 
 import random
+import re
+import time
 
 import numpy as np
 import pandas as pd
@@ -455,3 +457,25 @@ def test_keyset_pages_cover_everything(spark):
         seen += [r["id"] for r in rows]
         after = (rows[-1]["created_at"], rows[-1]["id"])
     assert seen == list(range(19, -1, -1))
+
+
+def test_overlap_suffix_takes_the_last_sentence_in_linear_time(spark):
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("ab \n.!。é𝄞") for _ in range(rnd.randint(0, 30))) + "x" * rnd.choice([0, 12]) for _ in range(300)]
+    long = ("x" * 40_000 + ".") * 3 + "y" * 15
+
+    def expected(text):
+        text, stops = text.rstrip(), tx.SENTENCE_STOP_DOT
+        tail = text[-10:]
+        if len(text) <= 10:
+            return text
+        if re.search(f"[{stops}]", tail):
+            return re.search(f"[^{stops}]*[{stops}]", tail)[0].strip()
+        return re.search(rf"[^{stops}]*(?:[{stops}][^{stops}]*)?\Z", text)[0].strip() or tail.strip()
+
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["o"] for r in rows.select("i", tx.overlap_suffix("t", 10).alias("o")).collect()}
+    assert got == {i: expected(t) for i, t in enumerate(texts)}
+    started = time.monotonic()
+    only = spark.createDataFrame([(long,)], "t string").select(tx.overlap_suffix("t", 10).alias("o")).first()["o"]
+    assert only == "x" * 40_000 + "." + "y" * 15 and time.monotonic() - started < 10
