@@ -3,6 +3,7 @@
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -479,3 +480,23 @@ def test_overlap_suffix_takes_the_last_sentence_in_linear_time(spark):
     started = time.monotonic()
     only = spark.createDataFrame([(long,)], "t string").select(tx.overlap_suffix("t", 10).alias("o")).first()["o"]
     assert only == "x" * 40_000 + "." + "y" * 15 and time.monotonic() - started < 10
+
+
+def test_character_hashes_take_memory_by_block():
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choice("aé中𝄞") for _ in range(rnd.randint(0, 40))) for _ in range(200)] + [None, "", "é" * 5000]
+    expected = [None if t is None else tx.hash_characters(t) for t in texts]
+    whole = tx.HASH_BYTES
+    try:
+        for size in (1, 7, 64, whole):
+            tx.HASH_BYTES = size
+            assert tx._hash_all(pa.array(texts)).to_pylist() == expected
+            assert tx._hash_all(pa.array(texts)[3:50]).to_pylist() == expected[3:50]
+    finally:
+        tx.HASH_BYTES = whole
+    big = pa.array(["some words of a text " * 100] * 10_000)
+    tracemalloc.start()
+    assert set(tx._hash_all(big).to_pylist()) == {tx.hash_characters("some words of a text " * 100)}
+    used = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert used < 150_000_000
