@@ -278,12 +278,10 @@ def admit_batch(out: str, size: int = 500) -> Callable[[DataFrame, int], None]:
 
 # --- running ------------------------------------------------------------------------------
 def read_table_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A stored table as a stream of its files."""
+    """A stored table, one file or a folder of files, as a stream of its files."""
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").option("maxFilesPerTrigger", 100)
-        .parquet(sf_dir)
-    )
+    # As a pattern, the path may be that of a single file.
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 100).parquet(f"{sf_dir}/{{{table}.parquet}}")
 
 
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docloom import scale
 from docloom.operators import analytics as an
 from docloom.operators import sketches as sk
+from docloom.plans.catalog import QUERIES
 from docloom.session import scratch
 from docloom.sources.queue import QueueReader
 from docloom.streaming import streams as ss
@@ -140,3 +141,12 @@ def test_rank_values_with_many_buckets(spark):
     got = scale.rank_values(df, ["k"], "v", {"p10": 0.1, "p95": 0.95, "last": 1.0}, bucket_values=20)
     ordered = sorted(v for k, v in rows if k == "a")
     assert {tuple(r) for r in got.collect()} == {("a", ordered[400], ordered[3800], ordered[-1]), ("b", 1.0, 1.0, 1.0)}
+
+
+def test_tables_of_many_files_stream_whole(spark, sf_dir, tmp_path):
+    for name in ("documents", "conversations"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("stream_ingestion", "stream_session_history", "stream_history_from_table"):
+        one, many = (QUERIES[name](spark, folder) for folder in (sf_dir, str(tmp_path)))
+        expected = sorted(one.collect())
+        assert expected and sorted(many.collect()) == expected
