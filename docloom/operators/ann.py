@@ -133,22 +133,32 @@ def _probed(centres: np.ndarray, probes: int) -> Callable:
     return run
 
 
+def _best(score: np.ndarray, take: int) -> np.ndarray:
+    """Places of the ``take`` best scores; of equal ones the first, so that among copies of
+    a vector those with the least ids are kept, as the exact search does."""
+    least = np.partition(score, len(score) - take)[len(score) - take]
+    found = np.flatnonzero(score >= least)
+    return found[np.argsort(-score[found], kind="stable")[:take]]
+
+
 def _scored(centres: np.ndarray, words: np.ndarray, short: int) -> Callable:
-    """The ``short`` best codes of each query in each stored row."""
+    """The ``short`` best codes of each query in each stored row, of equal ones those with the least ids."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                asked = np.stack(row.q_vecs)
-                codes = np.frombuffer(b"".join(row.codes), np.uint8).reshape(len(row.ids), len(words))
+                asked, ids = np.stack(row.q_vecs), np.asarray(row.ids)
+                by_id = np.argsort(ids, kind="stable")
+                ids = ids[by_id]
+                codes = np.frombuffer(b"".join(row.codes), np.uint8).reshape(len(ids), len(words))[by_id]
                 tables = np.einsum("qjd,jcd->jqc", asked.reshape(len(asked), len(words), -1), words)
                 score = np.repeat((asked @ centres[row.list])[:, None], len(codes), axis=1)
                 for j, table in enumerate(tables):
                     score += table[:, codes[:, j]]
                 take = min(short, len(codes))
-                best = np.argpartition(-score, take - 1, axis=1)[:, :take]
+                best = np.stack([_best(line, take) for line in score])
                 yield pd.DataFrame({
-                    "query_id": np.repeat(np.asarray(row.q_ids), take), "id": np.asarray(row.ids)[best.ravel()],
+                    "query_id": np.repeat(np.asarray(row.q_ids), take), "id": ids[best.ravel()],
                     "score": np.take_along_axis(score, best, axis=1).ravel(),
                 })
 

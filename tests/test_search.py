@@ -98,6 +98,16 @@ def test_quantised_neighbours(spark):
         ann.build_index(units, subspaces=5)
 
 
+def test_quantised_neighbours_among_many_copies(spark):
+    x = vectors(30, 16, 4)
+    rows = [(i, x[i % 30].tolist()) for i in random.Random(4).sample(range(1800), 1800)]
+    units = spark.createDataFrame(rows, "id long, vec array<float>")
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "query_id long, vec array<float>")
+    index = ann.build_index(units, subspaces=8, list_rows=900)
+    got = {(r["query_id"], r["rnk"]): r["id"] for r in ann.pq_knn(asked, units, index, 5, short=8).collect()}
+    assert got == {(q, n): q + 30 * n for q in range(30) for n in range(5)}
+
+
 # containment ----------------------------------------------------------------------
 @given(st.lists(st.text(alphabet="abé🙂 ", min_size=1, max_size=5), max_size=8, unique=True), st.lists(st.text(alphabet="abcé🙂 ", max_size=40), max_size=6))
 @settings(max_examples=150, deadline=None)
