@@ -8,10 +8,12 @@ prev/next links follow from the position alone.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -260,15 +262,27 @@ def leading_steps(col) -> Column:
     return tx.bind(F.split(tx._c(col), "\n"), first_run)
 
 
+#: Rows of an Arrow batch whose values are Python objects at once.
+SLICE_ROWS = 64
+
+
+def _by_slices(rows: pa.Array, one: Callable[[list], list[str]]) -> pa.Array:
+    """``one`` of every row, so many rows at a time; null rows stay null."""
+    kind = pa.list_(pa.string())
+    parts = [
+        pa.array([None if x is None else one(x) for x in rows.slice(at, SLICE_ROWS).to_pylist()], kind)
+        for at in range(0, len(rows), SLICE_ROWS)
+    ]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def _pack_sentences(size: int):
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def pack(sentences: pd.Series) -> pd.Series:
-        def one(parts):
-            if parts is None:
-                return None
-            return ["".join(parts[a:b]) for a, b in _window_bounds(np.array([len(p) for p in parts], dtype=np.int64), size, 0)]
+    def one(parts: list[str]) -> list[str]:
+        return ["".join(parts[a:b]) for a, b in _window_bounds(np.array([len(p) for p in parts], dtype=np.int64), size, 0)]
 
-        return sentences.map(one)
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def pack(sentences: pa.Array) -> pa.Array:
+        return _by_slices(sentences, one)
 
     return pack
 
@@ -317,9 +331,9 @@ def _pack_paragraphs(size: int, overlap: int):
                 out += [piece.strip() for p in group for piece in p["pieces"] if piece.strip()]
         return out
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def packed(sections: pd.Series) -> pd.Series:
-        return sections.map(lambda ps: None if ps is None else pack(ps))
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def packed(sections: pa.Array) -> pa.Array:
+        return _by_slices(sections, pack)
 
     return packed
 

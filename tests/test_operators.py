@@ -500,3 +500,16 @@ def test_character_hashes_take_memory_by_block():
     used = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert used < 150_000_000
+
+
+def test_rows_are_packed_slice_by_slice():
+    texts = [None if i % 7 == 0 else [f"t{i}"] * (i % 3) for i in range(10_000)]
+
+    rows = pa.array(texts)
+    assert ch._by_slices(rows, list).to_pylist() == texts and ch._by_slices(rows[:0], list).to_pylist() == []
+    big = pa.array([["some words " * 40] * 5] * 10_000)
+    tracemalloc.start()
+    assert len(ch._by_slices(big, lambda parts: ["".join(parts)])) == len(big)
+    used = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert used < 2_000_000
