@@ -26,7 +26,7 @@ from docloom.llm.words import Texts, mix, pieces, text_slices, window_hashes
 from docloom.session import materialize
 
 #: Bits of the table of phrases that may be frequent (4 MB), and bytes of text counted at once.
-FILTER_BITS, SLICE_BYTES = 1 << 25, 8 << 20
+FILTER_BITS, SLICE_BYTES = 1 << 25, 2 << 20
 MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
 UNKNOWN = "und"
 #: Exact: the products have up to 38 digits.

@@ -309,3 +309,15 @@ def test_scores_beyond_64_bits(spark):
     a, n, l, r = 3 * 10**9, 4 * 10**11, 5 * 10**9, 7 * 10**9  # noqa: E741
     df = spark.createDataFrame([(a, n, l, r)], "a long, n long, l long, r long")
     assert df.select(F.expr(collocations.SCORE)).first()[0] == 1000 * a * n // (l * r)
+
+
+def test_windows_are_counted_in_little_memory():
+    import tracemalloc
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 4000), pa.array(["some plain words of a text " * 75] * 4000)], names=["lang", "text"])
+    tracemalloc.start()
+    counted = sum(pa.compute.sum(b.column(2)).as_py() for b in collocations._counter(1, None)([batch]))
+    used = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # The empty phrase counts all words once more.
+    assert counted == 2 * 4000 * 75 * 6 and used < 150_000_000
