@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from docloom import lexicon as lx
@@ -27,11 +28,11 @@ EXTRACTION_SCHEMA = (
 
 
 # --- extraction ----------------------------------------------------------------------
-def term_chain(col) -> Column:
+def term_graph(col) -> Column:
     """Model-free extractor: distinct keywords as entities, each one related to the
-    next in reading order. Returns the JSON an extraction model would."""
+    next in reading order, as an extraction already parsed."""
 
-    def as_json(words: Column) -> Column:
+    def linked(words: Column) -> Column:
         entities = F.transform(
             words, lambda w: F.struct(w.alias("name"), F.lit("term").alias("type"), F.lit("").alias("description"))
         )
@@ -39,17 +40,23 @@ def term_chain(col) -> Column:
             F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))),
             F.slice(words, F.lit(2), F.size(words)),
             lambda a, b: F.struct(
-                a.alias("source"), b.alias("target"), F.lit("next").alias("relation_type"), F.lit(1.0).alias("weight")
+                a.alias("source"), b.alias("target"), F.lit("next").alias("relation_type"),
+                F.lit(None).cast("string").alias("relation"), F.lit(None).cast("string").alias("description"), F.lit(1.0).alias("weight"),
             ),
         )
-        return F.to_json(F.struct(entities.alias("entities"), relations.alias("relations")))
+        return F.struct(entities.alias("entities"), relations.alias("relations"))
+
+    return tx.bind(tx.keywords(col), linked)
+
 
-    return tx.bind(tx.keywords(col), as_json)
+def term_chain(col) -> Column:
+    """The same as the JSON an extraction model would return."""
+    return F.to_json(term_graph(col))
 
 
 def extract(chunks: DataFrame, extractor=term_chain, text: str = "content", max_chars: int | None = None) -> DataFrame:
-    """Adds ``raw``, the extractor's JSON, for chunks of at least 20 characters. An
-    extractor with a limited context gets the first ``max_chars`` characters of a chunk."""
+    """Adds ``raw``, the extractor's JSON (or what it parses to, if the extractor returns
+    that), for chunks of at least 20 characters. An extractor with a limited context gets the first ``max_chars`` characters of a chunk."""
     shown = tx.strip(text) if max_chars is None else F.substring(tx.strip(text), 1, max_chars)
     long_enough = F.length(tx.strip(text)) >= MIN_EXTRACT_CHARS
     return chunks.withColumn("raw", extractor(F.when(long_enough, shown)))
@@ -84,17 +91,30 @@ def _linked(relations: Column, names: Column) -> Column:
             F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(r["weight"], F.lit(1.0)))).alias("weight"),
         ),
     )
-    return F.filter(
-        cleaned,
-        lambda r: (r["relation_type"] != "")
-        & F.array_contains(names, r["source"])
-        & F.array_contains(names, r["target"]),
-    )
 
+    def known(rs: Column) -> Column:
+        ends = F.concat(*[F.transform(rs, lambda r: r[end]) for end in ("source", "target")])
+        # A set difference is linear; most relations have no unknown end to look for.
+        return tx.bind(
+            F.array_except(ends, names),
+            lambda unknown: F.filter(
+                rs,
+                lambda r: (r["relation_type"] != "")
+                & ((F.size(unknown) == 0) | ~(F.array_contains(unknown, r["source"]) | F.array_contains(unknown, r["target"]))),
+            ),
+        )
+
+    return tx.bind(cleaned, known)
 
-def validate(extracted: DataFrame, raw: str = "raw") -> DataFrame:
+
+def validate(extracted: DataFrame, raw: str = "raw", relations: bool = True) -> DataFrame:
     """Parsed extraction: entities with a name of 1-50 characters, relations
-    between extracted entities only, weights clamped to [0, 1]."""
+    between extracted entities only, weights clamped to [0, 1]. ``raw`` is JSON or
+    parsed already. Without ``relations`` only entities are read."""
+    parsed = isinstance(extracted.schema[raw].dataType, T.StructType)
+    if not relations:
+        graph = F.col(raw) if parsed else F.from_json(raw, f"struct<entities:{_ENTITY}>")
+        return extracted.withColumn("entities", tx.bind(graph, lambda graph: _named(graph["entities"])))
 
     def checked(graph: Column) -> Column:
         return tx.bind(
@@ -107,7 +127,7 @@ def validate(extracted: DataFrame, raw: str = "raw") -> DataFrame:
             ),
         )
 
-    return extracted.withColumn("_v", tx.bind(F.from_json(raw, EXTRACTION_SCHEMA), checked)).select(
+    return extracted.withColumn("_v", tx.bind(F.col(raw) if parsed else F.from_json(raw, EXTRACTION_SCHEMA), checked)).select(
         *extracted.columns, "_v.entities", "_v.relations"
     )
 
@@ -127,17 +147,22 @@ def merge_entities(mentions: DataFrame, order: str = "chunk_id") -> DataFrame:
     """One vertex per name: type of the first mention, first non-empty description,
     and how many documents and chunks mention it.
 
-    Memberships stay rows (``entity_membership``): a name found in a third of the
-    corpus would not fit one array.
+    A chunk belongs to one document. Memberships stay rows (``entity_membership``): a
+    name found in a third of the corpus would not fit one array.
     """
-    first = F.min_by(F.col("type"), order)
-    described = F.min(F.when(F.col("description") != "", F.struct(F.col(order).alias("at"), F.col("description").alias("text"))))
-    chunks = mentions.select("name", "chunk_id").distinct().groupBy("name").agg(F.count("*").alias("chunks"))
-    docs = mentions.select("name", "doc_id").distinct().groupBy("name").agg(F.count("*").alias("documents"))
-    base = mentions.groupBy("name").agg(
-        first.alias("type"), F.coalesce(described["text"], F.lit("")).alias("description")
+    described = lambda at, text: F.min(F.when(text != "", F.struct(at.alias("at"), text.alias("text"))))
+    # Mentions are shuffled once, by name and document; names get one row a document.
+    dealt = mentions.repartition("name", "doc_id")
+    by_chunk = dealt.groupBy("name", "doc_id", "chunk_id").agg(
+        F.min_by(F.struct(F.col(order).alias("at"), "type"), order).alias("t"),
+        described(F.col(order), F.col("description")).alias("d"),
+    )
+    first, described = F.min_by("t", F.col("t.at")), F.min("d")
+    by_doc = by_chunk.groupBy("name", "doc_id").agg(first.alias("t"), described.alias("d"), F.count(F.lit(1)).alias("n"))
+    return by_doc.groupBy("name").agg(
+        first["type"].alias("type"), F.coalesce(described["text"], F.lit("")).alias("description"),
+        F.count(F.lit(1)).alias("documents"), F.sum("n").alias("chunks"),
     )
-    return base.join(docs, "name").join(chunks, "name")
 
 
 def entity_membership(mentions: DataFrame) -> DataFrame:

@@ -513,3 +513,20 @@ def test_rows_are_packed_slice_by_slice():
     used = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert used < 2_000_000
+
+
+def test_extractions_are_read_once_and_relations_need_known_ends(spark):
+    chunks = spark.createDataFrame([(1, "1:0", "alpha beta gamma alpha delta"), (1, "1:1", "beta beta gamma epsilon zeta"), (2, "2:0", "short")],
+                                   "doc_id long, chunk_id string, content string")
+    parsed, as_json = (gr.validate(gr.extract(chunks, e)) for e in (gr.term_graph, gr.term_chain))
+    assert sorted(map(str, parsed.select("chunk_id", "entities", "relations").collect())) == sorted(
+        map(str, as_json.select("chunk_id", "entities", "relations").collect()))
+    mentions = gr.entities_of(gr.validate(gr.extract(chunks, gr.term_graph), relations=False))
+    merged = gr.merge_entities(mentions.unionByName(mentions))
+    got = {r["name"]: (r["type"], r["description"], r["documents"], r["chunks"]) for r in merged.collect()}
+    assert got["beta"] == ("term", "", 1, 2) and got["zeta"] == ("term", "", 1, 1) and len(got) == 6
+    # One pass over the mentions, not one for each count.
+    assert gr.merge_entities(mentions)._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+    raw = '{"entities":[{"name":"a"},{"name":"b"}],"relations":[{"source":"a","target":"b","relation":"r"},{"source":"a","target":"x","relation":"r"},{"source":"y","target":"b","relation":"r"}]}'
+    linked = gr.validate(spark.createDataFrame([(raw,)], "raw string")).first()["relations"]
+    assert [(r["source"], r["target"]) for r in linked] == [("a", "b")]
