@@ -2,7 +2,8 @@
 
 The files of a folder (or one file) are read in the order of their names. An offset is a file
 and the number of its rows that are taken; a batch takes at most ``limit`` rows, cut at any
-row, and its parts are read by executors in Arrow batches. Files that come later must sort
+row, and its parts are read by executors in Arrow batches. A row group can only be decoded
+from its start, so parts end where row groups do and a large group is cut into a few at most. Files that come later must sort
 after those already taken. What was planned last is kept beside the stream's checkpoint,
 so a restarted stream goes on with the same rows in the same batches.
 """
@@ -19,7 +20,8 @@ import pyarrow.parquet as pq
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
-LIMIT, PART_ROWS = 10_000, 2_000
+#: Rows of a batch and of a part; a row group has no more parts than this in a batch, whatever its rows.
+LIMIT, PART_ROWS, GROUP_PARTS = 10_000, 2_000, 8
 
 
 @dataclass
@@ -40,7 +42,7 @@ class QueueReader(DataSourceStreamReader):
         self.path, self.state = options["path"], options["state"]
         self.limit, self.part_rows = int(options.get("limit", LIMIT)), int(options.get("part_rows", PART_ROWS))
         self.columns = schema.fieldNames()
-        self.sizes: dict[str, int] = {}
+        self.sizes: dict[str, list[int]] = {}
         self.planned: dict | None = None
 
     # --- files --------------------------------------------------------------
@@ -54,13 +56,18 @@ class QueueReader(DataSourceStreamReader):
         found = fs.get_file_info(pafs.FileSelector(path, recursive=True))
         return sorted(f.path for f in found if f.type == pafs.FileType.File and f.path.endswith(".parquet") and "/_temporary/" not in f.path)
 
-    def _rows(self, path: str) -> int:
+    def _groups(self, path: str) -> list[int]:
+        """Rows of the file's row groups."""
         if path not in self.sizes:
             fs, _ = _filesystem(self.path)
             with fs.open_input_file(path) as f:
-                self.sizes[path] = pq.ParquetFile(f).metadata.num_rows
+                metadata = pq.ParquetFile(f).metadata
+                self.sizes[path] = [metadata.row_group(g).num_rows for g in range(metadata.num_row_groups)]
         return self.sizes[path]
 
+    def _rows(self, path: str) -> int:
+        return sum(self._groups(path))
+
     # --- offsets ------------------------------------------------------------
     def _kept(self) -> dict:
         fs, path = _filesystem(self.state)
@@ -103,7 +110,12 @@ class QueueReader(DataSourceStreamReader):
             if start["file"] <= path <= end["file"]:
                 lo = start["row"] if path == start["file"] else 0
                 hi = end["row"] if path == end["file"] else self._rows(path)
-                parts += [Rows(path, a, min(a + self.part_rows, hi)) for a in range(lo, hi, self.part_rows)]
+                first = 0
+                for n in self._groups(path):
+                    a, b = max(lo, first), min(hi, first + n)
+                    step = max(self.part_rows, -(-n // GROUP_PARTS))
+                    parts += [Rows(path, c, min(c + step, b)) for c in range(a, b, step)]
+                    first += n
         return parts
 
     def commit(self, end: dict) -> None:
@@ -123,6 +135,8 @@ class QueueReader(DataSourceStreamReader):
                         if lo < hi:
                             yield batch.slice(lo, hi - lo)
                         at += batch.num_rows
+                        if at >= partition.stop:
+                            break
                 first += n
 
 

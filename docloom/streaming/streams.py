@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 from docloom.functions import text as tx
 from docloom.operators import chunking as ch
 from docloom.operators import quality as ql
-from docloom.session import scratch
+from docloom.session import materialize, scratch
 from docloom.sources.queue import QueueSource
 from docloom.sources.sinks import replace_partition
 
@@ -248,12 +248,18 @@ def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], state: str,
     return len(done)
 
 
+def _stored(batch: DataFrame) -> DataFrame:
+    """The batch, written once (its source is decoded again for everything made from it) and
+    dealt anew, since a few large row groups come in few parts."""
+    return materialize(batch.repartition("doc_id"), "batch")
+
+
 def retry_batch(out: str, size: int = 500, max_retries: int = MAX_RETRIES) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch`` over dead letters with their texts: each is tried again. What passes
     joins the chunks; what fails again is a dead letter with one more try, or is given up."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        again, over = retry_failed(batch, max_retries)
+        again, over = retry_failed(_stored(batch), max_retries)
         passed, failed = prepare(again, size)
         tried = failed.drop("retries", "status").join(again.select("doc_id", "text", "retries"), "doc_id")
         # The name of a later file sorts behind all that were read.
@@ -268,6 +274,7 @@ def admit_batch(out: str, size: int = 500) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch`` over documents: chunks, and dead letters with their texts."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        batch = _stored(batch)
         passed, failed = prepare(batch, size)
         dead = failed.join(batch.select("doc_id", "text"), "doc_id")
         replace_partition(passed, f"{out}/chunks", batch=f"a{batch_id:08d}")

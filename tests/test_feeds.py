@@ -101,6 +101,19 @@ def test_offsets_cross_files_and_row_groups(spark, tmp_path):
     assert again.latestOffset() == end
 
 
+def test_large_row_groups_have_few_parts(tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyspark.sql.types import StructType
+
+    pq.write_table(pa.table({"x": [str(i) for i in range(5000)]}), tmp_path / "a.parquet", row_group_size=2000)
+    reader = QueueReader({"path": str(tmp_path), "state": str(tmp_path / "s" / "at.json"), "limit": "9000", "part_rows": "20"}, StructType().add("x", "string"))
+    parts = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    # Each part decodes its group from the start: 100 parts of a group would decode it 100 times.
+    assert len(parts) == 3 * 8 and all(p.start // 2000 == (p.stop - 1) // 2000 for p in parts)
+    assert [v for p in parts for b in reader.read(p) for v in b.column(0).to_pylist()] == [str(i) for i in range(5000)]
+
+
 def test_quantiles_of_merged_slices(spark):
     rnd = random.Random(1)
     rows = [("hot" if i % 3 else "k", i % 5000, None if i % 50 == 0 else rnd.lognormvariate(3, 1)) for i in range(30_000)]
