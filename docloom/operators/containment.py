@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom import scale
+from docloom.functions import text as tx
 from docloom.session import materialize
 
 #: Needles of an automaton and bytes of them all together: 32 MB of transitions for 64 kinds of bytes.
@@ -117,10 +118,11 @@ def _slices(texts: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[np.
 
 
 def _lists(values: np.ndarray, owners: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
-    """One list a text of the distinct values it owns."""
+    """One list a text of the distinct values (below 2**32) it owns."""
     if len(values):
-        pairs = np.unique(np.column_stack([owners, values]), axis=0)
-        owners, values = pairs[:, 0], pairs[:, 1]
+        # As one number each: sorting rows of two is many times slower.
+        pairs = np.unique(owners.astype(np.uint64) << np.uint64(32) | values.astype(np.uint64))
+        owners, values = pairs >> np.uint64(32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
     offsets = np.concatenate([[0], np.cumsum(np.bincount(owners.astype(np.int64), minlength=n))])
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
@@ -221,8 +223,10 @@ def _by_index(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     table[masks["cell"].to_numpy()] = masks["mask"].to_numpy()
     sent = rows.select("_row", F.explode(_filed_grams(table)(low)).alias("_gram"))
     met = sent.join(scale.broadcast_if_small(filed), "_gram").select("_row", "needle")
-    # Texts come in once more for those ids that met a needle.
-    return rows.join(met, "_row").filter(F.contains(low, F.col("needle"))).drop("_row")
+    # Texts come in once more for those ids that met a needle, each once with all its needles.
+    asked = met.groupBy("_row").agg(F.collect_set("needle").alias("_asked"))
+    inside = tx.bind(low, lambda text: F.filter("_asked", lambda n: F.contains(text, n)))
+    return rows.join(asked, "_row").withColumn("needle", F.explode(inside)).drop("_row", "_asked")
 
 
 def contains_terms(df: DataFrame, column: str, needles: DataFrame, needle: str = "needle",

@@ -141,3 +141,15 @@ def test_containment_both_ways(spark, limit):
     none = needles.limit(0)
     assert cn.contains_terms(df, "said", none, automaton_needles=limit).count() == 0
     assert cn.contains_terms(df.limit(0), "said", needles, automaton_needles=limit).count() == 0
+
+
+def test_indexed_needles_meet_each_text_once(spark):
+    df = spark.createDataFrame([(1, "Alpha beta gamma"), (2, "nothing"), (3, "beta BETA alphabet"), (1, "Alpha beta gamma"), (4, None)], "id long, said string")
+    needles = spark.createDataFrame([("alpha",), ("beta",), ("gamma",), ("alphabet",), ("et",), ("zz",)], "needle string")
+    found = cn.contains_terms(df, "said", needles, automaton_needles=0)
+    first = [(1, "alpha"), (1, "beta"), (1, "et"), (1, "gamma")]
+    assert sorted((r["id"], r["needle"]) for r in found.collect()) == sorted(first * 2 + [(3, "alpha"), (3, "alphabet"), (3, "beta"), (3, "et")])
+    # All needles of a text are looked for in one row: its text is not repeated for each of them.
+    assert "collect_set" in found._jdf.queryExecution().optimizedPlan().toString()
+    values, owners = np.array([7, 7, (1 << 32) - 1, 3, 7]), np.array([2, 2, 0, 2, 0])
+    assert cn._lists(values, owners, 3, pa.int64()).to_pylist() == [[7, (1 << 32) - 1], [], [3, 7]]
