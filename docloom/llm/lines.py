@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.scale import broadcast_if_small
+from docloom.functions.text import bind
+from docloom.scale import fits_broadcast
 from docloom.session import materialize
 
 #: Smallest Jaccard similarity of two lines' token sets, as a fraction.
@@ -21,10 +22,15 @@ LONG_LINE = 60
 _NULL_KEY = (1 << 63) - 1
 
 
+def spaced(text: Column) -> Column:
+    """The text with a space for all white space but line ends."""
+    other = "[\\x09\\x0B-\\x0D]"
+    return F.when(text.rlike(other), F.regexp_replace(text, other, " ")).otherwise(text)
+
+
 def tokens(line: Column) -> Column:
-    """The words of a line, with empty strings where white space follows white space."""
-    plain = F.when(line.rlike("[\\x09-\\x0D]"), F.regexp_replace(line, "[\\x09-\\x0D]", " ")).otherwise(line)
-    return F.split(plain, " ")
+    """The words of a spaced line, with empty strings where a space follows a space."""
+    return F.split(line, " ")
 
 
 def rarity(lines: DataFrame) -> Column:
@@ -43,7 +49,9 @@ def token_keys(lines: DataFrame, levels: Column) -> DataFrame:
     """Adds ``keys``: the line's distinct tokens as numbers, the rarest first. A key has
     the token's rarity in the top byte and 56 bits of its hash."""
     hashes = F.array_remove(F.array_distinct(F.transform(tokens(F.col("line")), lambda t: F.xxhash64(t))), F.xxhash64(F.lit("")))
-    key = lambda h: F.get(F.col("__levels"), h.bitwiseAND(F.lit(CLASSES - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 8))
+    # Arrays that can't hold nulls are sorted as plain numbers.
+    level = lambda h: F.coalesce(F.get(F.col("__levels"), h.bitwiseAND(F.lit(CLASSES - 1)).cast("int")), F.lit(0).cast("long"))
+    key = lambda h: level(h).bitwiseOR(F.shiftrightunsigned(h, 8))
     return lines.withColumn("__levels", levels).withColumn("keys", F.sort_array(F.transform(hashes, key))).drop("__levels")
 
 
@@ -82,9 +90,12 @@ def similar_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) ->
     """The lines (``doc``, ``line_no``) to remove from ``docs`` (``doc``, ``text``). ``doc``
     may be of any type with an order; no two rows have the same."""
     bounds = Bounds(similarity)
-    lines = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    levels = rarity(lines)
-    keyed = token_keys(lines, levels).withColumn("n", F.size("keys")).filter("n > 0")
+    lines = docs.select("doc", F.posexplode(F.split(spaced(F.col("text")), "\n")).alias("line_no", "line"))
+    # Lines without words have no keys; a filter on the keys would have them computed twice.
+    lines = lines.filter("trim(line) <> ''")
+    # Words are the same in the whole text as in its lines.
+    levels = rarity(docs.select(F.replace(spaced(F.col("text")), F.lit("\n"), F.lit(" ")).alias("line")))
+    keyed = token_keys(lines, levels).withColumn("n", F.size("keys"))
     # 64 parity bits of the tokens; for long lines those of half of them too, which makes 128.
     one_bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
     bits_of = lambda keys: F.aggregate(keys, F.lit(0).cast("long"), lambda bits, k: bits.bitwiseXOR(one_bit(k)))
@@ -104,7 +115,7 @@ def similar_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) ->
     copies = marked.filter("again").select("doc", "line_no")
     rows = marked.filter("NOT again AND prefix IS NOT NULL").select(
         "doc", "line_no", "n", "parity", "upper", F.posexplode("prefix").alias("pos", "token")
-    )
+    ).filter(F.shiftrightunsigned("token", 56) > 0)  # Level 0: a token of one line only.
     same = "x.token = y.token AND NOT (x.doc = y.doc AND x.line_no = y.line_no)"
     met = rows.alias("x").join(rows.alias("y"), F.expr(same) & bounds.possible("x", "y"), "left_semi")
     met = materialize(met, "met")
@@ -119,21 +130,27 @@ def similar_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) ->
         leaders.alias("y"), F.expr("x.token = y.token AND x.class = y.class AND " + earlier) & bounds.possible("x", "y")
     )
     active = materialize(met.select("doc", "line_no").distinct(), "active")
-    bodies = lines.join(broadcast_if_small(active, max_rows=ACTIVE_ROWS), ["doc", "line_no"])
+    # Only these lines of a text are taken apart again.
+    numbers = active.groupBy("doc").agg(F.collect_list("line_no").alias("numbers"))
+    numbered = docs.join(F.broadcast(numbers) if fits_broadcast(active, max_rows=ACTIVE_ROWS) else numbers, "doc")
+    line_at = lambda every: F.transform("numbers", lambda i: F.struct(i.alias("line_no"), F.get(every, i).alias("line")))
+    bodies = numbered.select("doc", F.inline(bind(F.split(spaced(F.col("text")), "\n"), line_at)))
     bodies = materialize(token_keys(bodies, levels).select("doc", "line_no", "keys"), "bodies")
     gone = materialize(_verified(_likeliest(led), bodies, similarity), "led")
-    # Then with the likeliest of all earlier lines, and those that are left with every one.
-    found, waiting = [copies, gone], met.join(gone, ["doc", "line_no"], "left_anti")
-    for pick in (_likeliest, _all):
-        rest = waiting.alias("x").join(met.alias("y"), F.expr("x.token = y.token AND " + earlier) & bounds.possible("x", "y"))
-        more = materialize(_verified(pick(rest), bodies, similarity), "more")
-        found.append(more)
-        waiting = waiting.join(more, ["doc", "line_no"], "left_anti")
-    return reduce(lambda a, b: a.unionByName(b), found)
+    # The lines that are left are met with every earlier one, as semi joins: a line stops at the
+    # first that is similar, and no pair becomes a row. Keys go only to lines that pass the filters.
+    waiting = met.join(gone, ["doc", "line_no"], "left_anti")
+    pair = F.expr("x.token = y.token AND " + earlier) & bounds.possible("x", "y")
+    later = materialize(waiting.alias("x").join(met.alias("y"), pair, "left_semi"), "later")
+    before = met.alias("y").join(later.alias("x"), pair, "left_semi")
+    x, y = (side.join(bodies, ["doc", "line_no"]).alias(name) for side, name in ((later, "x"), (before, "y")))
+    more = x.join(y, pair & _similar("x.keys", "y.keys", similarity), "left_semi").select("doc", "line_no").distinct()
+    return reduce(lambda a, b: a.unionByName(b), [copies, gone, more])
 
 
-def _all(pairs: DataFrame) -> DataFrame:
-    return pairs.select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in ("doc", "line_no")]).distinct()
+def _similar(x: str, y: str, similarity: tuple[int, int]) -> Column:
+    a, b = similarity
+    return F.size(F.array_intersect(x, y)) * (a + b) >= (F.size(x) + F.size(y)) * a
 
 
 def _likeliest(pairs: DataFrame) -> DataFrame:
@@ -149,10 +166,7 @@ def _verified(pairs: DataFrame, bodies: DataFrame, similarity: tuple[int, int])
     """The lines x that are similar to one of their y."""
     side = lambda s: bodies.select(*[F.col(c).alias(f"{s}_{c}") for c in ("doc", "line_no", "keys")])
     both = pairs.join(side("x"), ["x_doc", "x_line_no"]).join(side("y"), ["y_doc", "y_line_no"])
-    common = both.withColumn("c", F.size(F.array_intersect("x_keys", "y_keys"))).withColumn(
-        "u", F.size("x_keys") + F.size("y_keys") - F.col("c")
-    )
-    good = common.filter(F.col("c") * similarity[1] >= F.col("u") * similarity[0])
+    good = both.filter(_similar("x_keys", "y_keys", similarity))
     return good.select(F.col("x_doc").alias("doc"), F.col("x_line_no").alias("line_no")).distinct()
 
 

@@ -136,6 +136,25 @@ def test_lines_with_large_groups_of_variants(spark):
         assert r.kept_text == "\n".join(x for i, x in enumerate(texts[r.doc_id].split("\n")) if i not in r.removed)
 
 
+def test_no_pair_of_unlike_lines_becomes_a_row(spark, monkeypatch):
+    """Variants of a line that are alike in too few words meet in the last step, pair by pair."""
+    rnd = random.Random(8)
+    base = [f"w{i}" for i in range(20)]
+    texts = {}
+    for d in range(80):
+        w = list(base)
+        for i in rnd.sample(range(20), 3):
+            w[i] = f"v{i}-{rnd.randrange(2)}"
+        texts[d] = " ".join(w)
+    verified, stored = [], []
+    plain, store = lines._verified, lines.materialize
+    monkeypatch.setattr(lines, "_verified", lambda pairs, *rest: verified.append(pairs.count()) or plain(pairs, *rest))
+    monkeypatch.setattr(lines, "materialize", lambda df, name: stored.append(store(df, name)) or stored[-1])
+    got = {r.doc_id: r.removed for r in lines.dedup_lines(frame(spark, texts)).collect() if r.removed}
+    assert got == dict(brute.similar_lines(texts))
+    assert sum(verified) <= len(texts) and max(df.count() for df in stored) <= 20 * len(texts)
+
+
 def test_lines_of_documents_with_equal_keys(spark):
     rnd = random.Random(6)
     bases = [prose(i, n).split() for i, n in enumerate((4, 6, 12, 30))]
