@@ -340,29 +340,51 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
-def _in_blocks(vectors: DataFrame, key: str, name: str) -> tuple[DataFrame, int, int]:
-    """One row of about ``BLOCK_ROWS`` vectors a block; the number of blocks and of bytes."""
+def _in_blocks(vectors: DataFrame, key: str, name: str) -> tuple[DataFrame, int]:
+    """One row of about ``BLOCK_ROWS`` vectors a block, numbers behind each other; the number of bytes."""
     n, dim = vectors.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
     blocks = max(1, math.ceil(n / BLOCK_ROWS))
     packed = vectors.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks)).alias(f"{name}_block")).agg(
-        F.collect_list(key).alias(f"{name}_ids"), F.collect_list(F.col("vec").cast("array<double>")).alias(f"{name}_vecs")
+        F.collect_list(key).alias(f"{name}_ids"), F.flatten(F.collect_list("vec")).alias(f"{name}_vecs")
     )
-    return packed, blocks, n * dim * 8
+    return packed, n * dim * 8
 
 
-def _multiply(k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _multiply(k: int, kind: pa.DataType):
+    """The k best of each query among all units that the task meets."""
+
+    def block(ids: pa.ListScalar, numbers: pa.ListScalar) -> tuple[pa.Array, np.ndarray]:
+        keys = ids.values
+        return keys, _unit_rows(numbers.values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keys), -1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, tuple[pa.Array, _Best]] = {}
+        last, asked = None, np.empty((0, 0))
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                asked, stored = (_unit_rows(np.stack(v).astype(np.float64)) for v in (row.q_vecs, row.u_vecs))
-                sims = np.round(asked @ stored.T, SCORE_DIGITS) + 0.0
-                take = min(k, sims.shape[1])
-                # Ties at the cut are kept here and settled by id below.
-                cut = -np.partition(-sims, take - 1, axis=1)[:, take - 1 : take]
-                q, c = np.nonzero(sims >= cut)
-                found = pd.DataFrame({"q": q, "id": np.asarray(row.u_ids)[c], "score": sims[q, c]})
-                best = found.sort_values(["q", "score", "id"], ascending=[True, False, True]).groupby("q").head(k)
-                yield pd.DataFrame({"query_id": np.asarray(row.q_ids)[best["q"]], "id": best["id"], "score": best["score"]})
+            for row in range(batch.num_rows):
+                number, q_ids, q_vecs, u_ids, u_vecs = (column[row] for column in batch.columns)
+                number = number.as_py()
+                if number != last:
+                    names, asked = block(q_ids, q_vecs)
+                    last = number
+                    if number not in found:
+                        found[number] = names, _Best(len(names), k, kind)
+                        found[number][1].floor[:] = -np.inf
+                known, best = found[number]
+                ids, stored = block(u_ids, u_vecs)
+                sims = asked @ stored.T
+                cut = best.floor
+                if not np.isfinite(cut).all():
+                    take = min(k, sims.shape[1])
+                    cut = np.maximum(cut, np.partition(sims, sims.shape[1] - take, axis=1)[:, sims.shape[1] - take])
+                # Ties at the cut are kept here and settled by id.
+                q, c = np.nonzero(sims >= cut[:, None] - 10.0**-SCORE_DIGITS)
+                if len(q):
+                    best.offer(q, np.round(sims[q, c], SCORE_DIGITS) + 0.0, ids.take(pa.array(c)))
+        for names, best in found.values():
+            rows = best.rows
+            columns = [names.take(rows.column("q").combine_chunks()), *(rows.column(c).combine_chunks() for c in ("id", "score"))]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "id", "score"])
 
     return run
 
@@ -370,9 +392,9 @@ def _multiply(k: int):
 def exact_knn(queries: DataFrame, units: DataFrame, k: int = 10, scope: DataFrame | None = None) -> DataFrame:
     """Exact cosine neighbours. ``queries`` is (query_id, vec), ``units`` (id, vec).
 
-    Both sides are packed into blocks. The side with fewer blocks is repeated for each
-    block of the other and meets it by the block's number, by broadcast if that is small.
-    Two blocks are multiplied in a task that returns k rows a query at most, so pairs
+    Both sides are packed into blocks, which is all that is shuffled of them: a small side is
+    broadcast, otherwise a task takes a part of each side, so no block is written more than
+    once. Blocks are multiplied in the tasks, which return k rows a query at most; pairs
     never become rows. All queries against all units stay quadratic work: for large
     query sets use ``ivf_knn``.
     """
@@ -380,11 +402,10 @@ def exact_knn(queries: DataFrame, units: DataFrame, k: int = 10, scope: DataFram
         units = units.join(scope, "id", "left_semi")
     kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for df, c in ((queries, "query_id"), (units, "id"))]
     sides = [_in_blocks(queries, "query_id", "q"), _in_blocks(units, "id", "u")]
-    (few, _, size), (many, blocks, _) = sorted(sides, key=lambda side: side[1:])
-    number = next(c for c in many.columns if c.endswith("_block"))
-    repeated = few.withColumn(number, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    pairs = many.join(F.broadcast(repeated) if size * blocks <= SENT_BYTES else repeated, number)
-    found = pairs.select("q_ids", "q_vecs", "u_ids", "u_vecs").mapInPandas(_multiply(k), ", ".join([*kinds, "score double"]))
+    few, size = min(sides, key=lambda side: side[1])
+    asked, stored = (F.broadcast(side) if side is few and size <= SENT_BYTES else side for side, _ in sides)
+    pairs = asked.crossJoin(stored).select("q_block", "q_ids", "q_vecs", "u_ids", "u_vecs")
+    found = pairs.mapInArrow(_multiply(k, to_arrow_type(units.schema["id"].dataType)), ", ".join([*kinds, "score double"]))
     return top_k(found, k)
 
 

@@ -276,6 +276,23 @@ def test_exact_knn_blocks_agree(spark, monkeypatch):
     assert len(whole) == 200
 
 
+def test_exact_knn_shuffles_a_block_once(spark, monkeypatch):
+    """Both sides are large: neither is repeated for the blocks of the other; copies are tied by id."""
+    rows = [(i, v) for i, (_, v) in enumerate(vectors(60) * 3)]
+    units = spark.createDataFrame(rows, "id long, vec array<double>").repartition(5)
+    monkeypatch.setattr(rt, "BLOCK_ROWS", 9)
+    monkeypatch.setattr(rt, "SENT_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = rt.exact_knn(units.withColumnRenamed("id", "query_id"), units, 4)
+        plan = found._jdf.queryExecution().toString()
+        got = {(r["query_id"], r["rnk"]): r["id"] for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "CartesianProduct" in plan and "Generate" not in plan
+    assert len(got) == 4 * 180 and all(got[q, n] == q % 60 + 60 * n for q in range(180) for n in range(3))
+
+
 def test_ivf_recall(spark):
     units = spark.createDataFrame(vectors(600), "id long, vec array<double>")
     queries = spark.createDataFrame(vectors(30, seed=2), "query_id long, vec array<double>")
