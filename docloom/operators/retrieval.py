@@ -116,8 +116,27 @@ def build_index(units: DataFrame, unit_id: str = "chunk_id", text: str = "conten
     numbered while the index is written, so they stay what they are."""
     tokens = units.select(F.col(unit_id).alias("id"), tx.tokenize(text).alias("_t"))
     block = F.shiftright(F.monotonically_increasing_id(), BLOCK_UNITS.bit_length() - 1)
-    numbered = tokens.select("id", F.size("_t").alias("dl"), term_frequencies("_t").alias("terms"), block.alias("block"))
-    return SparseIndex(materialize(numbered, "postings"))
+    numbered = tokens.select("id", F.size("_t").alias("dl"), "_t", block.alias("block"))
+    kind = units.schema[unit_id].dataType.simpleString()
+    counted = numbered.mapInArrow(_count_terms, f"id {kind}, dl int, terms array<struct<term: string, tf: int>>, block long")
+    return SparseIndex(materialize(counted, "postings"))
+
+
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each unit's tokens as its terms in order with their numbers, like ``term_frequencies``."""
+    for batch in batches:
+        tokens = batch.column(2)
+        unit = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
+        coded = tokens.flatten().dictionary_encode()
+        by, n = pc.sort_indices(coded.dictionary), max(len(coded.dictionary), 1)
+        rank = np.empty(len(by), dtype=np.int64)
+        rank[by.to_numpy()] = np.arange(len(by))
+        both, tf = np.unique(unit * n + rank[coded.indices.to_numpy()], return_counts=True)
+        held = np.bincount(both // n, minlength=batch.num_rows)
+        pairs = pa.StructArray.from_arrays([coded.dictionary.take(by).take(pa.array(both % n)), pa.array(tf, pa.int32())], names=["term", "tf"])
+        ends = pa.array(np.concatenate([[0], np.cumsum(held)]), pa.int32())
+        terms = pa.ListArray.from_arrays(ends, pairs, mask=pa.array(held == 0))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), terms, batch.column(3)], names=["id", "dl", "terms", "block"])
 
 
 def bm25(queries: DataFrame, units: DataFrame, k: int | None = 10, unit_id: str = "chunk_id",
@@ -267,17 +286,19 @@ def _block_scores(q: np.ndarray, term: np.ndarray, w: np.ndarray, names: pa.Arra
             for a, b in zip(cuts[:-1], cuts[1:]):
                 if a == b:
                     continue
-                rows, heads = np.unique(units[a:b], return_index=True)
-                order = np.lexsort((-strength[a:b], which[a:b]))
-                first = order[np.concatenate([[True], np.diff(which[a:b][order]) != 0])]
+                # A small matrix of the block's units by its terms; a term stands once in a unit.
+                rows, unit = np.unique(units[a:b], return_inverse=True)
+                own, term_at = np.unique(which[a:b], return_inverse=True)
+                held = np.zeros((len(rows), len(own)))
+                held[unit, term_at] = strength[a:b]
+                largest = held.max(axis=0)
                 for lo, matrix, place in dense:
                     floor = best.floor[lo : lo + matrix.shape[1]]
-                    most = strength[a:b][first] @ np.maximum(matrix[place[which[a:b][first]]], 0)
-                    could = np.flatnonzero(most >= floor - SLACK)
+                    part = matrix[place[own]]
+                    could = np.flatnonzero(largest @ np.maximum(part, 0) >= floor - SLACK)
                     if not len(could):
                         continue
-                    part = matrix if len(could) == matrix.shape[1] else matrix[:, could]
-                    scores = np.round(np.add.reduceat(part[place[which[a:b]]] * strength[a:b, None], heads, axis=0), SCORE_DIGITS)
+                    scores = np.round(held @ (part if len(could) == part.shape[1] else part[:, could]), SCORE_DIGITS)
                     at, col = np.nonzero(scores >= floor[could])
                     if len(at):
                         best.offer(lo + could[col], scores[at, col], ids.take(pa.array(rows[at])))

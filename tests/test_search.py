@@ -77,6 +77,22 @@ def test_few_blocks_are_scored(spark):
     assert found.count() == 160 and {r["id"] % 500 == r["query_id"] for r in found.collect()} == {True}
 
 
+def test_terms_are_counted_in_batches(spark):
+    """An index has the terms that the row function counts, without calling it."""
+    texts = ["b a b 9", "", None, "!!", "\u4e2d\u6587 z \u4e2d\u6587 A a", *[f"x{i % 7} y{i} x{i % 7}" for i in range(300)]]
+    units = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string").repartition(3)
+    plain = rt.term_frequencies
+    with pytest.MonkeyPatch.context() as patched:
+        patched.setattr(rt, "term_frequencies", None)
+        index = rt.build_index(units)
+    assert index.units.schema.simpleString() == "struct<id:bigint,dl:int,terms:array<struct<term:string,tf:int>>,block:bigint>"
+    tokens = units.select(F.col("chunk_id").alias("id"), rt.tx.tokenize("content").alias("t"))
+    want = tokens.select("id", F.size("t").alias("dl"), plain("t").alias("terms"))
+    assert {r.id: r for r in index.units.select("id", "dl", "terms").collect()} == {r.id: r for r in want.collect()}
+    empty = rt.build_index(units.limit(0)).units
+    assert empty.count() == 0
+
+
 # dense ----------------------------------------------------------------------------
 def vectors(n, dim, seed):
     return np.random.default_rng(seed).normal(size=(n, dim))
