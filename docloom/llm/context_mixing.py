@@ -1,23 +1,21 @@
 """Language-model scores by online logistic mixing of hashed-context bit predictors.
 
-A text is its lower-case words and one end. Three experts tell the next token:
-
-* the spelling: the bits of its bytes. For each bit several predictors, one for each number of
-  bytes read back, look up how often 0 and 1 followed in their hashed context; their
-  logits are combined by weights that the gate (bit and longest context known) selects,
-  learned online by the gradient of the coding cost, then refined by an adaptive table;
-* the dictionary of the training texts, counted exactly, for all of them and for each group
-  (the language, if there is one); how a word spreads over groups is looked up by its hash;
-* the text itself up to there, by which repetitions become cheap.
-
-The experts are weighed by a softmax whose logits are refined online in each text, from the
-same start for all, so a text's score depends on the model and on the text alone.
-
-A word's spelling costs the same wherever it stands. So texts are turned into places in the
-dictionary of their slice, dictionaries are joined with the words of the corpus, and the
-bit predictors learn and work on distinct words: what is shuffled are counts of words and
-places, never texts. Words and their counts grow with the corpus; sent to executors are
-the predictors' tables, of fixed size.
+A text is its lower-case words and one end. Each is told bit by bit where it stands
+(``word_bits``): predictors look up how often 0 and 1 followed in their hashed contexts (the
+language, the word before, the two words before, what came after that word earlier in the
+text), their logits are combined by weights that a gate selects, learned online by the
+gradient of the coding cost and further in each text that is scored, then refined by an
+adaptive table. A text's score depends on the model and on the text alone.
+
+The bits say a frequent word, or that it is another one: one of the text up to there, found
+by how often it came, or a new one. That has a share by its exact count among the training
+tokens, in the language that the words before speak for, and another by its spelling, whose
+bits are told in the same way by hashed contexts of bytes.
+
+Texts are turned into places in the dictionary of their slice and dictionaries joined with
+the words of the corpus: what is shuffled are counts of words and places, never texts.
+Words and their counts grow with the corpus; sent to executors are the predictors' tables
+and the frequent words, of fixed size.
 """
 
 from __future__ import annotations
@@ -29,10 +27,12 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm import word_bits
+from docloom.llm.word_bits import Code, Tokens, WordMixer
 from docloom.llm.words import Texts, mix, pieces, text_slices
 from docloom.session import materialize
 
@@ -57,7 +57,7 @@ _LOWER[65:91] += 32
 # --- texts as places in dictionaries -----------------------------------------------
 _SLICES = (
     "batch long, word string, place int, n long, ids {ids}, held array<boolean>, counts array<int>, places binary,"
-    " slots binary, sizes binary, by_group binary"
+    " marks binary, sizes binary, by_group binary"
 )
 
 
@@ -132,7 +132,7 @@ def _slice_rows(texts: pa.Array, ids: pa.Array, held: np.ndarray, group: np.ndar
     yield rows(
         1, batch=names[:1], ids=pa.ListArray.from_arrays(one, ids), held=pa.ListArray.from_arrays(one, pa.array(held)),
         counts=pa.ListArray.from_arrays(one, pa.array(counts, pa.int32())),
-        places=pa.array([_packed(places)], pa.binary()), slots=pa.array([_packed(slots)], pa.binary()),
+        places=pa.array([_packed(places)], pa.binary()), marks=pa.array([_packed(hashes >> np.uint64(32))], pa.binary()),
         sizes=pa.array([_packed(pc.binary_length(words).to_numpy())], pa.binary()), by_group=pa.array([_packed(by_group)], pa.binary()),
     )
 
@@ -198,7 +198,7 @@ def _by_state() -> tuple[np.ndarray, np.ndarray]:
     exact = n0 + n1 < 255
     pairs = [(n0, n1), (n0 - (exact & (n0 > 0)), n1), (n0, n1 - (exact & (n1 > 0)))]
     logits = np.concatenate([np.log((b + 0.3) / (a + 0.3)) for a, b in pairs])
-    return logits.astype(np.float32), np.concatenate([a + b > 0 for a, b in pairs]).astype(np.intp)
+    return logits.astype(np.float32), np.concatenate([a + b > 0 for a, b in pairs]).astype(np.int8)
 
 
 class Mixer:
@@ -213,17 +213,29 @@ class Mixer:
         self.cells = np.zeros((2, 8, self.GATES, CELLS))
         self.steps = 0
 
+    def __getstate__(self) -> dict:
+        # Tables that were sent to executors are not sent again.
+        left_out = {"logits", "seen"} | ({"tables"} if "sent" in vars(self) else set())
+        return {name: value for name, value in vars(self).items() if name not in left_out}
+
+    def __setstate__(self, state: dict) -> None:
+        vars(self).update(state)
+        self.logits, self.seen = _by_state()
+        if "sent" in state:
+            self.tables = self.sent.value
+
     def predict(self, bits: Bits, bit: int, part: slice, without: bool) -> tuple:
         """Bits, inputs, gates and logit of a 1. ``without`` takes the bit itself out of the
         counts, for words that the tables were learned from."""
         ones, slots = bits.of(bit, part)
         inputs = np.empty((len(ORDERS), len(ones)), dtype=np.float32)
-        gate = np.zeros(len(ones), dtype=np.intp)
+        gate = np.zeros(len(ones), dtype=np.int8)
         own = (1 + ones) * 65536 if without else 0
         for k, slot in enumerate(slots):
             state = self.tables[k].take(slot).astype(np.int64) + own
             self.logits.take(state, out=inputs[k], mode="clip")
-            np.maximum(gate, self.seen.take(state) * (k + 1), out=gate)
+            np.maximum(gate, self.seen.take(state) * np.int8(k + 1), out=gate)
+        gate = gate.astype(np.intp)
         chosen = self.weights[bit].astype(np.float32).T
         logit = chosen[0].take(gate) * inputs[0]
         for k in range(1, len(ORDERS)):
@@ -273,11 +285,15 @@ def _count_bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ones, slots = bits.of(bit, slice(None))
             for k, slot in enumerate(slots):
                 np.add.at(counts[k], slot * 2 + ones, np.int32(1))
-    for k in range(len(ORDERS)):
-        for chunk in range(0, 1 << TABLE_BITS, CHUNK):
-            part = counts[k, 2 * chunk : 2 * (chunk + CHUNK)]
+    yield from _by_chunk(counts)
+
+
+def _by_chunk(counts: Iterable[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for k, table in enumerate(counts):
+        for chunk in range(0, len(table) // 2, CHUNK):
+            part = table[2 * chunk : 2 * (chunk + CHUNK)]
             if part.any():
-                row = [pa.array([k << TABLE_BITS | chunk], pa.int64()), pa.array([_packed(part)], pa.binary())]
+                row = [pa.array([k << 32 | chunk], pa.int64()), pa.array([_packed(part)], pa.binary())]
                 yield pa.RecordBatch.from_arrays(row, names=["chunk", "counts"])
 
 
@@ -293,9 +309,9 @@ def _states(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([states], pa.binary())], names=["chunk", "states"])
 
 
-def _learned(tables: np.ndarray) -> Callable:
+def _learned(mixer: Mixer) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, seen = Mixer(tables), 0
+        seen = 0
         for batch in batches:
             bits = Bits(batch.column(0))
             for lo in range(0, batch.num_rows, STEP_WORDS):
@@ -308,32 +324,128 @@ def _learned(tables: np.ndarray) -> Callable:
     return run
 
 
-def fit_spelling(words: DataFrame) -> Mixer:
-    """Bit predictors of the distinct training words (column ``word``): counts are summed
-    over all tasks; each task learns weights online, and these are averaged by words."""
-    counted = words.select("word").mapInArrow(_count_bits, "chunk long, counts binary")
+def _fill(tables: Iterable[np.ndarray], counted: DataFrame) -> None:
+    """The counts of all tasks, summed, as states of the tables' slots."""
     states = counted.groupBy("chunk").applyInArrow(_states, "chunk long, states binary").toArrow()
-    tables = np.zeros((len(ORDERS), 1 << TABLE_BITS), dtype=np.uint16)
     for chunk, packed in zip(states["chunk"].to_pylist(), states["states"]):
-        tables.reshape(-1)[chunk : chunk + CHUNK] = np.frombuffer(packed.as_py(), "<u2")
-    mixer = Mixer(tables)
-    learned = words.select("word").mapInArrow(_learned(tables), "seen long, weights binary, cells binary").toArrow()
+        at = chunk & 0xFFFFFFFF
+        tables[chunk >> 32][at : at + CHUNK] = np.frombuffer(packed.as_py(), "<u2")
+
+
+def _average(mixer: Mixer | WordMixer, learned: DataFrame) -> None:
+    """Weights averaged over tasks by what they have seen, cells summed."""
+    learned = learned.toArrow()
     seen = learned["seen"].to_numpy()
     if len(seen):
         weights = [np.frombuffer(x.as_py(), float).reshape(mixer.weights.shape) for x in learned["weights"]]
         mixer.weights = np.average(weights, axis=0, weights=seen)
         mixer.cells = np.sum([np.frombuffer(x.as_py(), float).reshape(mixer.cells.shape) for x in learned["cells"]], axis=0)
+
+
+def fit_spelling(words: DataFrame) -> Mixer:
+    """Bit predictors of the distinct training words (column ``word``): counts are summed
+    over all tasks; each task learns weights online, and these are averaged by words."""
+    tables = np.zeros((len(ORDERS), 1 << TABLE_BITS), dtype=np.uint16)
+    _fill(tables, words.select("word").mapInArrow(_count_bits, "chunk long, counts binary"))
+    mixer = Mixer(tables)
+    mixer.sent = words.sparkSession.sparkContext.broadcast(tables)
+    _average(mixer, words.select("word").mapInArrow(_learned(mixer), "seen long, weights binary, cells binary"))
     return mixer
 
 
-def _spelled(mixer: Mixer) -> Callable:
+def _spelled(mixer: Mixer, shared: Broadcast) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, _ = shared.value
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mixer.cost(batch.column(0)))], names=["word", "c", "spelling"])
+            words = batch.column(0)
+            symbols = pc.fill_null(pc.index_in(words.cast(pa.large_string()), value_set=code.words), -1)
+            columns = [*batch.columns, pa.array(mixer.cost(words)), symbols]
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "c", "spelling", "symbol"])
 
     return run
 
 
+# --- bits of words in their texts --------------------------------------------------
+def fit_code(vocabulary: DataFrame, tokens: int) -> Code:
+    """Paths of the words (``word``, ``c``) that are more frequent than all but a fixed number."""
+    level = F.floor(8 * F.log2("c"))
+    sizes = vocabulary.filter("c > 1").groupBy(level.alias("level")).count().collect()
+    least, n = math.inf, 0
+    for size in sorted(sizes, reverse=True):
+        n += size["count"]
+        if n > word_bits.CODED:
+            break
+        least = size["level"]
+    # At most CODED words.
+    top = vocabulary.filter((F.col("c") > 1) & (level >= F.lit(float(least)))).select("word", "c").toArrow()
+    by = np.argsort(top["word"].to_numpy())
+    counts = top["c"].to_numpy()[by].astype(np.int64)
+    return Code(top["word"].combine_chunks().take(pa.array(by)), counts, tokens - int(counts.sum()))
+
+
+def _in_texts(batches: Iterable[pa.RecordBatch], shared: Broadcast) -> Iterator[Tokens]:
+    """The training texts of slices (``held, counts, places, marks``)."""
+    code, table = shared.value
+    for batch in batches:
+        for row in range(batch.num_rows):
+            held, counts, places, packed = (batch.column(i)[row] for i in range(4))
+            trained = ~held.values.to_numpy(zero_copy_only=False).astype(bool)
+            every = counts.values.to_numpy().astype(np.int64)
+            marks, lifts = _marks(packed.as_py(), table)
+            symbols = np.append(code.of_marks(marks[:-1]), code.end)
+            whole, stops = _unpacked(places.as_py()), np.cumsum(every)
+            for lo, hi in word_bits.groups_of(every, SCORED):
+                keep = trained[lo:hi]
+                places_of, counts_of = _with_ends(whole[stops[lo] - every[lo] : stops[hi - 1]], every[lo:hi], len(symbols) - 1)
+                yield Tokens(code, places_of[np.repeat(keep, counts_of)], counts_of[keep], symbols, marks, lifts)
+
+
+def _marks(packed: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """32 bits of the places' hashes and their lifts by group; the end, last, has none."""
+    marks = _unpacked(packed).astype(np.uint64)
+    slots = (marks >> np.uint64(32 - GROUP_BITS)).astype(np.int64)
+    return np.append(marks, np.uint64(0)), np.vstack([table[slots].astype(np.float32), np.zeros((1, GROUPS), np.float32)])
+
+
+def _with_ends(places: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.insert(places.astype(np.int64), np.cumsum(counts), end), counts + 1
+
+
+def _count_words(shared: Broadcast) -> Callable:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = [np.zeros(2 << bits, dtype=np.int32) for bits in word_bits.TABLE_BITS]
+        for tokens in _in_texts(batches, shared):
+            word_bits.count_bits(counts, tokens)
+        yield from _by_chunk(counts)
+
+    return run
+
+
+def _learn_words(mixer: WordMixer, shared: Broadcast) -> Callable:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
+        for tokens in _in_texts(batches, shared):
+            mixer.learn(tokens)
+            seen += tokens.n
+        if seen:
+            row = [pa.array([seen], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in (mixer.weights, mixer.cells)]]
+            yield pa.RecordBatch.from_arrays(row, names=["seen", "weights", "cells"])
+
+    return run
+
+
+def fit_words(slices: DataFrame, shared: Broadcast) -> WordMixer:
+    """Bit predictors of the words in all training texts (``shared``: code and lifts): counts are summed over all tasks;
+    each task learns weights online, and these are averaged by tokens."""
+    texts = slices.filter("word IS NULL").select("held", "counts", "places", "marks")
+    tables = [np.zeros(1 << bits, dtype=np.uint16) for bits in word_bits.TABLE_BITS]
+    _fill(tables, texts.mapInArrow(_count_words(shared), "chunk long, counts binary"))
+    mixer = WordMixer(tables)
+    mixer.sent = slices.sparkSession.sparkContext.broadcast(tables)
+    _average(mixer, texts.mapInArrow(_learn_words(mixer, shared), "seen long, weights binary, cells binary"))
+    return mixer
+
+
 # --- words by group ----------------------------------------------------------------
 def _group_chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The task's counts of words by slot and group, by chunk."""
@@ -356,21 +468,40 @@ def _summed(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["chunk", "counts"])
 
 
-def group_table(slices: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """For each slot and group the logarithm of how much likelier a word of the slot is
-    there than anywhere; and the share of each group."""
+def _group_counts(slices: DataFrame) -> np.ndarray:
+    """Training words by slot and group."""
     chunks = slices.filter("word IS NULL").select("by_group").mapInArrow(_group_chunks, "chunk long, counts binary")
     found = chunks.groupBy("chunk").applyInArrow(_summed, "chunk long, counts binary").toArrow()
     total = np.zeros(GROUPS << GROUP_BITS, dtype=np.int64)
     for chunk, packed in zip(found["chunk"].to_pylist(), found["counts"]):
         total[chunk : chunk + CHUNK] = np.frombuffer(packed.as_py(), np.int64)
-    total = total.reshape(-1, GROUPS)
+    return total.reshape(-1, GROUPS)
+
+
+def group_table(slices: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """For each slot and group the logarithm of how much likelier a word of the slot is
+    there than anywhere; and the share of each group."""
+    return _lifts(_group_counts(slices))
+
+
+def _lifts(total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     share = (total.sum(axis=0) + 0.1) / (total.sum() + 0.1 * GROUPS)
     # Shrunk to the shares of the groups, so each slot's chances still add up to 1.
     lift = (total + share * 0.5) / (total.sum(axis=1, keepdims=True) + 0.5) / share
     return np.log(lift).astype(np.float16), share
 
 
+def other_words(total: np.ndarray, lifts: np.ndarray, code: Code, tokens: int) -> np.ndarray:
+    """For each group, and for none, how much the words without a path weigh together."""
+    factor = np.exp(lifts.astype(np.float32)).astype(float)
+    weight = total.sum(axis=1) @ factor
+    named = code.symbols
+    weight -= code.counts[named] @ factor[(code.marks >> np.uint64(32 - GROUP_BITS)).astype(np.int64)]
+    if code.end < 0:
+        weight += tokens - total.sum()
+    return np.maximum(np.append(weight, tokens - code.counts.sum()), 1)
+
+
 # --- scores of texts ---------------------------------------------------------------
 class Totals(NamedTuple):
     """Training tokens, distinct ones, and those that occur once."""
@@ -394,7 +525,8 @@ def _earlier(places: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def text_scores(places: np.ndarray, counts: np.ndarray, c: np.ndarray, spelling: np.ndarray, lifts: np.ndarray,
                 share: np.ndarray, totals: Totals) -> np.ndarray:
-    """Natural logarithms of the texts' probabilities; ``places`` has each text's words and
+    """Natural logarithms of the texts' probabilities by a plain mixture of words' probabilities, to
+    compare with (``score_texts`` does not use it); ``places`` has each text's words and
     its end, ``c``, ``spelling`` and ``lifts`` what is known of each place."""
     first = np.cumsum(counts) - counts
     with np.errstate(divide="ignore"):
@@ -425,29 +557,44 @@ def text_scores(places: np.ndarray, counts: np.ndarray, c: np.ndarray, spelling:
     return out
 
 
-def _scorer(totals: Totals, table: np.ndarray, share: np.ndarray, key: str) -> Callable:
+def other_scores(tokens: Tokens, places: np.ndarray, c: np.ndarray, spelling: np.ndarray, lifts: np.ndarray,
+                 weight: np.ndarray, totals: Totals) -> np.ndarray:
+    """Natural logarithm of the probability of each text's words without a path, given that they have none."""
+    out = np.zeros(tokens.n)
+    again = np.flatnonzero(tokens.symbol == tokens.code.again)
+    out[again] = np.log(tokens.times[again] / tokens.passed[again])
+    new = (totals.once + 1) / (weight[-1] + totals.once + 2)
+    at = np.flatnonzero(tokens.symbol == tokens.code.other)
+    word, group = places[at], tokens.group[at]
+    lift = np.where(group < GROUPS, lifts[word, np.minimum(group, GROUPS - 1)], 0)
+    with np.errstate(divide="ignore"):
+        known = np.log(c[word]) + lift - np.log(weight)[group]
+    out[at] = np.logaddexp(math.log(new) + spelling[word], math.log(1 - new) + known)
+    return np.add.reduceat(out, tokens.first)
+
+
+def _scorer(totals: Totals, mixer: WordMixer, shared: Broadcast, weight: np.ndarray, key: str) -> Callable:
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
+        code, table = shared.value
         by = np.argsort(words.column("place").to_numpy())
         c, spelling = words.column("c").to_numpy()[by], words.column("spelling").to_numpy()[by].astype(float)
+        symbols = words.column("symbol").to_numpy()[by].astype(np.int64)
         end, base, made = len(c) - 1, np.log10(c + 1.0), []
         for row in range(texts.num_rows):
             whole = _unpacked(texts.column("places")[row].as_py())
-            slots = _unpacked(texts.column("slots")[row].as_py())
-            lifts = np.vstack([table[slots].astype(np.float32), np.zeros((1, GROUPS), np.float32)])
+            marks, lifts = _marks(texts.column("marks")[row].as_py(), table)
             length = _unpacked(texts.column("sizes")[row].as_py()).astype(np.int64)
             ids, held = texts.column("ids")[row].values, texts.column("held")[row].values
             every = texts.column("counts")[row].values.to_numpy().astype(np.int64)
             stops = np.cumsum(every)
             # So many texts at once as have about SCORED tokens.
-            cuts = np.flatnonzero(np.diff(stops // SCORED)) + 1
-            for lo, hi in zip([0, *cuts], [*cuts, len(every)]):
+            for lo, hi in word_bits.groups_of(every, SCORED):
                 # Every text gets its end.
-                counts = every[lo:hi]
-                places = whole[stops[lo] - every[lo] : stops[hi - 1]].astype(np.int64)
-                places = np.insert(places, np.cumsum(counts), end)
-                counts = counts + 1
+                places, counts = _with_ends(whole[stops[lo] - every[lo] : stops[hi - 1]], every[lo:hi], end)
                 heads = np.cumsum(counts) - counts
-                score = text_scores(places, counts, c, spelling, lifts, share, totals) / math.log(10)
+                tokens = Tokens(code, places, counts, symbols, marks, lifts)
+                score = mixer.cost(tokens) + other_scores(tokens, places, c, spelling, lifts, weight, totals)
+                score /= math.log(10)
                 space = np.add.reduceat(length[places] + 1, heads)
                 made.append(pa.table({
                     key: ids.slice(lo, hi - lo), "held_out": held.slice(lo, hi - lo),
@@ -491,13 +638,18 @@ def score_texts(docs: DataFrame, held_out: Column | None = None, text: str = "te
     sums = vocabulary.agg(F.sum("c"), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1)).first()
     totals = Totals(*(x or 0 for x in sums))
     mixer = fit_spelling(vocabulary.filter("c > 0 AND word <> ''"))
-    lifts, share = group_table(slices)
-    known = vocabulary.mapInArrow(_spelled(mixer), "word string, c long, spelling double")
-    found = entries.join(known, "word").select(F.col("batch").alias("of"), "place", "c", F.col("spelling").cast("float").alias("spelling"))
-    texts = slices.filter("word IS NULL").select("batch", "ids", "held", "counts", "places", "slots", "sizes")
+    by_group = _group_counts(slices)
+    lifts, _ = _lifts(by_group)
+    code = fit_code(vocabulary, totals.tokens)
+    weight = other_words(by_group, lifts, code, totals.tokens)
+    shared = docs.sparkSession.sparkContext.broadcast((code, lifts))
+    words = fit_words(slices, shared)
+    known = vocabulary.mapInArrow(_spelled(mixer, shared), "word string, c long, spelling double, symbol int")
+    found = entries.join(known, "word").select(F.col("batch").alias("of"), "place", "c", F.col("spelling").cast("float").alias("spelling"), "symbol")
+    texts = slices.filter("word IS NULL").select("batch", "ids", "held", "counts", "places", "marks", "sizes")
     kind = docs.schema[key].dataType.simpleString()
     schema = (
         f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double,"
         " bits_per_byte double"
     )
-    return texts.groupBy("batch").cogroup(found.groupBy("of")).applyInArrow(_scorer(totals, lifts, share, key), schema)
+    return texts.groupBy("batch").cogroup(found.groupBy("of")).applyInArrow(_scorer(totals, words, shared, weight, key), schema)

@@ -13,7 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from docloom.llm import collocations, context_mixing, periodic_runs
+from docloom.llm import collocations, context_mixing, periodic_runs, word_bits
 from docloom.llm.queries import QUERIES
 from docloom.llm.words import mix
 from tests.llm import brute
@@ -174,6 +174,74 @@ def test_chances_of_words_by_group_add_up(spark):
     assert (np.exp(lifts.astype(float)) * share).sum(axis=1) == pytest.approx(np.ones(len(lifts)), abs=2e-3)
 
 
+def test_words_cost_less_where_they_are_expected(spark):
+    """Every word has two that may follow: in another order the same words are told badly."""
+    rnd = random.Random(4)
+    follow = {i: rnd.sample(range(60), 2) for i in range(60)}
+    docs = []
+    for i in range(600):
+        at, words = rnd.randrange(60), []
+        for _ in range(80):
+            words.append(f"w{at}")
+            at = rnd.choice(follow[at])
+        docs.append((i, " ".join(words)))
+    held = [(k, t) for k, t in docs if zlib.crc32(str(k).encode()) % 7 == 2]
+    other = [k for k in range(600, 2000) if zlib.crc32(str(k).encode()) % 7 == 2]
+    docs += [(k, " ".join(rnd.sample(t.split(), 80))) for k, (_, t) in zip(other, held)]
+    got = {r["doc_id"]: r["score"] for r in rows(context_mixing.score_texts(spark.createDataFrame(docs, "doc_id long, text string")))}
+    assert sum(got[k] for k, _ in held) > 0.5 * sum(got[k] for k in other[: len(held)])
+
+
+def a_word_mixer(n=12, texts=60):
+    rnd = random.Random(5)
+    names = [f"w{i}" for i in range(n)]
+    code = word_bits.Code(pa.array([*names, ""]), np.array([2 * n - i for i in range(n)] + [texts]), 40)
+    # Places 0 to n - 1 have paths, the next four have none, then the end.
+    symbols, marks = np.array([*range(n), -1, -1, -1, -1, n]), np.arange(n + 5, dtype=np.uint64) * np.uint64(77)
+    lifts = np.array([[rnd.uniform(-1, 1) for _ in range(3)] for _ in range(n + 5)], dtype=np.float32)
+    tokens = lambda every: word_bits.Tokens(code, np.array(sum(every, [])), np.array([len(t) for t in every]), symbols, marks, lifts)
+    learned = tokens([[rnd.choice([i % 4, rnd.randrange(n + 4)]) for i in range(rnd.randrange(90))] + [n + 4] for _ in range(texts)])
+    counts = [np.zeros(2 << bits, dtype=np.int32) for bits in word_bits.TABLE_BITS]
+    word_bits.count_bits(counts, learned)
+    mixer = word_bits.WordMixer([(np.minimum(c[::2], 255) << 8 | np.minimum(c[1::2], 255)).astype(np.uint16) for c in counts])
+    mixer.learn(learned)
+    return mixer, code, tokens
+
+
+def test_paths_of_a_text_against_single_bits():
+    mixer, code, tokens = a_word_mixer()
+    rnd = random.Random(6)
+    every = [[rnd.randrange(16) for _ in range(n)] + [16] for n in (0, 3, 40, 200)]
+    asked = tokens(every)
+    at = 0
+    for text, score in zip(every, mixer.cost(asked)):
+        total, own = 0.0, [0.0] * word_bits.INPUTS
+        for lo in range(0, len(text), word_bits.BLOCK):
+            grad, n = [0.0] * word_bits.INPUTS, 0
+            for i in range(at + lo, at + min(len(text), lo + word_bits.BLOCK)):
+                _, ones, x, gate = mixer.inputs(asked, np.array([i]), without=False)
+                for bit in range(len(ones)):
+                    logit = max(-13, min(13, sum((w + d) * v for w, d, v in zip(mixer.weights[gate[bit]], own, x[:, bit].tolist()))))
+                    p = 1 / (1 + math.exp(-logit))
+                    grad, n = [g + (ones[bit] - p) * v for g, v in zip(grad, x[:, bit].tolist())], n + 1
+                    cell = gate[bit] * word_bits.CELLS + max(0, min(word_bits.CELLS - 1, int((logit + 8) * word_bits.CELLS / 16)))
+                    seen, hits = mixer.cells[:, cell]
+                    p = max(word_bits.LIMIT, min(1 - word_bits.LIMIT, (p + (hits + 4 * p) / (seen + 4)) / 2))
+                    total += math.log(p if ones[bit] else 1 - p)
+            own = [d + word_bits.RATE * g / n for d, g in zip(own, grad)]
+        assert score == pytest.approx(total, rel=1e-3)
+        at += len(text)
+
+
+def test_chances_of_the_next_path_add_up():
+    mixer, code, tokens = a_word_mixer()
+    start = [0, 1, 2, 3, 0, 1, 12, 2]
+    # All words with a path and the end, one that came before and one that did not.
+    every = tokens([[*start, w] for w in (*range(12), 16, 12, 13)])
+    costs = mixer.cost(every) - mixer.cost(tokens([start]))[0]
+    assert np.exp(costs).sum() == pytest.approx(1, abs=1e-3)
+
+
 # 12: runs -----------------------------------------------------------------------
 
 
