@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from docloom.functions import text as tx
 from docloom.operators.chunking import chunk_key
-from docloom.session import materialize
+from docloom.session import materialize, once
 
 # Rule thresholds and names, in the order the rules are applied.
 MIN_LENGTH = 20
@@ -29,25 +29,29 @@ HASH_BITS = 32
 ABSENT = -1
 
 
-def ratios(content: Column) -> dict[str, Column]:
+def measures(content: Column) -> Column:
+    """STRUCT of a chunk and its ratios."""
     size = F.greatest(F.length(content), F.lit(1))
-    return {
-        # Outer whitespace only.
-        "content_ratio": F.length(tx.strip(content)) / size,
-        "digit_ratio": F.regexp_count(content, F.lit(r"\p{Nd}")) / size,
-        "punct_ratio": F.regexp_count(content, F.lit(tx.PUNCTUATION)) / size,
-        "zh_ratio": F.regexp_count(content, F.lit(tx.CJK)) / size,
-    }
+    return tx.bind(
+        tx.beside_words(content),
+        lambda rest: F.struct(
+            content.alias("content"),
+            # Outer whitespace only.
+            (F.length(tx.strip(content)) / size).alias("content_ratio"),
+            (F.regexp_count(rest, F.lit(r"\p{Nd}")) / size).alias("digit_ratio"),
+            (F.regexp_count(rest, F.lit(tx.PUNCTUATION)) / size).alias("punct_ratio"),
+            (F.regexp_count(rest, F.lit(tx.CJK)) / size).alias("zh_ratio"),
+        ),
+    )
 
 
-def text_reason(content: Column, min_length: int = MIN_LENGTH) -> Column:
+def text_reason(m: Column, min_length: int = MIN_LENGTH) -> Column:
     """First failing rule that looks at the chunk alone, before deduplication."""
-    r = ratios(content)
     return (
-        F.when(F.length(content) < min_length, "MIN_LENGTH")
-        .when(r["content_ratio"] < CONTENT_RATIO_MIN, "CONTENT_RATIO")
-        .when(r["digit_ratio"] > DIGIT_RATIO_MAX, "DIGIT_RATIO")
-        .when(r["punct_ratio"] > PUNCT_RATIO_MAX, "PUNCT_RATIO")
+        F.when(F.length(m["content"]) < min_length, "MIN_LENGTH")
+        .when(m["content_ratio"] < CONTENT_RATIO_MIN, "CONTENT_RATIO")
+        .when(m["digit_ratio"] > DIGIT_RATIO_MAX, "DIGIT_RATIO")
+        .when(m["punct_ratio"] > PUNCT_RATIO_MAX, "PUNCT_RATIO")
     )
 
 
@@ -96,39 +100,26 @@ def judge_chunks(docs: DataFrame, pieces: str = "pieces", profile: str | None =
     passed all rules up to and including this one.
     """
     judged = F.transform(
-        pieces,
-        lambda c: F.struct(
-            c.alias("content"), text_reason(c, min_length).alias("early")
-        ),
+        F.transform(pieces, measures), lambda m: F.struct(m.alias("of"), text_reason(m, min_length).alias("early"))
     )
-    hashed = docs.withColumn("_j", judged).withColumn("_h", tx.char_hashes(pieces))
-    alive = F.zip_with("_h", "_j", lambda h, s: F.when(s["early"].isNull(), h).otherwise(ABSENT))
-    staged = hashed.withColumn("_dup", _earlier_similar(threshold)(alive))
     language = F.col(f"{profile}.primary_language") if profile else F.lit("en")
     zh = F.col(f"{profile}.zh_ratio") if profile else F.lit(0.0)
-    merged = F.transform(
-        F.arrays_zip("_j", "_h", "_dup"),
-        lambda z: F.struct(
-            z["_j"]["content"].alias("content"), z["_j"]["early"].alias("early"),
-            z["_h"].alias("char_hash"), z["_dup"].alias("dup"),
-        ),
-    )
-    rows = staged.select("doc_id", language.alias("_lang"), zh.alias("_zh"), merged.alias("_m")).select(
-        "doc_id", "_lang", "_zh", F.posexplode("_m").alias("chunk_idx", "_c")
-    )
-    content = F.col("_c.content")
-    r = ratios(content)
-    foreign = (F.col("_lang") != "mixed") & (F.abs(r["zh_ratio"] - F.col("_zh")) > LANGUAGE_DEVIATION_MAX)
+    rated = once(docs, "doc_id", language.alias("_lang"), zh.alias("_zh"), judged.alias("_j"))
+    hashed = rated.withColumn("_h", tx.char_hashes(F.transform("_j", lambda s: s["of"]["content"])))
+    alive = F.zip_with("_h", "_j", lambda h, s: F.when(s["early"].isNull(), h).otherwise(ABSENT))
+    staged = hashed.withColumn("_dup", _earlier_similar(threshold)(alive))
+    rows = staged.select("doc_id", "_lang", "_zh", F.posexplode(F.arrays_zip("_j", "_h", "_dup")).alias("chunk_idx", "_c"))
+    content = F.col("_c._j.of.content")
+    foreign = (F.col("_lang") != "mixed") & (F.abs(F.col("_c._j.of.zh_ratio") - F.col("_zh")) > LANGUAGE_DEVIATION_MAX)
     reason = (
-        F.when(F.col("_c.early").isNotNull(), F.col("_c.early"))
-        .when(F.col("_c.dup"), "DEDUP")
+        F.when(F.col("_c._j.early").isNotNull(), F.col("_c._j.early"))
+        .when(F.col("_c._dup"), "DEDUP")
         .when(foreign, "LANGUAGE_CONSISTENCY")
     )
     return rows.select(
         chunk_key("doc_id", "chunk_idx").alias("chunk_id"), "doc_id", "chunk_idx", content.alias("content"),
-        F.length(content).alias("char_count"), r["content_ratio"].alias("content_ratio"),
-        r["digit_ratio"].alias("digit_ratio"), r["punct_ratio"].alias("punct_ratio"),
-        F.col("_c.char_hash").alias("char_hash"), reason.alias("reject_reason"),
+        F.length(content).alias("char_count"), *[F.col(f"_c._j.of.{k}").alias(k) for k in ("content_ratio", "digit_ratio", "punct_ratio")],
+        F.col("_c._h").alias("char_hash"), reason.alias("reject_reason"),
     )
 
 

@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 from docloom.functions import text as tx
 from docloom.operators import chunking as ch
 from docloom.operators import quality as ql
-from docloom.session import materialize, scratch
+from docloom.session import materialize, once, scratch
 from docloom.sources.queue import QueueSource
 from docloom.sources.sinks import replace_partition
 
@@ -184,15 +184,22 @@ def session_history(messages: DataFrame, keep: int = HISTORY_MESSAGES, ttl_ms: i
 
 
 # --- ingestion ----------------------------------------------------------------------------
+def _dealt(docs: DataFrame) -> DataFrame:
+    """Four parts a core, whatever the splits of the source: chunking takes the time, and a few
+    large row groups come in few parts. Dealt by text too, since one key may hold many rows."""
+    return docs.repartition(4 * docs.sparkSession.sparkContext.defaultParallelism, "doc_id", "text")
+
+
 def prepare(docs: DataFrame, size: int = 500) -> tuple[DataFrame, DataFrame]:
     """Cleaned, chunked and judged documents: (passed chunks, failed documents).
     A document fails with a reason instead of failing the batch."""
-    cleaned = docs.select("doc_id", tx.clean_text("text").alias("text"))
-    failed = cleaned.filter("text = ''").select(
+    text = tx.clean_text("text").alias("text")
+    # Few documents have to be cleaned to know that nothing is left of them.
+    failed = docs.filter(~tx.surely_kept("text")).select("doc_id", text).filter("text = ''").select(
         "doc_id", F.lit("failed").alias("status"), F.lit("no text").alias("error"), F.lit(0).alias("retries")
     )
-    good = cleaned.filter("text <> ''").select(
-        "doc_id", ch.fixed_pieces("text", size).alias("pieces"), tx.language_profile("text").alias("profile")
+    good = once(_dealt(docs), "doc_id", text).filter("text <> ''").select(
+        "doc_id", ch.fixed_pieces("text", size).alias("pieces"), tx.language_shares("text").alias("profile")
     )
     passed = ql.judge_chunks(good, min_length=size // 10).filter("reject_reason IS NULL").drop("reject_reason")
     return passed, failed

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom import scale
+from docloom.functions import text as tx
 from docloom.operators import analytics as an
 from docloom.operators import sketches as sk
 from docloom.plans.catalog import QUERIES
@@ -163,3 +164,57 @@ def test_tables_of_many_files_stream_whole(spark, sf_dir, tmp_path):
         one, many = (QUERIES[name](spark, folder) for folder in (sf_dir, str(tmp_path)))
         expected = sorted(one.collect())
         assert expected and sorted(many.collect()) == expected
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+# Nothing is left of some: composed with a mark, "a" becomes a character that is removed.
+ODD_TEXTS = [None, "", " \t\r\n", "\u2019\u2013", "a\u0323", "\u0301", "\u3000\u200b", "a", "a\u0301", "\u4e2d", "a\u0323 b", "x\n", "\u00e9"]
+
+
+def test_documents_that_fail_are_those_that_clean_to_nothing(spark):
+    docs = spark.createDataFrame(list(enumerate(ODD_TEXTS)), "doc_id long, text string")
+    cleaned = {r["doc_id"]: r["c"] for r in docs.select("doc_id", tx.clean_text("text").alias("c")).collect()}
+    _, failed = ss.prepare(docs)
+    assert sorted(r["doc_id"] for r in failed.collect()) == sorted(i for i, c in cleaned.items() if c == "") == [0, 1, 2, 3, 4, 5, 6]
+    sure = docs.filter(tx.surely_kept("text"))
+    assert all(cleaned[r["doc_id"]] for r in sure.collect()) and sure.count() == 3
+    # The others are told apart before anything goes to Python.
+    assert "NOT RLIKE" in plan(failed).split("ArrowEvalPython")[-1]
+
+
+def test_a_document_is_cleaned_once_and_dealt_to_many_tasks(spark):
+    docs = spark.createDataFrame([(i, f"some words of document {i}. " * 40) for i in range(64)], "doc_id long, text string").coalesce(1)
+    passed, _ = ss.prepare(docs)
+    shown = plan(passed)
+    assert shown.count("_compose(") == 1 and shown.count("{1,500}") == 1
+    # The three counts of a chunk, and one of the whole text.
+    assert shown.count("\\p{Nd}") == 1 and shown.count("XYZ ]+") == 1 and shown.count("XYZ]+") == 1
+    chunks = passed.select("doc_id", F.spark_partition_id().alias("p")).collect()
+    assert len({r["doc_id"] for r in chunks}) == 64 and len({r["p"] for r in chunks}) > 1
+
+
+def test_one_key_does_not_make_one_task(spark):
+    docs = spark.createDataFrame([(None, f"text number {i} without a key. " * 3) for i in range(64)], "doc_id long, text string")
+    passed, _ = ss.prepare(docs)
+    chunks = passed.select(F.spark_partition_id().alias("p")).collect()
+    assert len(chunks) == 64 and len({r["p"] for r in chunks}) > 1
+
+
+def test_fast_classes_hold_the_same_characters(spark):
+    points = [chr(i) for i in range(0x3100) if i] + [chr(i) for i in (0x4E00, 0x9FFF, 0xA000, 0xF900, 0xFE10, 0xFF00, 0xFFEF, 0xFFF0, 0x1F600)]
+    rows = spark.createDataFrame([(c,) for c in points], "c string")
+    wide = r"[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    rnd = random.Random(5)
+    spaced = spark.createDataFrame([("".join(rnd.choice("\r\n\n \t  a") for _ in range(rnd.randrange(40))),) for _ in range(3000)], "c string")
+    slow = F.col("c")
+    for pattern, to in ((r"\r\n?", "\n"), (r"\n{3,}", "\n\n"), (r"[ \t]{3,}", " ")):
+        slow = F.regexp_replace(slow, pattern, to)
+    assert spaced.filter(tx.clean_text("c") != tx.strip(slow)).count() == 0
+    around = F.concat(F.lit("x"), "c", F.lit("x"))
+    kept = tx.clean_text(around, compose=False) != F.regexp_replace(F.translate(around, "\r", "\n"), f"[^{tx.KEEP_RANGES}]", "")
+    assert rows.filter(kept | (F.col("c").rlike(wide) != (tx.ascii_spaces("c") != F.col("c")))).count() == 0
+    classes = F.lit(rf"{tx.PUNCTUATION}|\p{{Nd}}|{tx.CJK}")
+    assert rows.filter(F.regexp_count("c", classes) != F.regexp_count(tx.beside_words("c"), classes)).count() == 0
