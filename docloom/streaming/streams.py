@@ -18,6 +18,7 @@ from pyspark.sql.types import StructType
 from docloom.functions import text as tx
 from docloom.operators import chunking as ch
 from docloom.operators import quality as ql
+from docloom.scale import broadcast_if_small
 from docloom.session import materialize, once, scratch
 from docloom.sources.queue import QueueSource
 from docloom.sources.sinks import replace_partition
@@ -256,9 +257,8 @@ def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], state: str,
 
 
 def _stored(batch: DataFrame) -> DataFrame:
-    """The batch, written once (its source is decoded again for everything made from it) and
-    dealt anew, since a few large row groups come in few parts."""
-    return materialize(batch.repartition("doc_id"), "batch")
+    """The batch, written once: its source is decoded again for everything made from it."""
+    return materialize(batch, "batch")
 
 
 def retry_batch(out: str, size: int = 500, max_retries: int = MAX_RETRIES) -> Callable[[DataFrame, int], None]:
@@ -283,7 +283,8 @@ def admit_batch(out: str, size: int = 500) -> Callable[[DataFrame, int], None]:
     def run(batch: DataFrame, batch_id: int) -> None:
         batch = _stored(batch)
         passed, failed = prepare(batch, size)
-        dead = failed.join(batch.select("doc_id", "text"), "doc_id")
+        # Stored and measured, so that the texts of the whole batch are not shuffled for the few that failed.
+        dead = broadcast_if_small(materialize(failed, "failed")).join(batch.select("doc_id", "text"), "doc_id")
         replace_partition(passed, f"{out}/chunks", batch=f"a{batch_id:08d}")
         replace_partition(dead.select("doc_id", "text", "error", "retries"), f"{out}/dead", batch=f"a{batch_id:08d}")
 

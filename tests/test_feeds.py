@@ -218,3 +218,17 @@ def test_fast_classes_hold_the_same_characters(spark):
     assert rows.filter(kept | (F.col("c").rlike(wide) != (tx.ascii_spaces("c") != F.col("c")))).count() == 0
     classes = F.lit(rf"{tx.PUNCTUATION}|\p{{Nd}}|{tx.CJK}")
     assert rows.filter(F.regexp_count("c", classes) != F.regexp_count(tx.beside_words("c"), classes)).count() == 0
+
+
+def test_texts_of_a_batch_are_not_shuffled_for_its_dead_letters(spark, monkeypatch):
+    written = {}
+    monkeypatch.setattr(ss, "replace_partition", lambda df, path, **partition: written.update({path.rsplit("/", 1)[1]: df}))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        batch = spark.createDataFrame([(i, f"text {i} " * 30) for i in range(50)] + [(50, " "), (51, None)], "doc_id long, text string")
+        ss.admit_batch("/nowhere")(batch, 0)
+        shown = plan(written["dead"])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in shown and "SortMergeJoin" not in shown
+    assert sorted((r["doc_id"], r["text"]) for r in written["dead"].collect()) == [(50, " "), (51, None)]
